@@ -44,11 +44,16 @@ def _size_check(questions: DataFrame, q_vec: str) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["d"] or 0)
 
 
-def _rank(scored: DataFrame, q_id: str, c_id: str, k: int, ascending: bool) -> DataFrame:
+def _ids(c_id) -> list[str]:
+    return [c_id] if isinstance(c_id, str) else list(c_id)
+
+
+def _rank(scored: DataFrame, q_id: str, c_id, k: int, ascending: bool) -> DataFrame:
     key = F.round("score", RANK_DIGITS)
-    order = [key.asc() if ascending else key.desc(), F.col(c_id).asc()]
+    order = [key.asc() if ascending else key.desc()] + [F.col(c).asc() for c in _ids(c_id)]
     w = Window.partitionBy(q_id).orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.where(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(w)) \
+        .where(F.col("rank") <= k)
 
 
 def topk(
@@ -58,80 +63,166 @@ def topk(
     *,
     q_id: str = "qid",
     q_vec: str = "qvec",
-    c_id: str = "vec_id",
+    c_id="vec_id",
     c_vec: str = "embedding",
     metric: str = "dot",
     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
     force: str | None = None,
     cell_rows: int = 2_000_000,
 ) -> DataFrame:
-    """Exact top-k per question.  Returns (q_id, rank, c_id, score) at full precision.
+    """Exact top-k per question.  Returns (q_id, rank, *c_id, score) at full precision.
 
-    ``metric``: 'dot' (cosine for unit vectors, descending) or 'l2' (ascending).
-    ``force``: None (choose by size), 'broadcast' or 'grid'.
+    ``metric``: 'dot' (cosine for unit vectors, descending), 'cosine' (dot / norms,
+    descending) or 'l2' (ascending).  ``c_id`` is one column or a list (composite key).
+    ``force``: None (choose by size), 'broadcast' (vectorised), 'hof' (JVM
+    higher-order functions) or 'grid'.
     """
     n_q, dim = _size_check(questions, q_vec)
     path = force
     if path is None:
         path = "broadcast" if n_q * max(dim, 1) * 8 <= broadcast_bytes else "grid"
+    ids = _ids(c_id)
     if path == "broadcast":
-        scored = _scores_broadcast(questions, corpus, q_id, q_vec, c_id, c_vec, metric)
+        scored = _scores_vectorised(questions, corpus, k, q_id, q_vec, ids, c_vec, metric)
+    elif path == "hof":
+        scored = _scores_hof(questions, corpus, q_id, q_vec, ids, c_vec, metric)
     else:
-        scored = _scores_grid(questions, corpus, k, n_q, q_id, q_vec, c_id, c_vec, metric, cell_rows)
-    return _rank(scored, q_id, c_id, k, ascending=(metric == "l2")).select(q_id, "rank", c_id, "score")
-
-
-def _scores_broadcast(questions, corpus, q_id, q_vec, c_id, c_vec, metric):
-    q = F.broadcast(questions.select(q_id, q_vec))
-    c = corpus.select(c_id, c_vec)
-    score = V.dot(q_vec, c_vec) if metric == "dot" else V.l2_distance(q_vec, c_vec)
-    return c.join(q, how="inner").select(q_id, c_id, score.alias("score"))
+        scored = _scores_grid(questions, corpus, k, n_q, q_id, q_vec, ids, c_vec, metric, cell_rows)
+    return _rank(scored, q_id, ids, k, ascending=(metric == "l2")).select(q_id, "rank", *ids, "score")
 
 
-def _scores_grid(questions, corpus, k, n_q, q_id, q_vec, c_id, c_vec, metric, cell_rows):
+def _scores_hof(questions, corpus, q_id, q_vec, ids, c_vec, metric):
+    """Broadcast the question batch; every corpus row scores every question in generated JVM code."""
+    if metric == "cosine":
+        q = F.broadcast(questions.select(q_id, q_vec, V.norm(q_vec).alias("_qn")))
+        c = corpus.select(*ids, c_vec, V.norm(c_vec).alias("_cn"))
+        score = V.dot(q_vec, c_vec) / F.nullif(F.col("_qn") * F.col("_cn"), F.lit(0.0))
+    else:
+        q = F.broadcast(questions.select(q_id, q_vec))
+        c = corpus.select(*ids, c_vec)
+        score = V.dot(q_vec, c_vec) if metric == "dot" else V.l2_distance(q_vec, c_vec)
+    return c.join(q, how="inner").select(q_id, *ids, score.alias("score"))
+
+
+def _block_scores(C: np.ndarray, Q: np.ndarray, qn: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of corpus block C (m x d) against questions Q (n x d), oriented 'larger is better'."""
+    G = C @ Q.T
+    if metric == "dot":
+        return G
+    if metric == "cosine":
+        cn = np.sqrt((C * C).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            S = G / (cn[:, None] * qn[None, :])
+        S[~np.isfinite(S)] = -np.inf
+        return S
+    # l2: rank on the squared distance; exact distances are recomputed for the survivors
+    return -((C * C).sum(1)[:, None] + (qn * qn)[None, :] - 2.0 * G)
+
+
+def _local_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, col) pairs of the k best rows per column, keeping near-ties at the boundary."""
+    m = S.shape[0]
+    kk = min(k, m)
+    kth = np.partition(S, m - kk, axis=0)[m - kk, :]
+    keep = (S >= (kth - 1e-9)[None, :]) & np.isfinite(S)
+    return np.nonzero(keep)
+
+
+def _scores_vectorised(questions, corpus, k, q_id, q_vec, ids, c_vec, metric):
+    """Vectorised broadcast path.
+
+    The question batch (size-checked by the caller: rows x dim x 8 bytes) is shipped to
+    executors once as a broadcast variable; each Arrow batch of the corpus becomes one
+    matrix product and keeps only its local top-k per question, so the exchange before
+    the final ranking carries at most k rows per question per batch.  The corpus is read
+    once, in place, and never shuffled.
+    """
+    spark = corpus.sparkSession
+    qp = questions.select(q_id, V.as_double(q_vec).alias("_v")).toPandas()
+    Q = np.stack(qp["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(qp) else \
+        np.zeros((0, 0))
+    qn = np.sqrt((Q * Q).sum(1)) if len(qp) else np.zeros(0)
+    bq = spark.sparkContext.broadcast((qp[q_id].to_numpy(), Q, qn))
+    id_fields = [corpus.schema[c] for c in ids]
+    out_schema = T.StructType([T.StructField(q_id, questions.schema[q_id].dataType), *id_fields,
+                               T.StructField("score", T.DoubleType())])
+    block = max(1, 4_000_000 // max(1, len(qp)))
+
+    def score_batches(batches):
+        qids, Qm, qnorm = bq.value
+        for pdf in batches:
+            if pdf.empty or len(qids) == 0:
+                continue
+            for lo in range(0, len(pdf), block):
+                part = pdf.iloc[lo:lo + block]
+                C = np.stack(part["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+                S = _block_scores(C, Qm, qnorm, metric)
+                rows, cols = _local_topk(S, k)
+                if metric == "l2":
+                    diff = C[rows] - Qm[cols]
+                    score = np.sqrt((diff * diff).sum(1))
+                elif metric == "cosine":
+                    score = S[rows, cols]
+                else:
+                    score = S[rows, cols]
+                out = {q_id: qids[cols]}
+                for c in ids:
+                    out[c] = part[c].to_numpy()[rows]
+                out["score"] = score
+                yield pd.DataFrame(out)
+
+    c = corpus.select(*ids, V.as_double(c_vec).alias("_v"))
+    return c.mapInPandas(score_batches, out_schema)
+
+
+def _scores_grid(questions, corpus, k, n_q, q_id, q_vec, ids, c_vec, metric, cell_rows):
+    """Grid partitioning of the theta join for question sets too large to broadcast.
+
+    Questions hash into ``bq`` blocks and corpus rows into ``bc`` blocks; the cell
+    (qb, cb) is an equi-join key, so each task multiplies one question block by one
+    corpus block and keeps its local top-k.  Blocks are assigned by hash, not by
+    value, so skewed ids cannot overload a cell.
+    """
     n_c = corpus.count()
-    # Square-ish cells: |q block| * |c block| <= cell_rows pairs.
     side = max(1, int(math.sqrt(cell_rows)))
     bq = max(1, math.ceil(n_q / side))
     bc = max(1, math.ceil(n_c / side))
     q = questions.select(
-        F.col(q_id).alias("_qid"), F.col(q_vec).alias("_v"),
+        F.col(q_id).alias("_qid"), V.as_double(q_vec).alias("_v"),
         F.pmod(F.xxhash64(q_id), F.lit(bq)).alias("qb"),
     ).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
     c = corpus.select(
-        F.col(c_id).alias("_cid"), F.col(c_vec).alias("_v"),
-        F.pmod(F.xxhash64(c_id), F.lit(bc)).alias("cb"),
+        *ids, V.as_double(c_vec).alias("_v"),
+        F.pmod(F.xxhash64(*ids), F.lit(bc)).alias("cb"),
     ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
 
     out_schema = T.StructType([
         T.StructField("_qid", questions.schema[q_id].dataType),
-        T.StructField("_cid", corpus.schema[c_id].dataType),
+        *[corpus.schema[x] for x in ids],
         T.StructField("score", T.DoubleType()),
     ])
-    desc = metric == "dot"
 
     def cell_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
-            return pd.DataFrame({"_qid": [], "_cid": [], "score": []})
+            return pd.DataFrame({"_qid": [], **{x: [] for x in ids}, "score": []})
         Q = np.stack(qdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         C = np.stack(cdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        if desc:
-            S = Q @ C.T
+        qn = np.sqrt((Q * Q).sum(1))
+        S = _block_scores(C, Q, qn, metric)
+        rows, cols = _local_topk(S, k)
+        if metric == "l2":
+            diff = C[rows] - Q[cols]
+            score = np.sqrt((diff * diff).sum(1))
         else:
-            sq = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-            S = np.sqrt(np.maximum(sq, 0.0))
-        R = np.round(S if desc else -S, RANK_DIGITS)
-        kk = min(k, R.shape[1])
-        kth = np.partition(R, R.shape[1] - kk, axis=1)[:, R.shape[1] - kk]
-        rows, cols = np.nonzero(R >= kth[:, None])  # keeps ties at the boundary
-        return pd.DataFrame({
-            "_qid": qdf["_qid"].to_numpy()[rows],
-            "_cid": cdf["_cid"].to_numpy()[cols],
-            "score": S[rows, cols],
-        })
+            score = S[rows, cols]
+        out = {"_qid": qdf["_qid"].to_numpy()[cols]}
+        for x in ids:
+            out[x] = cdf[x].to_numpy()[rows]
+        out["score"] = score
+        return pd.DataFrame(out)
 
     part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell_topk, out_schema)
-    return part.select(F.col("_qid").alias(q_id), F.col("_cid").alias(c_id), "score")
+    return part.select(F.col("_qid").alias(q_id), *ids, "score")
 
 
 # ------------------------------------------------------------------ hit post-processing

@@ -76,6 +76,14 @@ def topk_exact_grid(spark, d):
     return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("cos"))
 
 
+@register("topk_exact_hof", "WITH " + SQL_TOPK.format(k=K) + """
+SELECT qid, rank, vec_id, round(score, 6) AS cos FROM hits""")
+def topk_exact_hof(spark, d):
+    """R1 through the JVM higher-order-function path (broadcast join, no Python)."""
+    h = _hits(spark, d, force="hof")
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("cos"))
+
+
 SQL_L2 = SQL_QUESTIONS + """,
 dl AS (
   SELECT q.qid, c.vec_id,

@@ -81,3 +81,18 @@ def raw_verdicts(df: DataFrame, id_col: str) -> DataFrame:
         .otherwise(F.lit("I cannot evaluate this answer."))
     )
     return df.select(i.alias(id_col), raw.alias("raw"))
+
+
+def text_questions(benchmark: DataFrame) -> DataFrame:
+    """Text questions from ``benchmark``: qid = item_id, question = text, and as expected
+    keywords the 3 longest distinct ``[A-Za-z]+`` tokens (ties by token).  Row-local."""
+    toks = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0)))
+
+    def cmp(a, b):
+        return (F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1)
+                .when(a < b, -1).when(a > b, 1).otherwise(0))
+
+    return benchmark.select(
+        F.col("item_id").alias("qid"), F.col("text").alias("question"),
+        F.slice(F.array_sort(toks, cmp), 1, 3).alias("expected_keywords"),
+    )
