@@ -1 +1,213 @@
-"""Queries (to be filled)."""
+"""Answer checks, evaluation rows, means and gates over `benchmark` questions.
+
+Answers come from the offline extractive stand-in (best hit + source + confidence)
+built on the exact text retrieval of q_chunks; verdicts are synthetic raw replies
+keyed by question id.  Everything is keyed by question id and joined, never collected.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ragtide.operators import evaluate as EV
+from ragtide.operators import judge as J
+from ragtide.plans.q_chunks import SQL_RAG, _fixed, _rag_hits
+from ragtide.plans.q_judge import sql_verdicts
+from ragtide.plans.registry import register
+from ragtide.sources.derived import extractive_answers, raw_verdicts, text_questions
+from ragtide.sources.tables import table
+
+SQL_ANSWERS = SQL_RAG + r""",
+hm AS (
+  SELECT h.qid, h.rank, h.score, coalesce(d.source, 'Unknown') AS source, k.text
+  FROM hits h JOIN chk k ON k.doc = h.doc AND k.chunk_no = h.chunk_no LEFT JOIN documents d ON d.doc_id = h.doc
+), ans AS (
+  SELECT qid, string_agg(text, chr(10) ORDER BY rank) AS context, list_sort(list_distinct(list(source))) AS sources,
+         count(*) AS n_sources,
+         max(CASE WHEN rank = 1 THEN substr(text, 1, 300) || ' [' || source || '] Confidence: '
+                  || CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR) || '%' END) AS answer
+  FROM hm GROUP BY qid
+), kt AS (
+  SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS tok FROM benchmark
+), kr AS (
+  SELECT qid, tok, row_number() OVER (PARTITION BY qid ORDER BY length(tok) DESC, tok) AS r FROM kt
+), kw AS (SELECT qid, tok FROM kr WHERE r <= 3),
+khr AS (
+  SELECT b.item_id AS qid,
+         CASE WHEN count(kw.tok) = 0 THEN 1.0
+              ELSE sum(CASE WHEN strpos(lower(coalesce(a.answer, '')), lower(kw.tok)) > 0 THEN 1 ELSE 0 END)
+                   / count(kw.tok) END AS keyword_hit_rate
+  FROM benchmark b LEFT JOIN kw ON kw.qid = b.item_id LEFT JOIN ans a ON a.qid = b.item_id
+  GROUP BY b.item_id
+)"""
+
+SQL_EVAL = SQL_ANSWERS + "," + sql_verdicts("benchmark", "item_id", "qid") + """,
+erows AS (
+  SELECT b.item_id AS qid, coalesce(a.n_sources, 0) AS n_sources, k.keyword_hit_rate,
+         j.faithfulness, j.relevance, j.completeness, j.citation, j.overall, j.judge_ok
+  FROM benchmark b LEFT JOIN ans a ON a.qid = b.item_id LEFT JOIN khr k ON k.qid = b.item_id
+  LEFT JOIN judged j ON j.qid = b.item_id
+)"""
+
+
+def _answers(spark, d):
+    h = _rag_hits(spark, d)
+    chunks = _fixed(spark, d).select("doc", "chunk_no", "text")
+    src = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
+    hm = h.join(chunks, ["doc", "chunk_no"]).join(src, "doc", "left") \
+        .withColumn("source", F.coalesce("source", F.lit("Unknown")))
+    return extractive_answers(hm)
+
+
+def _questions(spark, d):
+    return text_questions(table(spark, d, "benchmark"))
+
+
+def _eval_rows(spark, d):
+    qs = _questions(spark, d)
+    verdicts = J.parse_verdicts(raw_verdicts(qs.select("qid"), "qid"), "raw")
+    return EV.evaluation_rows(qs, _answers(spark, d).select("qid", "answer", "n_sources"), verdicts)
+
+
+@register("ungrounded_numbers", "WITH " + SQL_ANSWERS + r""",
+u AS (
+  SELECT qid, list_sort(list_distinct(list_filter(regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?'),
+           lambda x: NOT list_contains(regexp_extract_all(context, '[0-9]+(?:\.[0-9]+)?'), x)))) AS u
+  FROM ans
+)
+SELECT qid, len(u) AS n_ungrounded, array_to_string(u, ',') AS ungrounded FROM u""")
+def ungrounded_numbers(spark, d):
+    """Numbers in each answer that do not occur word for word in its context."""
+    a = _answers(spark, d).withColumn("_u", J.ungrounded_numbers("answer", "context"))
+    return a.select("qid", F.size("_u").alias("n_ungrounded"), F.array_join("_u", ",").alias("ungrounded"))
+
+
+@register("citation_check", "WITH " + SQL_ANSWERS + r""",
+c AS (
+  SELECT qid, len(sources) AS n_sources, len(list_filter(sources, lambda s: strpos(answer, s) > 0)) AS n_cited,
+         list_sort(list_distinct(list_filter(regexp_extract_all(answer, '\[([^\]\[]+)\]', 1),
+                                             lambda b: NOT list_contains(sources, b)))) AS unk
+  FROM ans
+)
+SELECT qid, n_sources, n_cited, round(n_cited / n_sources, 6) AS cited_share,
+       array_to_string(unk, ',') AS unknown_citations
+FROM c""")
+def citation_check(spark, d):
+    """Retrieved sources named in the answer, their share, and cited names never retrieved."""
+    a = _answers(spark, d)
+    cited = F.size(J.cited_sources("answer", "sources"))
+    return a.select("qid", F.size("sources").alias("n_sources"), cited.alias("n_cited"),
+                    F.round(cited / F.size("sources"), 6).alias("cited_share"),
+                    F.array_join(J.unknown_citations("answer", "sources"), ",").alias("unknown_citations"))
+
+
+@register("confidence_extract", "WITH " + SQL_ANSWERS + r"""
+SELECT qid, TRY_CAST(nullif(regexp_extract(answer, '[Cc]onfidence[^0-9]*([0-9]{1,3})[ \t]*%', 1), '') AS INTEGER)
+         AS confidence
+FROM ans""")
+def confidence_extract(spark, d):
+    """Self-reported confidence percentage of each answer."""
+    return _answers(spark, d).select("qid", J.confidence("answer").alias("confidence"))
+
+
+def _sql_render(template: str, **cols: str) -> str:
+    pieces, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.group(1) not in cols:
+            continue
+        pieces.append("'" + template[pos:m.start()].replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+        pieces.append(f"coalesce({cols[m.group(1)]}, '')")
+        pos = m.end()
+    pieces.append("'" + template[pos:].replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+    return " || ".join(pieces)
+
+
+@register("render_prompts", "WITH " + SQL_ANSWERS + f""",
+jc AS (SELECT qid, string_agg('[' || source || ']: ' || substr(text, 1, 80), chr(10) ORDER BY rank) AS jctx
+       FROM hm GROUP BY qid),
+p AS (
+  SELECT b.item_id AS qid,
+         {_sql_render(J.ANSWER_TEMPLATE, question='b.text', context='a.context')} AS answer_prompt,
+         {_sql_render(J.JUDGE_TEMPLATE, question='b.text', context='jc.jctx', answer='a.answer')} AS judge_prompt
+  FROM benchmark b LEFT JOIN ans a ON a.qid = b.item_id LEFT JOIN jc ON jc.qid = b.item_id
+)
+SELECT qid, md5(answer_prompt) AS answer_prompt_md5, length(answer_prompt) AS answer_prompt_chars,
+       md5(judge_prompt) AS judge_prompt_md5
+FROM p""")
+def render_prompts(spark, d):
+    """Answer and judge prompts for every question (judge sees 80-character previews, D8)."""
+    qs = _questions(spark, d)
+    a = _answers(spark, d)
+    h = _rag_hits(spark, d)
+    chunks = _fixed(spark, d).select("doc", "chunk_no", "text")
+    src = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
+    hm = h.join(chunks, ["doc", "chunk_no"]).join(src, "doc", "left") \
+        .withColumn("source", F.coalesce("source", F.lit("Unknown")))
+    from ragtide.operators.retrieve import judge_context
+    jc = judge_context(hm)
+    p = qs.join(a, "qid", "left").join(jc, "qid", "left").select(
+        "qid",
+        J.render(J.ANSWER_TEMPLATE, question="question", context="context").alias("ap"),
+        J.render(J.JUDGE_TEMPLATE, question="question", context="context_preview", answer="answer").alias("jp"))
+    return p.select("qid", F.md5("ap").alias("answer_prompt_md5"), F.length("ap").alias("answer_prompt_chars"),
+                    F.md5("jp").alias("judge_prompt_md5"))
+
+
+@register("keyword_hit_rate", "WITH " + SQL_ANSWERS + """
+SELECT qid, round(keyword_hit_rate, 6) AS keyword_hit_rate FROM khr""")
+def keyword_hit_rate(spark, d):
+    """V1: share of each question's expected keywords found in its answer."""
+    qs = _questions(spark, d)
+    a = _answers(spark, d).select("qid", "answer")
+    return qs.join(a, "qid", "left").select(
+        "qid", F.round(EV.keyword_hit_rate("expected_keywords", "answer"), 6).alias("keyword_hit_rate"))
+
+
+@register("evaluation_rows", "WITH " + SQL_EVAL + """
+SELECT qid, n_sources, round(keyword_hit_rate, 6) AS keyword_hit_rate, faithfulness, relevance, completeness,
+       citation, overall, judge_ok
+FROM erows""")
+def evaluation_rows(spark, d):
+    """V2/V6: one evaluation row per question: sources, keyword rate, verdict marks."""
+    r = _eval_rows(spark, d)
+    return r.select("qid", "n_sources", F.round("keyword_hit_rate", 6).alias("keyword_hit_rate"),
+                    *EV.METRICS, "judge_ok")
+
+
+@register("metric_averages", "WITH " + SQL_EVAL + """
+SELECT count(*) AS n, round(avg(faithfulness), 6) AS faithfulness, round(avg(relevance), 6) AS relevance,
+       round(avg(completeness), 6) AS completeness, round(avg(citation), 6) AS citation,
+       round(avg(overall), 6) AS overall, round(avg(keyword_hit_rate), 6) AS keyword_hit_rate
+FROM erows""")
+def metric_averages(spark, d):
+    """V3: mean of every metric over the evaluation set."""
+    m = EV.metric_averages(_eval_rows(spark, d))
+    return m.select("n", *[F.round(c, 6).alias(c) for c in EV.METRICS + ["keyword_hit_rate"]])
+
+
+@register("gate_failing_rows", "WITH " + SQL_EVAL + """
+SELECT qid, 'returns_sources' AS test, CAST(n_sources AS DOUBLE) AS value FROM erows WHERE n_sources <= 0
+UNION ALL
+SELECT qid, 'faithfulness_above_threshold' AS test, faithfulness AS value FROM erows WHERE faithfulness < 4.0""")
+def gate_failing_rows(spark, d):
+    """V4: questions failing a per-row gate."""
+    return EV.gate_failing_rows(_eval_rows(spark, d))
+
+
+@register("quality_gates", "WITH " + SQL_EVAL + """,
+a AS (SELECT avg(overall) AS mo, min(faithfulness) AS mf, avg(keyword_hit_rate) AS mk,
+             CAST(min(n_sources) AS DOUBLE) AS ms FROM erows),
+g AS (
+  SELECT 'mean_overall' AS test, mo AS value, 5.0 AS threshold FROM a
+  UNION ALL SELECT 'min_faithfulness', mf, 4.0 FROM a
+  UNION ALL SELECT 'mean_keyword_hit_rate', mk, 0.5 FROM a
+  UNION ALL SELECT 'min_n_sources', ms, 1.0 FROM a
+), gp AS (SELECT test, value, threshold, coalesce(value >= threshold, false) AS passed FROM g)
+SELECT test, round(value, 6) AS value, CAST(threshold AS DOUBLE) AS threshold, passed FROM gp
+UNION ALL SELECT 'all_passed', NULL, NULL, bool_and(passed) FROM gp""")
+def quality_gates(spark, d):
+    """V5: set gates as rows (test, value, threshold, passed) and all_passed."""
+    g = EV.quality_gates(_eval_rows(spark, d))
+    return g.select("test", F.round("value", 6).alias("value"), "threshold", "passed")
