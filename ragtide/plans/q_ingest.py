@@ -1 +1,123 @@
-"""Queries (to be filled)."""
+"""Incremental ingestion queries: delta, status, skip, replace-by-document, manifest, batch job."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ragtide.operators import chunk as C
+from ragtide.operators import ingest as I
+from ragtide.plans.q_chunks import SQL_FIXED
+from ragtide.plans.registry import register
+from ragtide.sources.derived import (
+    DELETED_OFFSET, OLD_SUFFIX, PREVIOUS_AT, current_raw, previous_documents, previous_manifest,
+)
+from ragtide.sources.tables import table
+
+SQL_STATE = f"""
+cur AS (SELECT doc_id AS doc, 'docs/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, md5(text) AS fingerprint
+        FROM documents),
+prev AS (
+  SELECT doc_id AS doc, CASE WHEN doc_id % 10 = 0 THEN text || '{OLD_SUFFIX}' ELSE text END AS text
+  FROM documents WHERE doc_id % 13 <> 0
+  UNION ALL SELECT doc_id + {DELETED_OFFSET} AS doc, text FROM documents WHERE doc_id % 17 = 0
+),
+man AS (SELECT 'docs/' || CAST(doc AS VARCHAR) || '.pdf' AS path, md5(text) AS fingerprint FROM prev)"""
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+@register("changed_documents", "WITH " + SQL_STATE + """
+SELECT path, fingerprint FROM cur WHERE NOT EXISTS (
+  SELECT 1 FROM man WHERE man.path = cur.path AND man.fingerprint = cur.fingerprint)""")
+def changed_documents(spark, d):
+    """New or modified documents against the manifest (anti join on path + fingerprint)."""
+    docs = _docs(spark, d)
+    return I.changed_documents(current_raw(docs), previous_manifest(docs)).select("path", "fingerprint")
+
+
+@register("delta_status", "WITH " + SQL_STATE + """
+SELECT coalesce(cur.path, man.path) AS path,
+       CASE WHEN man.path IS NULL THEN 'new' WHEN cur.path IS NULL THEN 'deleted'
+            WHEN cur.fingerprint = man.fingerprint THEN 'unchanged' ELSE 'modified' END AS status
+FROM cur FULL OUTER JOIN man ON man.path = cur.path""")
+def delta_status(spark, d):
+    """New / modified / unchanged / deleted per path."""
+    docs = _docs(spark, d)
+    return I.delta_status(current_raw(docs), previous_manifest(docs))
+
+
+@register("skip_existing", """
+SELECT doc_id, CAST(doc_id AS VARCHAR) || '.txt' AS txt_name FROM documents WHERE doc_id % 3 <> 0""")
+def skip_existing(spark, d):
+    """Documents still to parse: parsed outputs exist for doc_id % 3 = 0 (anti join on stem)."""
+    docs = _docs(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("stem"))
+    outputs = docs.where(F.col("doc_id") % 3 == 0).select("stem")
+    todo = I.skip_existing(docs, outputs)
+    return todo.select("doc_id", F.concat("stem", F.lit(".txt")).alias("txt_name"))
+
+
+@register("reindex_replace", "WITH " + SQL_FIXED + """
+SELECT doc, chunk_no, md5(text) AS text_md5 FROM chk""")
+def reindex_replace(spark, d):
+    """I4: old index with changed/deleted documents replaced equals a full rebuild (no stale chunk)."""
+    docs = _docs(spark, d)
+    old_index = C.chunk_fixed(previous_documents(docs), doc="doc")
+    raw = current_raw(docs)
+    man = previous_manifest(docs)
+    changed = I.changed_documents(raw, man)
+    deleted_paths = man.join(raw.select("path"), "path", "left_anti")
+    deleted = deleted_paths.select(
+        F.regexp_extract("path", r"docs/([0-9]+)\.pdf", 1).cast("bigint").alias("doc"))
+    touched = changed.select("doc").unionByName(deleted)
+    new_chunks = C.chunk_fixed(changed.select("doc", "text"), doc="doc")
+    out = I.reindex_replace(old_index, touched, new_chunks)
+    return out.select("doc", "chunk_no", F.md5("text").alias("text_md5"))
+
+
+@register("manifest_upsert", "WITH " + SQL_STATE + """
+SELECT path, fingerprint FROM cur
+UNION ALL SELECT path, fingerprint FROM man WHERE path NOT IN (SELECT path FROM cur)""")
+def manifest_upsert(spark, d):
+    """K3: manifest after indexing the delta: newest entry per path (deleted paths kept, as in the reference)."""
+    docs = _docs(spark, d)
+    raw = current_raw(docs)
+    man = previous_manifest(docs)
+    entries = I.changed_documents(raw, man).select(
+        "path", "fingerprint", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("indexed_at"))
+    return I.manifest_upsert(man, entries).select("path", "fingerprint")
+
+
+@register("manifest_rows", "WITH " + SQL_STATE + """
+SELECT path, fingerprint FROM cur""")
+def manifest_rows(spark, d):
+    """Manifest written as sharded JSON maps and read back as rows."""
+    raw = current_raw(_docs(spark, d)).withColumnRenamed("doc", "doc_id")
+    shards = I.manifest_to_json_shards(raw, shard_size=100)
+    return I.manifest_rows(shards)
+
+
+@register("ingest_batch", "WITH " + SQL_FIXED + """
+SELECT doc, chunk_no, md5(text) AS text_md5 FROM chk""")
+def ingest_batch(spark, d):
+    """Full job on disk: build the previous index, run one incremental batch, run it again
+    (must touch nothing), read the index back.  Must equal a full rebuild of the current corpus."""
+    docs = _docs(spark, d)
+    root = I.scratch_path(spark, "ingest")
+    index_path, manifest_path = f"{root}/index", f"{root}/manifest"
+
+    def to_chunks(df):
+        return C.chunk_fixed(df, doc="doc")
+
+    prev = previous_documents(docs)
+    I.write_index(to_chunks(prev), index_path, n_buckets=16)
+    previous_manifest(docs).write.mode("overwrite").parquet(manifest_path)
+    I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path,
+                   to_chunks=to_chunks, n_buckets=16)
+    again = I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path,
+                           to_chunks=to_chunks, n_buckets=16)
+    if again != 0:
+        raise AssertionError(f"rerun on unchanged input touched {again} documents")
+    idx = spark.read.parquet(index_path)
+    return idx.select("doc", "chunk_no", F.md5("text").alias("text_md5"))

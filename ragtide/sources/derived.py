@@ -115,3 +115,37 @@ def extractive_answers(hits: DataFrame, *, q_id: str = "qid") -> DataFrame:
         F.array_sort(F.array_distinct(F.collect_list("source"))).alias("sources"),
         F.count(F.lit(1)).alias("n_sources"))
     return ctx.join(top, q_id, "left")
+
+
+# ------------------------------------------------------------------ ingestion fixtures
+# Current state: every document is a file docs/{doc_id}.pdf with fingerprint md5(text).
+# Previous state (what the manifest and the old index describe): documents with
+# doc_id % 13 = 0 did not exist yet; doc_id % 10 = 0 had another text; and for every
+# doc_id % 17 = 0 a file docs/{doc_id + 1000000}.pdf existed that is gone now.
+PREVIOUS_AT = "2024-01-01 00:00:00"
+OLD_SUFFIX = " (superseded revision)"
+DELETED_OFFSET = 1_000_000
+
+
+def doc_path(doc_id) -> F.Column:
+    return F.concat(F.lit("docs/"), doc_id.cast("string"), F.lit(".pdf"))
+
+
+def current_raw(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("doc"), doc_path(F.col("doc_id")).alias("path"),
+                            F.md5("text").alias("fingerprint"), "text")
+
+
+def previous_documents(documents: DataFrame) -> DataFrame:
+    kept = documents.where(F.col("doc_id") % 13 != 0).select(
+        F.col("doc_id").alias("doc"),
+        F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(OLD_SUFFIX))).otherwise(F.col("text")).alias("text"))
+    gone = documents.where(F.col("doc_id") % 17 == 0).select(
+        (F.col("doc_id") + DELETED_OFFSET).alias("doc"), "text")
+    return kept.unionByName(gone)
+
+
+def previous_manifest(documents: DataFrame) -> DataFrame:
+    prev = previous_documents(documents)
+    return prev.select(doc_path(F.col("doc")).alias("path"), F.md5("text").alias("fingerprint"),
+                       F.lit(PREVIOUS_AT).cast("timestamp").alias("indexed_at"))
