@@ -103,17 +103,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ingest_batch(spark: SparkSession, raw: DataFrame, *, index_path: str, manifest_path: str,
-                 to_chunks, n_buckets: int = 64, now=None) -> int:
+                 to_chunks, n_buckets: int = 64, now=None, detect_deletions: bool = True) -> int:
     """One incremental batch.  Returns the number of touched documents (0 = nothing written).
 
     ``raw``: (doc, path, fingerprint, text) of the current documents.  ``to_chunks``:
     DataFrame(doc, text) -> chunk rows (doc, chunk_no, ...), e.g. chunk + encode.
     Steps: delta -> chunks of changed documents -> rewrite of touched index buckets ->
-    manifest written last.
+    manifest written last.  ``detect_deletions=False`` for a stream micro-batch, which
+    holds only the files that arrived, not the whole corpus.
     """
     manifest = _read_or_empty(spark, manifest_path, MANIFEST_SCHEMA)
     changed = changed_documents(raw, manifest)
-    deleted = manifest.join(raw.select("path"), "path", "left_anti").select("path")
+    if detect_deletions:
+        deleted = manifest.join(raw.select("path"), "path", "left_anti").select("path")
+    else:
+        deleted = manifest.select("path").limit(0)
     doc_of_path = F.regexp_extract(F.col("path"), r"([^/]+?)(\.[^./]*)?$", 1)
     touched = changed.select("doc").unionByName(
         deleted.select(doc_of_path.alias("doc")).withColumn("doc", F.col("doc").cast(raw.schema["doc"].dataType)))
