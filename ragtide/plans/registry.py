@@ -55,7 +55,7 @@ def load_all() -> dict[str, Query]:
     # Importing the plan modules fills REGISTRY.
     from ragtide.plans import (  # noqa: F401
         q_retrieval, q_elements, q_chunks, q_judge, q_evaluate, q_ingest, q_monitor, q_sessions,
-        q_streaming,
+        q_streaming, q_io,
     )
 
     return REGISTRY
