@@ -358,7 +358,9 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
 
     Hot lists are split: a list with m rows is cut into ceil(m / salt_rows) salts by
     hashing the row id, and each probe is replicated over that list's salts, so one
-    list holding a third of the corpus still spreads over many tasks.
+    list holding a third of the corpus still spreads over many tasks.  Each (list, salt)
+    cell is scored by one matrix product (cogroup of probes and rows) and keeps its
+    local top-k before the final ranking shuffle.
     """
     sizes = assigned.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("_m"))
     salts = sizes.select("centroid_id", F.greatest(F.lit(1), F.ceil(F.col("_m") / salt_rows)).cast("int").alias("_s"))
@@ -370,9 +372,33 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     probes = probes.withColumn("_pr", F.row_number().over(w)).where(F.col("_pr") <= nprobe)
     probes = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     c = assigned.join(F.broadcast(salts), "centroid_id").select(
-        c_id, c_vec, "centroid_id", F.pmod(F.xxhash64(c_id), F.col("_s")).cast("int").alias("_salt")
+        c_id, V.as_double(c_vec).alias("_cv"), "centroid_id",
+        F.pmod(F.xxhash64(c_id), F.col("_s")).cast("int").alias("_salt")
     )
-    scored = probes.join(c, ["centroid_id", "_salt"]).select(q_id, c_id, V.dot(q_vec, c_vec).alias("score"))
+    pq = probes.select(q_id, V.as_double(q_vec).alias("_qv"), "centroid_id", "_salt")
+    out_schema = T.StructType([
+        T.StructField(q_id, questions.schema[q_id].dataType),
+        T.StructField(c_id, assigned.schema[c_id].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+
+    def cell(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        """One (list, salt) cell: its probing questions x its rows, local top-k per question."""
+        if qdf.empty or cdf.empty:
+            return pd.DataFrame({q_id: [], c_id: [], "score": []})
+        C = np.stack(cdf["_cv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+        cids = cdf[c_id].to_numpy()
+        qids_all = qdf[q_id].to_numpy()
+        block = max(1, 4_000_000 // len(C))  # bounds the score matrix, however many questions probe this list
+        parts = []
+        for lo in range(0, len(qdf), block):
+            Q = np.stack(qdf["_qv"].iloc[lo:lo + block].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            S = C @ Q.T
+            rows, cols = _local_topk(S, k)
+            parts.append(pd.DataFrame({q_id: qids_all[lo:lo + block][cols], c_id: cids[rows], "score": S[rows, cols]}))
+        return pd.concat(parts, ignore_index=True)
+
+    scored = pq.groupBy("centroid_id", "_salt").cogroup(c.groupBy("centroid_id", "_salt")).applyInPandas(cell, out_schema)
     return _rank(scored, q_id, c_id, k, ascending=False).select(q_id, "rank", c_id, "score")
 
 

@@ -101,20 +101,22 @@ def text_questions(benchmark: DataFrame) -> DataFrame:
 def extractive_answers(hits: DataFrame, *, q_id: str = "qid") -> DataFrame:
     """Offline stand-in for the generation step: per question, the answer is the first 300
     characters of the best hit, its cited source and a confidence equal to its cosine in
-    percent; the context is the hit texts in rank order.  Groups hold k rows.
+    percent; the context is the hit texts in rank order.  One aggregate per question
+    (groups hold k rows), so the hits are computed once.
 
     ``hits``: (qid, rank, source, text, score).
     """
-    top = hits.where(F.col("rank") == 1).select(
-        q_id,
-        F.concat(F.substring("text", 1, 300), F.lit(" ["), F.col("source"), F.lit("] Confidence: "),
-                 F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("%")).alias("answer"))
-    ctx = hits.groupBy(q_id).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]),
-                     "\n").alias("context"),
-        F.array_sort(F.array_distinct(F.collect_list("source"))).alias("sources"),
+    g = hits.groupBy(q_id).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "text", "source", "score"))).alias("_h"),
         F.count(F.lit(1)).alias("n_sources"))
-    return ctx.join(top, q_id, "left")
+    best = F.col("_h")[0]
+    answer = F.concat(F.substring(best["text"], 1, 300), F.lit(" ["), best["source"], F.lit("] Confidence: "),
+                      F.round(best["score"] * 100).cast("int").cast("string"), F.lit("%"))
+    return g.select(
+        q_id,
+        F.array_join(F.transform("_h", lambda x: x["text"]), "\n").alias("context"),
+        F.array_sort(F.array_distinct(F.transform("_h", lambda x: x["source"]))).alias("sources"),
+        "n_sources", answer.alias("answer"))
 
 
 # ------------------------------------------------------------------ ingestion fixtures

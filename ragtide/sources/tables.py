@@ -19,7 +19,21 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer splits than the cluster has slots.
+
+    A Parquet file splits at row-group boundaries, so a small but CPU-heavy table (long
+    texts) can arrive in a handful of partitions.  Below the default parallelism the
+    rows are hash-spread over that many partitions; at scale, where scans have far more
+    splits than slots, this is a no-op and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns[:1]]))
 
 
 # ---------------------------------------------------------------- file sources
