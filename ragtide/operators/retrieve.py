@@ -249,11 +249,27 @@ def with_bands(hits: DataFrame, score: str = "score") -> DataFrame:
     return hits.withColumn("quality", V.quality_band(score))
 
 
+def attach(hits: DataFrame, big: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join columns of a large table onto the hit rows without shuffling the large table.
+
+    The hit keys (k rows per question; the question batch is size-checked before the
+    search) are broadcast and the large table is streamed once through a broadcast
+    hash join; the two small results are then joined.  A plain ``hits LEFT JOIN big``
+    cannot broadcast its preserved side and would shuffle the whole large table.
+    The hits are used twice, so they are checkpointed once (reliable checkpoint in the
+    shared folder) instead of running the search twice.
+    """
+    hits = hits.checkpoint()
+    wanted = F.broadcast(hits.select(*keys).distinct())
+    small = big.join(wanted, keys, "inner")
+    return hits.join(small, keys, how)
+
+
 def hit_metadata(hits: DataFrame, docs: DataFrame, *, c_id="vec_id", doc_id="doc_id",
                  source="source", text="text") -> DataFrame:
     """Attach source name (default 'Unknown') and text of each hit; hits stay k per question."""
     meta = docs.select(F.col(doc_id).alias(c_id), F.col(source).alias("_src"), F.col(text).alias("_txt"))
-    return hits.join(meta, c_id, "left").select(
+    return attach(hits, meta, [c_id]).select(
         *hits.columns,
         F.coalesce(F.element_at(F.split("_src", "/"), -1), F.lit("Unknown")).alias("source"),
         F.coalesce("_txt", F.lit("")).alias("text"),

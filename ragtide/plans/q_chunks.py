@@ -125,7 +125,7 @@ def rag_retrieve(spark, d):
     """Text question -> encoder -> exact top-12 chunks -> cosine, band and source."""
     h = _rag_hits(spark, d)
     src = _docs(spark, d).select(F.col("doc_id").alias("doc"), "source")
-    return h.join(src, "doc", "left").select(
+    return R.attach(h, src, ["doc"]).select(
         "qid", "rank", "doc", "chunk_no", F.coalesce("source", F.lit("Unknown")).alias("source"),
         F.round("score", 6).alias("cos"), V.quality_band("score").alias("quality"))
 
@@ -149,7 +149,7 @@ def retrieval_recall(spark, d):
     h = _rag_hits(spark, d)
     docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), F.col("text").alias("_dt"))
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("_q"))
-    rel = h.join(docs, "doc").join(bench, "qid").select(
+    rel = R.attach(h, docs, ["doc"], "inner").join(F.broadcast(bench), "qid").select(
         "qid", "rank", (F.instr("_dt", F.col("_q")) > 0).cast("int").alias("relevant"))
     per = rel.groupBy("qid").agg(
         F.max("relevant").alias("found"),

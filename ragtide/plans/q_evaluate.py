@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ragtide.operators import evaluate as EV
 from ragtide.operators import judge as J
+from ragtide.operators import retrieve as R
 from ragtide.plans.q_chunks import SQL_RAG, _fixed, _rag_hits
 from ragtide.plans.q_judge import sql_verdicts
 from ragtide.plans.registry import register
@@ -56,7 +57,7 @@ def _answers(spark, d):
     h = _rag_hits(spark, d)
     chunks = _fixed(spark, d).select("doc", "chunk_no", "text")
     src = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    hm = h.join(chunks, ["doc", "chunk_no"]).join(src, "doc", "left") \
+    hm = R.attach(R.attach(h, chunks, ["doc", "chunk_no"], "inner"), src, ["doc"]) \
         .withColumn("source", F.coalesce("source", F.lit("Unknown")))
     return extractive_answers(hm)
 
@@ -143,7 +144,7 @@ def render_prompts(spark, d):
     h = _rag_hits(spark, d)
     chunks = _fixed(spark, d).select("doc", "chunk_no", "text")
     src = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    hm = h.join(chunks, ["doc", "chunk_no"]).join(src, "doc", "left") \
+    hm = R.attach(R.attach(h, chunks, ["doc", "chunk_no"], "inner"), src, ["doc"]) \
         .withColumn("source", F.coalesce("source", F.lit("Unknown")))
     from ragtide.operators.retrieve import judge_context
     jc = judge_context(hm)
