@@ -92,9 +92,15 @@ def with_bucket(df: DataFrame, n_buckets: int, *, doc: str = "doc") -> DataFrame
     return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(doc)), F.lit(n_buckets)).cast("int"))
 
 
+def by_bucket(df: DataFrame) -> DataFrame:
+    """Group rows by bucket before a partitioned write: few files per bucket instead of one
+    per (task, bucket).  ``rebalance`` lets AQE split a bucket that one huge document makes hot."""
+    return df.hint("rebalance", "bucket")
+
+
 def write_index(chunks: DataFrame, path: str, n_buckets: int = 64, *, doc: str = "doc") -> None:
     """K2 full build: the index partitioned by document bucket."""
-    with_bucket(chunks, n_buckets, doc=doc).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    by_bucket(with_bucket(chunks, n_buckets, doc=doc)).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -134,7 +140,7 @@ def ingest_batch(spark: SparkSession, raw: DataFrame, *, index_path: str, manife
     else:
         rewritten = new_chunks
     rewritten = rewritten.checkpoint()  # cut lineage: the write below replaces files it was read from
-    (rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (by_bucket(rewritten).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(index_path))
     ts = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     entries = changed.select("path", "fingerprint", ts.alias("indexed_at"))
