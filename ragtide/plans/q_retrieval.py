@@ -274,3 +274,12 @@ def recall_at_k(spark, d):
     approx = R.topk_ivf(qs, assigned, cents, K, nprobe=4)
     exact = R.topk(qs, emb, K)
     return R.recall_at_k(approx, exact)
+
+
+@register("topk_ivf")
+def topk_ivf(spark, d):
+    """Approximate top-12 probing the 4 nearest of round(sqrt(n)) k-means lists (rows only)."""
+    qs, emb = _questions_and_corpus(spark, d)
+    assigned, cents = R.ivf_index(emb)
+    h = R.topk_ivf(qs, assigned, cents, K, nprobe=4)
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("cos"))
