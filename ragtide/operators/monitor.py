@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragtide.functions.relational import with_scalars
+
 # Fixed values that must equal the reference.
 #   no-answer marker text: "No relevant documents found"
 #   alert when reference avg faithfulness - current avg > 1.5, or no-answer rate > 0.15 (strict)
@@ -59,7 +61,7 @@ def with_reference(current_summary: DataFrame, reference: DataFrame) -> DataFram
     No emptiness action on the driver: both are one-row aggregates joined and coalesced.
     """
     ref = reference.agg(F.avg("faithfulness").alias("_ref"), F.count(F.lit(1)).alias("_nref"))
-    j = current_summary.crossJoin(ref)
+    j = with_scalars(current_summary, ref)
     use_cur = F.col("_nref") == 0
     return j.select(
         *current_summary.columns,

@@ -77,6 +77,9 @@ def topk(
     ``force``: None (choose by size), 'broadcast' (vectorised), 'hof' (JVM
     higher-order functions) or 'grid'.
     """
+    # The question batch is read up to three times (size check, collection or grid
+    # join): materialise it once in the shared checkpoint folder.
+    questions = questions.select(q_id, q_vec).checkpoint()
     n_q, dim = _size_check(questions, q_vec)
     path = force
     if path is None:
@@ -380,18 +383,14 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     """
     sizes = assigned.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("_m"))
     salts = sizes.select("centroid_id", F.greatest(F.lit(1), F.ceil(F.col("_m") / salt_rows)).cast("int").alias("_s"))
-    cent = F.broadcast(centroids.join(salts, "centroid_id"))  # one row per list: bounded by n_lists
-    probes = questions.select(q_id, q_vec).join(cent, how="inner").select(
-        q_id, q_vec, "centroid_id", "_s", V.dot(q_vec, "centroid").alias("_cd")
-    )
-    w = Window.partitionBy(q_id).orderBy(F.col("_cd").desc(), F.col("centroid_id"))
-    probes = probes.withColumn("_pr", F.row_number().over(w)).where(F.col("_pr") <= nprobe)
+    probes = _nearest_lists(questions, centroids, nprobe, q_id, q_vec)
+    probes = probes.join(F.broadcast(salts), "centroid_id")  # one row per list: bounded by n_lists
     probes = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     c = assigned.join(F.broadcast(salts), "centroid_id").select(
         c_id, V.as_double(c_vec).alias("_cv"), "centroid_id",
         F.pmod(F.xxhash64(c_id), F.col("_s")).cast("int").alias("_salt")
     )
-    pq = probes.select(q_id, V.as_double(q_vec).alias("_qv"), "centroid_id", "_salt")
+    pq = probes.select(q_id, "_qv", "centroid_id", "_salt")
     out_schema = T.StructType([
         T.StructField(q_id, questions.schema[q_id].dataType),
         T.StructField(c_id, assigned.schema[c_id].dataType),
@@ -418,6 +417,37 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     return _rank(scored, q_id, c_id, k, ascending=False).select(q_id, "rank", c_id, "score")
 
 
+def _nearest_lists(questions: DataFrame, centroids: DataFrame, nprobe: int, q_id: str, q_vec: str) -> DataFrame:
+    """(q_id, _qv, centroid_id) for the ``nprobe`` nearest lists of every question.
+
+    The centroid matrix (n_lists x dim, a bounded table: the k-means model already
+    holds it on the driver) is broadcast once; each Arrow batch of questions is one
+    matrix product and an arg-partition, ties broken by list id.
+    """
+    cp = centroids.orderBy("centroid_id").toPandas()
+    cids = cp["centroid_id"].to_numpy()
+    Cm = np.stack(cp["centroid"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+    bc = questions.sparkSession.sparkContext.broadcast((cids, Cm))
+    schema = T.StructType([T.StructField(q_id, questions.schema[q_id].dataType),
+                           T.StructField("_qv", T.ArrayType(T.DoubleType())),
+                           T.StructField("centroid_id", T.IntegerType())])
+
+    def probe(batches):
+        ids, C = bc.value
+        p = min(nprobe, len(ids))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            Q = np.stack(pdf["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            S = Q @ C.T
+            order = np.lexsort((np.broadcast_to(ids, S.shape), -S), axis=1)[:, :p]
+            rows = np.repeat(np.arange(len(pdf)), p)
+            yield pd.DataFrame({q_id: pdf[q_id].to_numpy()[rows], "_qv": pdf["_qv"].to_numpy()[rows],
+                                "centroid_id": ids[order.ravel()].astype(np.int32)})
+
+    return questions.select(q_id, V.as_double(q_vec).alias("_qv")).mapInPandas(probe, schema)
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame, *, q_id="qid", c_id="vec_id") -> DataFrame:
     """Per-question recall of the approximate hits against the exact ones, and the mean."""
     e = exact.select(q_id, c_id, F.lit(1).alias("_e"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions import vectors as V
+from ragtide.functions.relational import with_scalars
 from ragtide.operators import chunk as C
 from ragtide.operators import encode as E
 from ragtide.operators import ingest as I
@@ -158,4 +159,4 @@ def eval_report(spark, d):
     schema = "struct<" + ",".join(f"{m}:double" for m in METRICS) + ">"
     avg = spark.read.text(f"{root}/report/averages").select(F.from_json("value", schema).alias("a"))
     n = spark.read.parquet(f"{root}/report/details").agg(F.count(F.lit(1)).alias("n_details"))
-    return avg.crossJoin(n).select(*[F.round(f"a.{m}", 6).alias(m) for m in METRICS], "n_details")
+    return with_scalars(avg, n).select(*[F.round(f"a.{m}", 6).alias(m) for m in METRICS], "n_details")
