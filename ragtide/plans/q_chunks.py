@@ -79,8 +79,8 @@ def chunk_invariants(spark, d):
 @register("chunk_stats", "WITH " + SQL_FIXED + """,
 per AS (SELECT doc, count(*) AS n FROM chk GROUP BY doc),
 alld AS (SELECT d.doc_id, coalesce(p.n, 0) AS n FROM documents d LEFT JOIN per p ON p.doc = d.doc_id)
-SELECT count(*) AS n_documents, sum(n) AS n_chunks, round(avg(n), 6) AS chunks_per_document,
-       count_if(n = 0) AS documents_without_chunks
+SELECT count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chunks, round(avg(n), 6) AS chunks_per_document,
+       CAST(count_if(n = 0) AS BIGINT) AS documents_without_chunks
 FROM alld""")
 def chunk_stats(spark, d):
     """Total chunks and chunks per document (documents without chunks included)."""
@@ -138,7 +138,7 @@ rel AS (
   SELECT qid, max(relevant) AS found, coalesce(min(CASE WHEN relevant = 1 THEN rank END), 0) AS first_rank
   FROM rel GROUP BY qid
 )
-SELECT count(*) AS n_questions, sum(found) AS n_found, round(avg(found), 6) AS hit_rate,
+SELECT count(*) AS n_questions, CAST(sum(found) AS BIGINT) AS n_found, round(avg(found), 6) AS hit_rate,
        round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0.0 END), 6) AS mrr
 FROM per""")
 def retrieval_recall(spark, d):

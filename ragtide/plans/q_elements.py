@@ -116,7 +116,7 @@ def format_elements(spark, d):
 
 @register("assemble_documents", "WITH " + SQL_LINES + "," + SQL_FORMAT + """
 SELECT doc, md5(string_agg(formatted, chr(10) ORDER BY pos)) AS text_md5,
-       sum(length(formatted)) + count(*) - 1 AS n_chars, count(*) AS n_elements
+       CAST(sum(length(formatted)) + count(*) - 1 AS BIGINT) AS n_chars, count(*) AS n_elements
 FROM fmt WHERE formatted IS NOT NULL GROUP BY doc""")
 def assemble_documents(spark, d):
     """P5 (tagged style): one text per document from its ordered, formatted elements."""
@@ -134,9 +134,11 @@ def assemble_documents_plain(spark, d):
 
 
 @register("element_stats", "WITH " + SQL_ELEMENTS + """
-SELECT doc, count_if(category = 'Table') AS "Table", count_if(category = 'Title') AS Title,
-       count_if(category = 'NarrativeText') AS NarrativeText, count_if(category = 'ListItem') AS ListItem,
-       count_if(coalesce(category, '') NOT IN ('Table', 'Title', 'NarrativeText', 'ListItem')) AS ignored
+SELECT doc, CAST(count_if(category = 'Table') AS BIGINT) AS "Table",
+       CAST(count_if(category = 'Title') AS BIGINT) AS Title,
+       CAST(count_if(category = 'NarrativeText') AS BIGINT) AS NarrativeText,
+       CAST(count_if(category = 'ListItem') AS BIGINT) AS ListItem,
+       CAST(count_if(coalesce(category, '') NOT IN ('Table', 'Title', 'NarrativeText', 'ListItem')) AS BIGINT) AS ignored
 FROM elements GROUP BY doc""")
 def element_stats(spark, d):
     """Per-page counts of kept categories and of everything else."""

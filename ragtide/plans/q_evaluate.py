@@ -105,7 +105,7 @@ def citation_check(spark, d):
 
 
 @register("confidence_extract", "WITH " + SQL_ANSWERS + r"""
-SELECT qid, TRY_CAST(nullif(regexp_extract(answer, '[Cc]onfidence[^0-9]*([0-9]{1,3})[ \t]*%', 1), '') AS INTEGER)
+SELECT qid, TRY_CAST(nullif(regexp_extract(answer, '[Cc]onfidence[^0-9]*([0-9]{1,3})[ \t]*%', 1), '') AS BIGINT)
          AS confidence
 FROM ans""")
 def confidence_extract(spark, d):

@@ -94,7 +94,7 @@ def load_vectors(spark, d):
 
 
 @register("latest_snapshot", """
-SELECT vec_id, 3 AS snapshot_id FROM embeddings""")
+SELECT vec_id, CAST(3 AS BIGINT) AS snapshot_id FROM embeddings""")
 def latest_snapshot(spark, d):
     """Three published snapshots (partitioned by id); only the newest is read."""
     root = I.scratch_path(spark, "snapshots")

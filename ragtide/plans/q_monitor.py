@@ -82,7 +82,7 @@ def reference_fallback(spark, d):
 
 
 def _sql_colsum(c: str) -> str:
-    return f"""SELECT '{c}' AS column_name, count({c}) AS n, count_if({c} IS NULL) AS n_missing,
+    return f"""SELECT '{c}' AS column_name, count({c}) AS n, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing,
        round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean,
        round(stddev_samp({c}), 6) AS std, round(quantile_disc({c}, 0.25), 6) AS p25,
        round(quantile_disc({c}, 0.5), 6) AS p50, round(quantile_disc({c}, 0.75), 6) AS p75,

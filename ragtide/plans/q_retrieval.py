@@ -170,7 +170,7 @@ blocks AS (
   FROM hm
 )
 SELECT qid, md5(string_agg(b, '' ORDER BY rank)) AS context_md5,
-       sum(length(b)) AS context_chars, count(*) AS n_sources, round(avg(score), 6) AS avg_similarity
+       CAST(sum(length(b)) AS BIGINT) AS context_chars, count(*) AS n_sources, round(avg(score), 6) AS avg_similarity
 FROM blocks GROUP BY qid""")
 def assemble_context(spark, d):
     """Cited context per question (compared through its md5 and length)."""
@@ -240,7 +240,7 @@ WITH n AS (
   FROM embeddings
 )
 SELECT count(*) AS n_vectors, count(DISTINCT dim) AS n_dims, max(dim) AS dim,
-       sum(CASE WHEN abs(norm - 1) > 1e-6 THEN 1 ELSE 0 END) AS n_not_unit,
+       CAST(sum(CASE WHEN abs(norm - 1) > 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS n_not_unit,
        round(min(norm), 6) AS min_norm, round(max(norm), 6) AS max_norm
 FROM n""")
 def vector_checks(spark, d):

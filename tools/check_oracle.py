@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 
 from ragtide.plans.registry import load_all  # noqa: E402
 from ragtide.session import get_session  # noqa: E402
@@ -37,6 +38,19 @@ def _norm(v):
     return str(v)
 
 
+_TYPES = {T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN"}
+
+
+def _type_mismatches(schema, description):
+    duck = {d[0]: str(d[1]) for d in description}
+    out = []
+    for f in schema.fields:
+        st = _TYPES.get(type(f.dataType), f.dataType.simpleString())
+        if duck.get(f.name) != st:
+            out.append(f"{f.name}: spark {st} / duckdb {duck.get(f.name)}")
+    return out
+
+
 def _rows(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(_norm(r[i]) for i in order) for r in records)
@@ -58,6 +72,7 @@ def main():
         t0 = time.time()
         try:
             df = q.fn(spark, sf)
+            schema = df.schema
             scols = df.columns
             srec = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
@@ -82,7 +97,11 @@ def main():
             bad += 1
             continue
         a, b = _rows(scols, srec), _rows(dcols, drec)
-        if a == b:
+        types = _type_mismatches(schema, cur.description)
+        if a == b and types:
+            print(f"FAIL  {name}: values equal but types differ: {types}")
+            bad += 1
+        elif a == b:
             print(f"OK    {name}: {len(a)} rows ({ts:.1f}s)")
             ok += 1
         else:
