@@ -27,7 +27,7 @@ hm AS (
 ), ans AS (
   SELECT qid, string_agg(text, chr(10) ORDER BY rank) AS context, list_sort(list_distinct(list(source))) AS sources,
          count(*) AS n_sources,
-         max(CASE WHEN rank = 1 THEN substr(text, 1, 300) || ' [' || source || '] Confidence: '
+         max(CASE WHEN rank = 1 THEN text || ' [' || source || '] Confidence: '
                   || CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR) || '%' END) AS answer
   FROM hm GROUP BY qid
 ), kt AS (

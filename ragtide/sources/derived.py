@@ -99,9 +99,9 @@ def text_questions(benchmark: DataFrame) -> DataFrame:
 
 
 def extractive_answers(hits: DataFrame, *, q_id: str = "qid") -> DataFrame:
-    """Offline stand-in for the generation step: per question, the answer is the first 300
-    characters of the best hit, its cited source and a confidence equal to its cosine in
-    percent; the context is the hit texts in rank order.  One aggregate per question
+    """Offline stand-in for the generation step: per question, the answer is the whole text
+    of the best hit, its cited source and a confidence equal to its cosine in percent; the
+    context is the hit texts in rank order.  One aggregate per question
     (groups hold k rows), so the hits are computed once.
 
     ``hits``: (qid, rank, source, text, score).
@@ -110,7 +110,7 @@ def extractive_answers(hits: DataFrame, *, q_id: str = "qid") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "text", "source", "score"))).alias("_h"),
         F.count(F.lit(1)).alias("n_sources"))
     best = F.col("_h")[0]
-    answer = F.concat(F.substring(best["text"], 1, 300), F.lit(" ["), best["source"], F.lit("] Confidence: "),
+    answer = F.concat(best["text"], F.lit(" ["), best["source"], F.lit("] Confidence: "),
                       F.round(best["score"] * 100).cast("int").cast("string"), F.lit("%"))
     return g.select(
         q_id,
