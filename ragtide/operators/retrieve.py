@@ -3,18 +3,21 @@
 Plan shape of the exact search (R1/R2):
 
 * questions small (checked: rows x dimension x 8 bytes <= ``broadcast_bytes``):
-  the question batch is broadcast and the corpus is streamed once, in place, with
-  no shuffle of the corpus.  Scores are computed by JVM higher-order functions and
-  ``row_number() <= k`` is planned as WindowGroupLimit *before* the exchange, so
-  only k rows per question per corpus partition are shuffled.
-* questions large: grid partitioning of the theta join.  Questions are hashed
-  into ``bq`` blocks and corpus rows into ``bc`` blocks; the cell (qb, cb) is an
-  equi-join key, so each task multiplies one question block by one corpus block
-  (numpy, Arrow batches) and keeps only its local top-k.  Block counts are chosen
-  from the row counts so that no cell exceeds a fixed size, whatever the skew of
-  the ids, because blocks are assigned by hash, not by value.
-
-Both paths return the same rows: ranking is on ``round(score, 9)`` with the hit
+  the question matrix is shipped once as a broadcast variable and the corpus is
+  streamed once, in place, with no shuffle of the corpus; each Arrow batch is one
+  matrix product that keeps its local top-k per question, so only k rows per
+  question per batch reach the final ``row_number`` exchange.  An all-JVM variant
+  (broadcast join + higher-order functions, WindowGroupLimit before the exchange)
+  is kept as ``force='hof'``.
+* questions large: grid partitioning of the theta join.  Question blocks of the
+  broadcast budget and corpus blocks of the same size are assigned by hash; the cell
+  (qb, cb) is the key of a cogroup, so each task multiplies one question block by one
+  corpus block and keeps only its local top-k.  The corpus is replicated once per
+  question block, the minimum for blocks that fit a task; skewed ids cannot overload
+  a cell because blocks are assigned by hash, not by value.  Beyond a few blocks the
+  approximate IVF search (R11) is the intended plan.
+
+All paths return the same rows: ranking is on ``round(score, 9)`` with the hit
 id as tie-break, in every path and in the SQL oracle.
 """
 
@@ -68,14 +71,15 @@ def topk(
     metric: str = "dot",
     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
     force: str | None = None,
-    cell_rows: int = 2_000_000,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """Exact top-k per question.  Returns (q_id, rank, *c_id, score) at full precision.
 
     ``metric``: 'dot' (cosine for unit vectors, descending), 'cosine' (dot / norms,
     descending) or 'l2' (ascending).  ``c_id`` is one column or a list (composite key).
     ``force``: None (choose by size), 'broadcast' (vectorised), 'hof' (JVM
-    higher-order functions) or 'grid'.
+    higher-order functions) or 'grid'; ``block_bytes``: grid block budget (default:
+    the broadcast budget).
     """
     # The question batch is read up to three times (size check, collection or grid
     # join): materialise it once in the shared checkpoint folder.
@@ -90,7 +94,8 @@ def topk(
     elif path == "hof":
         scored = _scores_hof(questions, corpus, q_id, q_vec, ids, c_vec, metric)
     else:
-        scored = _scores_grid(questions, corpus, k, n_q, q_id, q_vec, ids, c_vec, metric, cell_rows)
+        scored = _scores_grid(questions, corpus, k, n_q, dim, q_id, q_vec, ids, c_vec, metric,
+                              block_bytes or broadcast_bytes)
     return _rank(scored, q_id, ids, k, ascending=(metric == "l2")).select(q_id, "rank", *ids, "score")
 
 
@@ -178,18 +183,20 @@ def _scores_vectorised(questions, corpus, k, q_id, q_vec, ids, c_vec, metric):
     return c.mapInPandas(score_batches, out_schema)
 
 
-def _scores_grid(questions, corpus, k, n_q, q_id, q_vec, ids, c_vec, metric, cell_rows):
+def _scores_grid(questions, corpus, k, n_q, dim, q_id, q_vec, ids, c_vec, metric, block_bytes):
     """Grid partitioning of the theta join for question sets too large to broadcast.
 
-    Questions hash into ``bq`` blocks and corpus rows into ``bc`` blocks; the cell
-    (qb, cb) is an equi-join key, so each task multiplies one question block by one
-    corpus block and keeps its local top-k.  Blocks are assigned by hash, not by
-    value, so skewed ids cannot overload a cell.
+    Questions hash into ``bq`` blocks of at most ``block_bytes`` of vectors (the
+    broadcast budget), corpus rows into ``bc`` blocks of the same size; the cell
+    (qb, cb) is an equi-join key of a cogroup.  The corpus is replicated ``bq`` times,
+    the minimum for blocks that fit a task, and the question side ``bc`` times.
+    Blocks are assigned by hash, not by value, so skewed ids cannot overload a cell;
+    inside a cell the products run in sub-blocks of bounded size and keep local top-k.
     """
     n_c = corpus.count()
-    side = max(1, int(math.sqrt(cell_rows)))
-    bq = max(1, math.ceil(n_q / side))
-    bc = max(1, math.ceil(n_c / side))
+    rows_per_block = max(1, block_bytes // (max(dim, 1) * 8))
+    bq = max(1, math.ceil(n_q / rows_per_block))
+    bc = max(1, math.ceil(n_c / rows_per_block))
     q = questions.select(
         F.col(q_id).alias("_qid"), V.as_double(q_vec).alias("_v"),
         F.pmod(F.xxhash64(q_id), F.lit(bq)).alias("qb"),
@@ -209,20 +216,26 @@ def _scores_grid(questions, corpus, k, n_q, q_id, q_vec, ids, c_vec, metric, cel
         if qdf.empty or cdf.empty:
             return pd.DataFrame({"_qid": [], **{x: [] for x in ids}, "score": []})
         Q = np.stack(qdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        C = np.stack(cdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         qn = np.sqrt((Q * Q).sum(1))
-        S = _block_scores(C, Q, qn, metric)
-        rows, cols = _local_topk(S, k)
-        if metric == "l2":
-            diff = C[rows] - Q[cols]
-            score = np.sqrt((diff * diff).sum(1))
-        else:
-            score = S[rows, cols]
-        out = {"_qid": qdf["_qid"].to_numpy()[cols]}
-        for x in ids:
-            out[x] = cdf[x].to_numpy()[rows]
-        out["score"] = score
-        return pd.DataFrame(out)
+        qids = qdf["_qid"].to_numpy()
+        step = max(1, 4_000_000 // len(Q))  # corpus sub-block: score matrix <= 4M entries
+        parts = []
+        for lo in range(0, len(cdf), step):
+            sub = cdf.iloc[lo:lo + step]
+            C = np.stack(sub["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            S = _block_scores(C, Q, qn, metric)
+            rows, cols = _local_topk(S, k)
+            if metric == "l2":
+                diff = C[rows] - Q[cols]
+                score = np.sqrt((diff * diff).sum(1))
+            else:
+                score = S[rows, cols]
+            out = {"_qid": qids[cols]}
+            for x in ids:
+                out[x] = sub[x].to_numpy()[rows]
+            out["score"] = score
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts, ignore_index=True)
 
     part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell_topk, out_schema)
     return part.select(F.col("_qid").alias(q_id), *ids, "score")

@@ -27,7 +27,7 @@ def test_paths_agree(spark, metric):
     qs, corpus = _data(spark)
     base = _rows(R.topk(qs, corpus, 5, metric=metric, force="hof"))
     assert base == _rows(R.topk(qs, corpus, 5, metric=metric, force="broadcast"))
-    assert base == _rows(R.topk(qs, corpus, 5, metric=metric, force="grid", cell_rows=100))
+    assert base == _rows(R.topk(qs, corpus, 5, metric=metric, force="grid", block_bytes=8 * 8 * 10))
 
 
 def test_ties_by_id_and_k_beyond_corpus(spark):
