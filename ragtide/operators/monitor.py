@@ -29,10 +29,17 @@ BINS = 10          # PSI / JS bins of width 1 on [0, 10]
 SHARE_FLOOR = 1e-4
 
 
-def no_answer_flag(answer) -> Column:
-    """M1: answer contains the fixed no-answer text; NULL answer -> false."""
+def no_answer_flag(answer, extra: list[str] | None = None) -> Column:
+    """M1: answer contains the fixed no-answer text; NULL answer -> false.
+
+    ``extra``: further literal markers counted as no-answer (D18, e.g. a model's own
+    "not found" wording); the default counts only the fixed text, as the reference does.
+    """
     a = F.col(answer) if isinstance(answer, str) else answer
-    return F.coalesce(F.instr(a, NO_ANSWER_TEXT) > 0, F.lit(False))
+    hit = F.instr(a, NO_ANSWER_TEXT) > 0
+    for marker in extra or []:
+        hit = hit | (F.instr(a, marker) > 0)
+    return F.coalesce(hit, F.lit(False))
 
 
 def window_24h(records: DataFrame, ts: str = "ts", now=None) -> DataFrame:

@@ -62,3 +62,11 @@ def test_daily_and_trend(spark):
     d = M.daily_quality(_recs(spark, rows))
     t = {r["window_start"].day: r["change"] for r in M.quality_trend(d).collect()}
     assert t == {1: None, 2: 1.0, 3: 1.0}
+
+
+def test_extra_no_answer_markers(spark):
+    t = dt.datetime(2024, 1, 2)
+    r = _recs(spark, [(t, "Information not found in available documents", 1.0, 1.0), (t, "ok", 1.0, 1.0)])
+    base = [x[0] for x in r.select(M.no_answer_flag("answer")).collect()]
+    more = [x[0] for x in r.select(M.no_answer_flag("answer", ["not found in available documents"])).collect()]
+    assert base == [False, False] and more == [True, False]
