@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,13 +122,17 @@ def chunk_invariants(docs: DataFrame, chunks: DataFrame, *, doc: str = "doc_id",
     Per chunk: longer than ``size``; not the substring of its document at its start;
     start not after the previous start; overlap with the previous chunk above ``overlap``;
     a non-blank character in the gap before it.  Per document: non-blank text after the
-    last chunk, or a non-blank document with no chunk.  The lag window is partitioned
-    by document (one shuffle by document of the chunk rows).
+    last chunk, or a non-blank document with no chunk.  Chunk numbers are consecutive
+    (``posexplode``), so neighbours are found by equi-joins.
     """
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("_t"))
-    w = Window.partitionBy("doc").orderBy("chunk_no")
-    c = chunks.withColumn("_ps", F.lag("start").over(w)).withColumn("_pl", F.lag("n_chars").over(w)) \
-        .withColumn("_last", F.lead("start").over(w).isNull())
+    # previous / next chunk by equi-joins on (doc, chunk_no -/+ 1) rather than a window
+    # partitioned by document, so AQE can split one very large document across tasks
+    prev = chunks.select("doc", (F.col("chunk_no") + 1).alias("chunk_no"),
+                         F.col("start").alias("_ps"), F.col("n_chars").alias("_pl"))
+    nxt = chunks.select("doc", (F.col("chunk_no") - 1).alias("chunk_no"), F.lit(True).alias("_has_next"))
+    c = (chunks.join(prev, ["doc", "chunk_no"], "left").join(nxt, ["doc", "chunk_no"], "left")
+         .withColumn("_last", F.col("_has_next").isNull()))
     j = c.join(d, "doc")
     prev_end = F.coalesce(F.col("_ps") + F.col("_pl"), F.lit(0))
     gap = F.when(F.col("start") > prev_end, F.substring("_t", prev_end + 1, F.col("start") - prev_end)).otherwise("")

@@ -49,3 +49,13 @@ def test_stats_count_empty_documents(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "   ")], "doc_id long, text string")
     r = C.chunk_stats(df, C.chunk_fixed(df)).first()
     assert (r["n_documents"], r["n_chunks"], r["chunks_per_document"], r["documents_without_chunks"]) == (2, 1, 0.5, 1)
+
+
+def test_invariants_detect_violations(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij" * 50 + " tail")], "doc_id long, text string")
+    bad = spark.createDataFrame(
+        [(1, 0, 0, "abcdefghij" * 30, 300), (1, 1, 10, "abcdefghij" * 30, 300), (1, 2, 5, "zzz", 3)],
+        "doc long, chunk_no int, start int, text string, n_chars int")
+    r = C.chunk_invariants(docs, bad).first().asDict()
+    assert r["overlap_too_big"] >= 1 and r["not_increasing"] == 1 and r["not_substring"] == 1
+    assert r["uncovered"] >= 1 and r["docs_lost"] == 0
