@@ -41,6 +41,8 @@ def normalize_types(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # interaction times are naive UTC: keep window alignment and formatting in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return normalize_types(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__
