@@ -22,16 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _input_bytes(df: DataFrame) -> int:
+    sc = df.sparkSession.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = sc._jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when a scan has fewer splits than the cluster has slots.
 
     A Parquet file splits at row-group boundaries, so a small but CPU-heavy table (long
-    texts) can arrive in a handful of partitions.  Below the default parallelism the
-    rows are hash-spread over that many partitions; at scale, where scans have far more
-    splits than slots, this is a no-op and adds no shuffle.
+    texts) can arrive in a handful of partitions.  Below the default parallelism, and
+    when the files hold at least ``SPREAD_MIN_BYTES`` (tiny tables are not worth a
+    shuffle), the rows are hash-spread over that many partitions.  At scale, where scans
+    have far more splits than slots, this is a no-op and adds no shuffle.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() >= target or _input_bytes(df) < SPREAD_MIN_BYTES:
         return df
     return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns[:1]]))
 
