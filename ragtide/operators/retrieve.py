@@ -396,7 +396,7 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     """
     sizes = assigned.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("_m"))
     salts = sizes.select("centroid_id", F.greatest(F.lit(1), F.ceil(F.col("_m") / salt_rows)).cast("int").alias("_s"))
-    probes = _nearest_lists(questions, centroids, nprobe, q_id, q_vec)
+    probes = _nearest_lists(questions, centroids.join(sizes, "centroid_id"), nprobe, k, q_id, q_vec)
     probes = probes.join(F.broadcast(salts), "centroid_id")  # one row per list: bounded by n_lists
     probes = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     c = assigned.join(F.broadcast(salts), "centroid_id").select(
@@ -430,33 +430,38 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     return _rank(scored, q_id, c_id, k, ascending=False).select(q_id, "rank", c_id, "score")
 
 
-def _nearest_lists(questions: DataFrame, centroids: DataFrame, nprobe: int, q_id: str, q_vec: str) -> DataFrame:
-    """(q_id, _qv, centroid_id) for the ``nprobe`` nearest lists of every question.
+def _nearest_lists(questions: DataFrame, centroids: DataFrame, nprobe: int, k: int, q_id: str,
+                   q_vec: str) -> DataFrame:
+    """(q_id, _qv, centroid_id) for the ``nprobe`` nearest lists of every question, extended
+    with further lists (nearest first) until they hold at least ``k`` rows, so every
+    question gets k hits whenever the corpus has k rows.
 
-    The centroid matrix (n_lists x dim, a bounded table: the k-means model already
-    holds it on the driver) is broadcast once; each Arrow batch of questions is one
-    matrix product and an arg-partition, ties broken by list id.
+    The centroid matrix and list sizes (n_lists rows, a bounded table: the k-means model
+    already holds the centroids on the driver) are broadcast once; each Arrow batch of
+    questions is one matrix product and a sort of its n_lists scores, ties by list id.
     """
     cp = centroids.orderBy("centroid_id").toPandas()
     cids = cp["centroid_id"].to_numpy()
+    csize = cp["_m"].to_numpy().astype(np.int64)
     Cm = np.stack(cp["centroid"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-    bc = questions.sparkSession.sparkContext.broadcast((cids, Cm))
+    bc = questions.sparkSession.sparkContext.broadcast((cids, Cm, csize))
     schema = T.StructType([T.StructField(q_id, questions.schema[q_id].dataType),
                            T.StructField("_qv", T.ArrayType(T.DoubleType())),
                            T.StructField("centroid_id", T.IntegerType())])
 
     def probe(batches):
-        ids, C = bc.value
-        p = min(nprobe, len(ids))
+        ids, C, size = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
             Q = np.stack(pdf["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
             S = Q @ C.T
-            order = np.lexsort((np.broadcast_to(ids, S.shape), -S), axis=1)[:, :p]
-            rows = np.repeat(np.arange(len(pdf)), p)
+            order = np.lexsort((np.broadcast_to(ids, S.shape), -S), axis=1)
+            before = np.cumsum(size[order], axis=1) - size[order]  # rows in nearer lists
+            take = (np.arange(len(ids))[None, :] < nprobe) | (before < k)
+            rows, pos = np.nonzero(take)
             yield pd.DataFrame({q_id: pdf[q_id].to_numpy()[rows], "_qv": pdf["_qv"].to_numpy()[rows],
-                                "centroid_id": ids[order.ravel()].astype(np.int32)})
+                                "centroid_id": ids[order[rows, pos]].astype(np.int32)})
 
     return questions.select(q_id, V.as_double(q_vec).alias("_qv")).mapInPandas(probe, schema)
 

@@ -60,3 +60,11 @@ def test_ivf_all_lists_equals_exact(spark):
     assert _rows(approx) == _rows(R.topk(qs, corpus, 4))
     r = R.recall_at_k(R.topk_ivf(qs, assigned, cents, 4, nprobe=1), R.topk(qs, corpus, 4)).first()
     assert 0.0 <= r["recall_at_k"] <= 1.0
+
+
+def test_ivf_always_returns_k(spark):
+    qs, corpus = _data(spark, n_q=5, n_c=80)
+    assigned, cents = R.ivf_index(corpus, n_lists=20, n_rows=80)  # ~4 rows per list
+    hits = R.topk_ivf(qs, assigned, cents, 10, nprobe=1)
+    counts = {r["qid"]: r["count"] for r in hits.groupBy("qid").count().collect()}
+    assert counts == {i: 10 for i in range(5)}
