@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
-SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MIN_BYTES = 256 << 10
 
 
 def _input_bytes(df: DataFrame) -> int:
