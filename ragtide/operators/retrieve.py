@@ -366,13 +366,18 @@ def ivf_index(corpus: DataFrame, *, c_id="vec_id", c_vec="embedding", n_lists: i
     """Train k-means centroids and assign every corpus row to its nearest list.
 
     Returns (assigned corpus with ``centroid_id``, centroids DataFrame(centroid_id, centroid)).
-    Centroids number n_lists (default round(sqrt(n))), a bounded table.
+    Centroids number n_lists (default round(sqrt(n))); their table is checked against the
+    broadcast budget before training, since probing broadcasts it.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     n = n_rows if n_rows is not None else corpus.count()
     lists = n_lists or max(1, int(round(math.sqrt(max(n, 1)))))
+    dim = int(corpus.select(F.size(c_vec).alias("d")).first()["d"] or 0)
+    if lists * max(dim, 1) * 8 > DEFAULT_BROADCAST_BYTES:
+        # the centroid table is held by the model on the driver and broadcast for probing
+        raise ValueError(f"{lists} lists x {dim} dims exceed the broadcast budget; pass a smaller n_lists")
     feats = corpus.select(c_id, c_vec, array_to_vector(V.as_double(c_vec)).alias("_f"))
     train = feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed)
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="centroid_id").fit(train)
