@@ -92,7 +92,13 @@ def alerts(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def column_summary(df: DataFrame, cols: list[str], accuracy: int = 1_000_000) -> DataFrame:
-    """M4: one row per column: count, missing, min, max, mean, sample stddev, quartiles, distinct."""
+    """M4: one row per column: count, missing, min, max, mean, sample stddev, quartiles, distinct.
+
+    Quartiles come from the mergeable quantile sketch; ``accuracy`` 1e6 bounds the rank
+    error by n / 1e6 (exact below a million rows; 1e4 was already a rank off at 9,090
+    rows).  Each partial aggregate keeps at most O(accuracy) entries, so very large
+    inputs can trade exactness for smaller sketches with a lower value.
+    """
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__n"), F.count_if(F.col(c).isNull()).alias(f"{c}__missing"),
