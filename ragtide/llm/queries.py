@@ -7,10 +7,11 @@ force, an exact round trip or held-out accuracy.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import chat, decontaminate, line_dedup, sharding, topk_bsi
+from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, sharding, topk_bsi
 from ragtide.llm.common import read_table
 
 
@@ -22,10 +23,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(read_table(spark, sf_dir, "documents"), path, end_id=2, window=4096, with_ids=False)
+
+
 def op5_topk_bsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_bsi.topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), huffman_ids.fresh_folder(spark)
+    huffman_ids.write_ids(read_table(spark, sf_dir, "documents"), folder, path, end_id=0)
+    return huffman_ids.read_ids(spark, folder, with_ids=False)
+
+
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
@@ -35,4 +47,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_line_dedup, op5_topk_bsi, op9_slot_sharding, op10_chat_format)}
+    op1_decontaminate, op2_line_dedup, op3_packing, op5_topk_bsi, op7_huffman_ids, op9_slot_sharding, op10_chat_format)}
