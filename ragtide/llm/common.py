@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,15 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that carries this package's classes by value, as tasks need no installed copy of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, whatever task asks for it."""
     home = sys.modules.setdefault("_ragtide_worker_cache", types.ModuleType("_ragtide_worker_cache"))

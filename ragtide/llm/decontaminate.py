@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import ASCII_LOWER, column, record
+from ragtide.llm.common import ASCII_LOWER, column, received, record, shipped
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_BYTES = 8 << 20  # benchmark text handled at once
@@ -88,11 +88,11 @@ def shingle_counts(docs: DataFrame, block: Windows, text_col: str) -> dict[tuple
     """How often each shingle of the block occurs in the whole corpus: {(width, key): count}."""
     wanted = {q: np.unique(np.concatenate([block.shingle_keys(w, q).ravel() for m, w in block.groups.items() if block.width(m) == q]))
               for q in {block.width(m) for m in block.groups}}
-    sent = docs.sparkSession.sparkContext.broadcast((block, wanted))
+    sent = shipped(docs.sparkSession, (block, wanted))
     schema = pa.schema([("q", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, wanted = sent.value
+        block, wanted = received(sent)
         total = {q: np.zeros(len(keys), np.int64) for q, keys in wanted.items()}
         for batch in batches:
             for text in column(batch, text_col):
@@ -182,10 +182,10 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, q: in
     for items in _item_blocks(benchmark, id_col, text_col, block_bytes):
         block = benchmark_windows(items, n, q)
         index = prefix_index(block, shingle_counts(docs, block, text_col) if block.groups else {})
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = shipped(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = received(sent)
             for batch in batches:
                 n_words, hits = [], []
                 for text, before in zip(column(batch, text_col), column(batch, "_hits")):

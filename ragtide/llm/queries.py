@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, sharding, topk_bsi
+from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, sharding, topk_bsi, toxicity
 from ragtide.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_ids(spark, folder, with_ids=False)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_line_dedup, op3_packing, op5_topk_bsi, op7_huffman_ids, op9_slot_sharding, op10_chat_format)}
+    op1_decontaminate, op2_line_dedup, op3_packing, op5_topk_bsi, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format)}
