@@ -10,8 +10,9 @@ Training: substrings that occur far more often in toxic than in clean labelled t
 counts over all labelled texts) become landmarks.  A string is mapped to its kernel values
 with the landmarks times K_mm^(-1/2) (Nyström), and a linear SVM learns on sentences of a
 bounded sample of labelled texts: the worst word stands for a sentence, the worst
-sentences of a toxic text are its witnesses, re-chosen every round.  A logistic curve over a text's
-three largest decision values gives the score.
+sentences of a toxic text are its witnesses, re-chosen every round.  Toxic witnesses are also learnt with
+a letter pushed in.  Logistic curves over a text's largest and its three largest decision values
+give the score.
 
 Scoring: the SVM over Nyström features is one weight per four-letter subsequence, so a text
 needs one table lookup per occurrence; whole texts are scored, long words in overlapping
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ragtide.llm.common import column, received, record, shipped
 
-DECAY, SPAN, LETTERS = 0.6, 6, 4
+DECAY, SPAN, LETTERS = 0.7, 6, 4
 CODES = 32
 WINDOW, STRIDE = 16, 8
 START = "^"  # stands before every word, so how a word begins counts
@@ -167,17 +168,27 @@ def text_words(text: str) -> list[str]:
     return [x for w in dict.fromkeys(map(folded, raw)) if len(w) > 3 for x in windows_of(w)]
 
 
+def grams_of(word: str) -> tuple[str, ...]:
+    """A folded word and its 4- to 5-letter substrings, longer ones only from its start."""
+    found = {word[i: i + n] for n in (4, 5) for i in range(len(word) - n + 1)} | {word[:n] for n in (6, 7) if len(word) > n}
+    return (*found, word) if LETTERS < len(word) <= WINDOW else tuple(found)
+
+
 def landmark_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, toxic texts, clean texts) of every word and 4- to 6-letter substring, over all labelled texts."""
+    """(gram, toxic texts, clean texts) of every word and its substrings, over all labelled texts."""
     schema = pa.schema([("gram", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
+            known: dict[str, tuple[str, ...]] = {}
             for text, y in zip(column(batch, "text"), column(batch, "y")):
-                words = set(map(folded, text.lower().split()))
-                grams = {w[i: i + n] for w in words for n in (4, 5, 6) for i in range(len(w) - n + 1)}
-                counts[y].update(grams | {w for w in words if LETTERS < len(w) <= WINDOW})
+                found: set[str] = set()
+                for word in set(text.lower().split()):
+                    if word not in known:
+                        known[word] = grams_of(folded(word))
+                    found.update(known[word])
+                counts[y].update(found)
             grams = list(counts[1].keys() | counts[0].keys())
             yield record(schema, grams, [counts[1][g] for g in grams], [counts[0][g] for g in grams])
 
@@ -232,21 +243,36 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def fit_curves(tops: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two logistic curves: over the largest value alone, and over all TOP of them."""
+    one, every = fit_logistic(tops[:, :1], y), fit_logistic(tops, y)
+    return np.array([[one[0], *[0.0] * (TOP - 1), one[1]], every])
+
+
+def spoilt(word: str) -> list[str]:
+    """The word with a letter pushed in at two places, as such words are disguised."""
+    if len(word) < 5 or len(word) >= WINDOW:
+        return []
+    pick = sum(map(ord, word))
+    return [word[:i] + chr(97 + (pick + 7 * i) % 26) + word[i:] for i in {2 + pick % (len(word) - 3), 2 + (pick // 7) % (len(word) - 3)}]
+
+
 @dataclass
 class Model:
     """Decision value of a word: weighted_sums(word, weights) + bias, no less than ``bias``;
-    score of a text: logistic of its TOP largest values over distinct words."""
+    score of a text: the higher of two logistic curves of its TOP largest values over distinct words."""
 
     weights: np.ndarray
     bias: float
-    curve: np.ndarray
+    curves: np.ndarray
 
     def score(self, decisions: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(decisions @ self.curve[:-1] + self.curve[-1], -30, 30)))
+        lines = decisions @ self.curves[:, :-1].T + self.curves[:, -1]
+        return (1 / (1 + np.exp(-np.clip(lines, -30, 30)))).max(axis=1)
 
 
 def no_model() -> Model:
-    return Model(np.zeros(CODES ** LETTERS, np.float32), 0.0, np.array([0.0] * TOP + [-1000.0]))
+    return Model(np.zeros(CODES ** LETTERS, np.float32), 0.0, np.array([[0.0] * TOP + [-1000.0]] * 2))
 
 
 def train(labelled: DataFrame, max_texts: int = 6000, n_landmarks: int = 160, rounds: int = 4) -> Model:
@@ -266,7 +292,8 @@ def train(labelled: DataFrame, max_texts: int = 6000, n_landmarks: int = 160, ro
     top = (counts.where((pos >= 2) & (pos * n[0] > 3 * neg * n[1])).withColumn("g", F.round(g, 6))
            .orderBy(F.col("g").desc(), F.length("gram").desc(), "gram").limit(20 * n_landmarks))
     usual = counts.where(neg > 0).orderBy(F.col("neg").desc(), "gram").limit(n_landmarks)
-    landmarks = pick_landmarks([r.gram for r in top.collect()], n_landmarks)
+    strength = {r.gram: r.g for r in top.collect()}
+    landmarks = pick_landmarks(list(strength), n_landmarks)
     if not landmarks:
         return no_model()
     # common substrings beside the telling ones, so that the SVM can hold them against a word
@@ -281,22 +308,28 @@ def train(labelled: DataFrame, max_texts: int = 6000, n_landmarks: int = 160, ro
     words = sorted({w for ss, _ in sentences for s in ss for w in s})
     at = {w: i for i, w in enumerate(words)}
     numbered = [([np.array([at[w] for w in s]) for s in ss], y) for ss, y in sentences]
-    telling = np.where([g in set(landmarks[:n_landmarks]) for g in landmarks], 1.0, 0.0)
-    value, bias, weights = (marks.kernel(words) * telling).max(axis=1), 0.0, None  # at first: likeness to a telling landmark
+    telling = np.sqrt(np.array([strength.get(g, 0.0) for g in landmarks]))
+    value, bias, weights = (marks.kernel(words) * telling).max(axis=1), 0.0, None  # at first: likeness to the most telling landmarks
     for _ in range(rounds):
         witness, labels = [], []
         for ss, y in numbered:
             worst = sorted((int(s[np.argmax(value[s])]) for s in ss), key=lambda i: (-value[i], i))
-            keep = list(dict.fromkeys(worst))[: 2 if y else 4]
+            keep = list(dict.fromkeys(worst))[:4]
+            if y:  # the worst word, and others nearly as bad
+                keep = [i for i in keep if value[i] >= min(value[keep[0]], max(0.5 * value[keep[0]], 0.0))]
             witness += keep
             labels += [y] * len(keep)
         some, row = np.unique(np.array(witness), return_inverse=True)
-        x = (marks.kernel([words[i] for i in some]) @ root)[row]
-        w = fit_svm(x, np.array(labels))
+        x, y_all = (marks.kernel([words[i] for i in some]) @ root)[row], labels
+        often = Counter(i for i, y in zip(witness, labels) if y)
+        more = [v for i in sorted(often) if often[i] > 1 for v in spoilt(words[i])]
+        if more:
+            x, y_all = np.vstack([x, marks.kernel(more) @ root]), labels + [1] * len(more)
+        w = fit_svm(x, np.array(y_all))
         weights, bias = marks.weights(root @ w[:-1]), float(w[-1])
         value = weighted_sums(words, weights) + bias
     tops = np.array([top_values(value[np.unique(np.concatenate(ss))] if ss else value[:0], bias) for ss, _ in numbered])
-    return Model(weights, bias, fit_logistic(tops, np.array([y for _, y in numbered])))
+    return Model(weights, bias, fit_curves(tops, np.array([y for _, y in numbered])))
 
 
 def top_values(values: np.ndarray, bias: float) -> np.ndarray:
