@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, sharding, topk_bsi, toxicity
+from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, setjoin, sharding, topk_bsi, toxicity
 from ragtide.llm.common import read_table
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), path, end_id=2, window=4096, with_ids=False)
 
 
+def op4_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op5_topk_bsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_bsi.topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -51,4 +55,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_line_dedup, op3_packing, op5_topk_bsi, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format)}
+    op1_decontaminate, op2_line_dedup, op3_packing, op4_setjoin, op5_topk_bsi, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format)}
