@@ -143,6 +143,10 @@ class Landmarks:
             out[rows] = got / _norm(codes)[:, None]
         return out
 
+    def likeness(self, words: list[str], strength: np.ndarray) -> np.ndarray:
+        """The largest kernel value times the landmark's strength, without holding all kernel values."""
+        return np.concatenate([(self.kernel(words[i: i + 8192]) * strength).max(axis=1) for i in range(0, len(words), 8192)] or [np.zeros(0)])
+
     def weights(self, combination: np.ndarray) -> np.ndarray:
         """One weight per subsequence for a linear combination of the landmarks' kernel values."""
         out = np.zeros(CODES ** LETTERS, np.float32)
@@ -299,17 +303,16 @@ def train(labelled: DataFrame, max_texts: int = 6000, n_landmarks: int = 160, ro
     # common substrings beside the telling ones, so that the SVM can hold them against a word
     landmarks += [g for g in pick_landmarks([r.gram for r in usual.collect()], n_landmarks // 4) if g not in landmarks]
     taken = [labelled.where(F.col("y") == y).orderBy("order", "text").limit(max_texts // 2).select("text", "y") for y in (1, 0)]
-    texts = [(r.text, r.y) for r in taken[0].unionAll(taken[1]).collect()]
     marks = Landmarks(landmarks)
     kernel = marks.kernel(landmarks)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     root = (vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T  # K_mm^(-1/2)
-    sentences = [(sentence_words(t), y) for t, y in texts]
-    words = sorted({w for ss, _ in sentences for s in ss for w in s})
-    at = {w: i for i, w in enumerate(words)}
-    numbered = [([np.array([at[w] for w in s]) for s in ss], y) for ss, y in sentences]
+    at: dict[str, int] = {}
+    numbered = [([np.array([at.setdefault(w, len(at)) for w in s], np.int32) for s in sentence_words(r.text)], r.y)
+                for r in taken[0].unionAll(taken[1]).toLocalIterator()]
+    words = list(at)
     telling = np.sqrt(np.array([strength.get(g, 0.0) for g in landmarks]))
-    value, bias, weights = (marks.kernel(words) * telling).max(axis=1), 0.0, None  # at first: likeness to the most telling landmarks
+    value, bias, weights = marks.likeness(words, telling), 0.0, None  # at first: likeness to the most telling landmarks
     for _ in range(rounds):
         witness, labels = [], []
         for ss, y in numbered:
