@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, setjoin, sharding, topk_bsi, toxicity
+from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, setjoin, sharding, substring_dedup, topk_bsi, toxicity
 from ragtide.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op5_topk_bsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_bsi.topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), huffman_ids.fresh_folder(spark)
     huffman_ids.write_ids(read_table(spark, sf_dir, "documents"), folder, path, end_id=0)
@@ -55,4 +59,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_line_dedup, op3_packing, op4_setjoin, op5_topk_bsi, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format)}
+    op1_decontaminate, op2_line_dedup, op3_packing, op4_setjoin, op5_topk_bsi, op6_substring_dedup, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format)}
