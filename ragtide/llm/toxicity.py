@@ -201,13 +201,19 @@ def landmark_counts(labelled: DataFrame) -> DataFrame:
 
 
 def pick_landmarks(ranked: list[str], n: int) -> list[str]:
-    """The first of ``ranked``, leaving out those much like an earlier one."""
-    kernel = Landmarks(ranked).kernel(ranked)
-    chosen: list[int] = []
-    for i in range(len(ranked)):
-        if len(chosen) < n and (not chosen or kernel[i, chosen].max() <= 0.7):
-            chosen.append(i)
-    return [ranked[i] for i in chosen]
+    """The first of ``ranked``, leaving out those much like an earlier one (some at a time, so memory stays small)."""
+    chosen: list[str] = []
+    for at in range(0, len(ranked), 64):
+        part = ranked[at: at + 64]
+        before = Landmarks(chosen).kernel(part).max(axis=1) if chosen else np.zeros(len(part))
+        among, taken = Landmarks(part).kernel(part), []
+        for i in range(len(part)):
+            if len(chosen) < n and before[i] <= 0.7 and (not taken or among[i, taken].max() <= 0.7):
+                taken.append(i)
+                chosen.append(part[i])
+        if len(chosen) == n:
+            break
+    return chosen
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
