@@ -85,8 +85,9 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
             h[a] = (word[a: end[t]] * _MULTIPLIERS[: count[t]]).sum(dtype=np.uint64) + np.uint64(count[t])
             whole[a] = True
         h, owner = mixed(h[whole]), owner[whole]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    start = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[new], owner[new]
@@ -146,7 +147,7 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             h, end = shingle_sets(column(batch, "text"), words)
             s = set_names(h, end)
-            counts += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), 1)
             none = [None] * len(s)
             yield record(_SCAN, batch.column(0), pa.array(s, pa.int64(), mask=s == 0), np.diff(end, prepend=0), none, none)
         for piece, data in _table_rows(counts):
@@ -176,20 +177,22 @@ def prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray) ->
             h, end = shingle_sets(column(batch, "text"), words)
             s = set_names(h, end)
             n = np.diff(end, prepend=0)
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, classes[(h >> np.uint64(42)).astype(np.int64)], owner))
-            pos = np.arange(len(h)) - np.repeat(end - n, n)
             first: dict[int, int] = {}
             for i, name in enumerate(s.tolist()):
                 if name and name not in seen:
                     first.setdefault(name, i)
             seen.update(first)
-            length = np.zeros(len(n), np.int64)
+            level = classes[(h >> np.uint64(42)).astype(np.int64)]
+            out = []
             for i in first.values():
+                a, b = int(end[i] - n[i]), int(end[i])
                 # a linked set has at least percent of this one's size, so at least this overlap
-                length[i] = n[i] - -(-percent * n[i] // 100) + 1
-            keep = pos < length[owner]
-            yield record(_PREFIX, h[order][keep].view(np.int64), s[owner[keep]], n[owner[keep]], pos[keep])
+                length = int(n[i]) - -(-percent * int(n[i]) // 100) + 1
+                out.append(h[a:b][np.argsort(level[a:b], kind="stable")[:length]])
+            if out:
+                who, size = np.array(list(first.values())), np.array([len(x) for x in out])
+                pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                yield record(_PREFIX, np.concatenate(out).view(np.int64), np.repeat(s[who], size), np.repeat(n[who], size), pos)
 
     return docs.select("text").mapInArrow(run, "token long, s long, n long, pos long")
 
@@ -214,9 +217,10 @@ def room(n1, p1, n2, p2, percent: int):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (most * (100 + percent) >= (n1 + n2) * percent)
 
 
-def wanted_sets(docs: DataFrame, live: DataFrame, words: int) -> DataFrame:
-    """(s, h) of the sets that occur in index lists.  A table of fixed size lets few others out of the scan."""
-    pieces = live.select("s").mapInArrow(_name_cells, "piece int, data binary")
+def wanted_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(s, h) of the sets that the pairs (a, b) name.  A table of fixed size lets few others out of the scan."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+    pieces = names.mapInArrow(_name_cells, "piece int, data binary")
     sent = shipped(docs.sparkSession, np.packbits(merged_table(pieces) > 0))
     schema = pa.schema([("s", pa.int64()), ("h", pa.binary())])
 
@@ -227,16 +231,15 @@ def wanted_sets(docs: DataFrame, live: DataFrame, words: int) -> DataFrame:
             h, end = shingle_sets(column(batch, "text"), words)
             s = set_names(h, end)
             start = np.append(0, end[:-1]) if len(end) else end
-            take = [i for i in np.flatnonzero(there[_cell(s)] & (s != 0)).tolist()]
             out = {}
-            for i in take:
+            for i in np.flatnonzero(there[_cell(s)] & (s != 0)).tolist():
                 if int(s[i]) not in seen:
                     out[int(s[i])] = h[start[i]: end[i]].tobytes()
             seen.update(out)
             yield record(schema, list(out), list(out.values()))
 
     sets = docs.select("text").mapInArrow(run, "s long, h binary")
-    return sets.join(live.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"])
+    return sets.dropDuplicates(["s"])
 
 
 def _cell(s: np.ndarray) -> np.ndarray:
@@ -252,8 +255,9 @@ def _name_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(schema, [piece], [data])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
+    sets = materialize(wanted_sets(docs, pairs, words))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,10 +277,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
     """(node, root) of all sets that link with another one."""
     live = materialize(shared_lists(prefixes(docs, words, percent, classes)))
-    sets = materialize(wanted_sets(docs, live, words))
     fits = room(F.col("n"), F.col("pos"), F.col("after_n"), F.col("after_pos"), percent)
     walked = materialize(live.where(fits).select(F.least("s", "after_s").alias("a"), F.greatest("s", "after_s").alias("b")).distinct())
-    near = materialize(verified(walked, sets, percent))
+    near = materialize(verified(walked, docs, words, percent))
     groups = components(near)
     # what is left: sets of different groups that share a list
     named = live.select("token", "s", "n", "pos").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
@@ -290,7 +293,7 @@ def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray)
     apart = F.col("root1") != F.col("root2")
     left = x.join(y, ["token", "block"]).where(apart & once & room(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent))
     left = left.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct().join(walked, ["a", "b"], "left_anti")
-    return components(near.union(verified(left, sets, percent)))
+    return components(near.union(verified(materialize(left), docs, words, percent)))
 
 
 def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
