@@ -6,10 +6,10 @@ inserted letters cost a little and don't hide a word.  Before that, letters are
 (case, common digit and sign stand-ins), marks inside a word are dropped and spelled-out
 letters ("i d i o t") are joined.
 
-Training: substrings that occur far more often in toxic than in clean labelled texts (by
-counts over all labelled texts) become landmarks.  A string is mapped to its kernel values
+Training, on a bounded sample of labelled texts (MAX_LABELS): substrings that occur far
+more often in toxic than in clean texts become landmarks.  A string is mapped to its kernel values
 with the landmarks times K_mm^(-1/2) (Nyström), and a linear SVM learns on sentences of a
-bounded sample of labelled texts: the worst word stands for a sentence, the worst
+part of the sample: the worst word stands for a sentence, the worst
 sentences of a toxic text are its witnesses, re-chosen every round.  Toxic witnesses are also learnt with
 a letter pushed in.  Logistic curves over a text's largest and its three largest decision values
 give the score.
@@ -39,12 +39,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import column, received, record, shipped
+from ragtide.llm.common import column, materialize, received, record, shipped
 
 DECAY, SPAN, LETTERS = 0.7, 6, 4
 CODES = 32
 WINDOW, STRIDE = 16, 8
 START = "^"  # stands before every word, so how a word begins counts
+MAX_LABELS = 12_000  # labelled texts learnt from
 TOP = 3  # a text's largest decision values that its score is made from
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 GAPS = [(0, *rest) for rest in combinations(range(1, SPAN), LETTERS - 1)]
@@ -179,7 +180,7 @@ def grams_of(word: str) -> tuple[str, ...]:
 
 
 def landmark_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, toxic texts, clean texts) of every word and its substrings, over all labelled texts."""
+    """(gram, toxic texts, clean texts) of every word and its substrings."""
     schema = pa.schema([("gram", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,14 +405,17 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
-    """(text, y, order) of the labelled texts that may be learnt from."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(text, y, order) of at most ``max_labels`` labelled texts, a third of them toxic at most, chosen by a
+    hash of the id.  So few ids are safe to broadcast, and the texts stay where they are."""
     known = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
              .agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y")))
     if held_out is not None:
         known = known.where(~held_out)
-    rows = docs.where("text is not null").select("doc_id", "text").join(known, "doc_id")
-    return rows.select("text", "y", F.xxhash64("doc_id").alias("order"))
+    known = known.withColumn("order", F.xxhash64("doc_id"))
+    chosen = [known.where(F.col("y") == y).orderBy("order", "doc_id").limit(n) for y, n in ((1, max_labels // 3), (0, max_labels - max_labels // 3))]
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    return rows.select("text", "y", "order")
 
 
 def held_out_fold(id_col: str = "doc_id"):
@@ -421,7 +425,7 @@ def held_out_fold(id_col: str = "doc_id"):
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """A model from the labelled texts outside the held-out fold."""
-    return train(training_rows(docs, labels, held_out_fold()), **options)
+    return train(materialize(training_rows(docs, labels, held_out_fold())), **options)
 
 
 
