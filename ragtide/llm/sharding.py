@@ -58,7 +58,8 @@ def rebalanced(shard_of: list[int], size_of: list[int], n_shards: int) -> list[i
         load[shard_of[s]] += size_of[s]
     mean = sum(load) / n_shards
     free: list[int] = []
-    for k in range(n_shards):
+    uneven = max(load) - min(load) > max(size_of, default=0)
+    for k in range(n_shards) if uneven else ():
         for s in list(held[k]):
             if size_of[s] and load[k] - size_of[s] >= mean:
                 held[k].remove(s)

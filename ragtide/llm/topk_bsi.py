@@ -99,7 +99,8 @@ def _search(ids: np.ndarray, values: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     low = values.min(axis=0)
     up = values - low  # non-negative
     bits = max(1, int(up.max(initial=0)).bit_length())
-    if bits + int(np.abs(q).max(initial=0)).bit_length() + q.shape[1].bit_length() > 62:
+    largest = max(int(up.max(initial=0)), int(np.abs(values).max(initial=0)))
+    if largest.bit_length() + int(np.abs(q).max(initial=0)).bit_length() + q.shape[1].bit_length() > 62:
         raise ValueError("quantised values too large for 62-bit scores")
     top = (1 << bits) - 1
     plus, minus = bit_slices(np.vstack([up, np.full((1, up.shape[1]), top)])), bit_slices(np.vstack([top - up, np.full((1, up.shape[1]), top)]))
