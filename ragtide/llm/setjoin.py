@@ -32,8 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +39,9 @@ from pyspark.sql.window import Window
 from ragtide.llm.common import column, materialize, received, record, shipped
 from ragtide.llm.components import components
 
-CELLS = 1 << 22  # counters of the order table
+CELL_BITS = 24
+CELLS = 1 << CELL_BITS  # counters of the order table
+FLUSH = 1 << 22  # shingles that a task counts before it sends its pieces
 CHUNK = 1 << 16  # counters of one piece of it
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                          0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -56,35 +56,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every word, A-Z read as a-z.  A word's hash is the sum of its bytes, each
+    times a multiplier of its place."""
+    raw = [(t or "").encode() for t in texts]
+    data = _FOLD[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+    inside = data != 32
+    edge = np.diff(inside.astype(np.int8), prepend=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = end - start
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(inside)
+    first = np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(first, size)
+    factor = mixed(np.arange(1, int(size.max()) + 1, dtype=np.uint64))
+    h = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * factor[place], first)
+    text_end = np.cumsum([len(r) + 1 for r in raw])
+    return mixed(h + size.astype(np.uint64) * _MULTIPLIERS[7]), np.searchsorted(text_end, start, "right")
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[9:14] = 32
+
+
+def slices(texts: list[str | None], most: int = 4 << 20) -> Iterator[slice]:
+    """Stretches of the texts of about ``most`` letters, so that working memory doesn't hang on text lengths."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most or i == len(texts) - 1:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+
+
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, ascending within each text, one text after the other; where each text ends)."""
-    low = pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string()))
-    lists = pc.ascii_split_whitespace(low)
-    flat = lists.flatten()
-    owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    coded = flat.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    if "" in distinct:
-        keep = code != distinct.index("")
-        code, owner = code[keep], owner[keep]
-    word = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))[code]
+    word, owner = word_hashes(texts)
     count = np.bincount(owner, minlength=len(texts))
     end = np.cumsum(count)
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(word), np.uint64)
-        for i in range(words):
-            h[: len(word) - i] += word[i:] * _MULTIPLIERS[i]
-        whole = np.ones(len(word), bool)
-        for i in range(1, words):  # windows that would run into the next text
-            whole[-i:] = False
-            whole[:-i] &= owner[:-i] == owner[i:]
-        short = np.flatnonzero((count > 0) & (count < words))
-        for t in short.tolist():
-            a = end[t] - count[t]
-            h[a] = (word[a: end[t]] * _MULTIPLIERS[: count[t]]).sum(dtype=np.uint64) + np.uint64(count[t])
-            whole[a] = True
-        h, owner = mixed(h[whole]), owner[whole]
+    h = np.zeros(len(word), np.uint64)
+    for i in range(words):
+        h[: len(word) - i] += word[i:] * _MULTIPLIERS[i]
+    whole = np.ones(len(word), bool)
+    for i in range(1, words):  # windows that would run into the next text
+        whole[-i:] = False
+        whole[:-i] &= owner[:-i] == owner[i:]
+    for t in np.flatnonzero((count > 0) & (count < words)).tolist():
+        a = end[t] - count[t]
+        h[a] = (word[a: end[t]] * _MULTIPLIERS[: count[t]]).sum(dtype=np.uint64) + np.uint64(count[t])
+        whole[a] = True
+    h, owner = mixed(h[whole]), owner[whole]
     start = np.searchsorted(owner, np.arange(len(texts) + 1))
     for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
         h[a:b].sort()
@@ -111,28 +134,37 @@ def needed(n1, n2, percent: int):
     return -(-(percent * (n1 + n2)) // (100 + percent))
 
 
-def _table_rows(counts: np.ndarray):
-    for c in range(0, CELLS, CHUNK):
-        part = counts[c: c + CHUNK]
-        if part.any():
-            yield c // CHUNK, zlib.compress(part.astype("<u4").tobytes(), 1)
+def _cells_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+
+
+def _pieces(cells: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Counted cells by piece of the table: differences of the sorted places in it, compressed."""
+    flat = np.sort(np.concatenate(cells)) if cells else np.zeros(0, np.uint32)
+    cut = np.searchsorted(flat, np.arange(0, CELLS + 1, CHUNK))
+    for piece in np.flatnonzero(np.diff(cut)).tolist():
+        place = flat[cut[piece]: cut[piece + 1]] - np.uint32(piece * CHUNK)
+        yield piece, zlib.compress(np.diff(place, prepend=np.uint32(0)).astype("<u2").tobytes(), 1)
 
 
 def merged_table(pieces: DataFrame) -> np.ndarray:
-    """Sum of counter pieces (piece, data): first in many small groups, then per piece; the result has CELLS counters."""
+    """CELLS counters (up to 65535) of all pieces (piece, data): first in many small groups, then per piece."""
 
-    def add(pdf):
-        total = np.zeros(CHUNK, np.uint32)
+    def count(pdf):
+        total = np.zeros(CHUNK, np.int64)
         for data in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(data), "<u4")
-        return pdf.iloc[:1][["piece", "salt"]].assign(data=[zlib.compress(total.astype("<u4").tobytes(), 1)])
-
-    spec = "piece int, salt int, data binary"
-    salted = pieces.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)).cast("int")).select("piece", "salt", "data")
-    once = salted.groupBy("piece", "salt").applyInPandas(add, spec).withColumn("salt", F.lit(0))
-    counts = np.zeros(CELLS, np.uint32)
-    for r in once.groupBy("piece", "salt").applyInPandas(add, spec).collect():  # CELLS counters in all
-        counts[r.piece * CHUNK: (r.piece + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.data), "<u4")
+            total += np.bincount(np.cumsum(np.frombuffer(zlib.decompress(data), "<u2"), dtype=np.int64), minlength=CHUNK)
+        return pdf.iloc[:1][["piece"]].assign(data=[zlib.compress(total.astype("<u4").tobytes(), 1)])
+
+    def add(pdf):
+        total = sum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64) for data in pdf["data"])
+        return pdf.iloc[:1][["piece"]].assign(data=[zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)])
+
+    salted = pieces.select("piece", "data", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt"))
+    once = salted.groupBy("piece", "salt").applyInPandas(count, "piece int, data binary")
+    counts = np.zeros(CELLS, np.uint16)
+    for r in once.groupBy("piece").applyInPandas(add, "piece int, data binary").toLocalIterator():  # CELLS counters in all
+        counts[r.piece * CHUNK: (r.piece + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.data), "<u2")
     return counts
 
 
@@ -143,15 +175,26 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
     """Set name and size of every document, and each task's counters of all its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint32)
+        held, size = [], 0
+
+        def counted():
+            got = list(_pieces(held))
+            none = [None] * len(got)
+            yield record(_SCAN, none, none, none, [p for p, _ in got], [d for _, d in got])
+
         for batch in batches:
-            h, end = shingle_sets(column(batch, "text"), words)
-            s = set_names(h, end)
-            np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), 1)
-            none = [None] * len(s)
-            yield record(_SCAN, batch.column(0), pa.array(s, pa.int64(), mask=s == 0), np.diff(end, prepend=0), none, none)
-        for piece, data in _table_rows(counts):
-            yield record(_SCAN, [None], [None], [None], [piece], [data])
+            ids, texts = batch.column(0), column(batch, "text")
+            for part in slices(texts):
+                h, end = shingle_sets(texts[part], words)
+                s = set_names(h, end)
+                none = [None] * len(s)
+                yield record(_SCAN, ids[part], pa.array(s, pa.int64(), mask=s == 0), np.diff(end, prepend=0), none, none)
+                held.append(_cells_of(h))
+                size += len(h)
+                if size >= FLUSH:
+                    yield from counted()
+                    held, size = [], 0
+        yield from counted()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s long, n long, piece int, data binary")
 
@@ -159,8 +202,8 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
 def order_classes(counts: np.ndarray) -> np.ndarray:
     """0 for cells no fuller than chance makes them, else the count's magnitude."""
     usual = counts.mean()
-    odd = counts > usual + 6 * np.sqrt(usual) + 16
-    return np.where(odd, np.log2(np.maximum(counts, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
+    odd = counts > usual + 4 * np.sqrt(usual) + 4
+    return np.where(odd, np.log2(np.maximum(counts, 1), dtype=np.float32).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
 _PREFIX = pa.schema([("token", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
@@ -174,25 +217,27 @@ def prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray) ->
         classes = received(sent)
         seen: set[int] = set()
         for batch in batches:
-            h, end = shingle_sets(column(batch, "text"), words)
-            s = set_names(h, end)
-            n = np.diff(end, prepend=0)
-            first: dict[int, int] = {}
-            for i, name in enumerate(s.tolist()):
-                if name and name not in seen:
-                    first.setdefault(name, i)
-            seen.update(first)
-            level = classes[(h >> np.uint64(42)).astype(np.int64)]
-            out = []
-            for i in first.values():
-                a, b = int(end[i] - n[i]), int(end[i])
-                # a linked set has at least percent of this one's size, so at least this overlap
-                length = int(n[i]) - -(-percent * int(n[i]) // 100) + 1
-                out.append(h[a:b][np.argsort(level[a:b], kind="stable")[:length]])
-            if out:
-                who, size = np.array(list(first.values())), np.array([len(x) for x in out])
-                pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield record(_PREFIX, np.concatenate(out).view(np.int64), np.repeat(s[who], size), np.repeat(n[who], size), pos)
+            texts = column(batch, "text")
+            for part in slices(texts):
+                h, end = shingle_sets(texts[part], words)
+                s = set_names(h, end)
+                n = np.diff(end, prepend=0)
+                first: dict[int, int] = {}
+                for i, name in enumerate(s.tolist()):
+                    if name and name not in seen:
+                        first.setdefault(name, i)
+                seen.update(first)
+                level = classes[_cells_of(h)]
+                out = []
+                for i in first.values():
+                    a, b = int(end[i] - n[i]), int(end[i])
+                    # a linked set has at least percent of this one's size, so at least this overlap
+                    length = int(n[i]) - -(-percent * int(n[i]) // 100) + 1
+                    out.append(h[a:b][np.argsort(level[a:b], kind="stable")[:length]])
+                if out:
+                    who, size = np.array(list(first.values())), np.array([len(x) for x in out])
+                    pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    yield record(_PREFIX, np.concatenate(out).view(np.int64), np.repeat(s[who], size), np.repeat(n[who], size), pos)
 
     return docs.select("text").mapInArrow(run, "token long, s long, n long, pos long")
 
@@ -228,31 +273,31 @@ def wanted_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
         there = np.unpackbits(received(sent)).astype(bool)
         seen: set[int] = set()
         for batch in batches:
-            h, end = shingle_sets(column(batch, "text"), words)
-            s = set_names(h, end)
-            start = np.append(0, end[:-1]) if len(end) else end
-            out = {}
-            for i in np.flatnonzero(there[_cell(s)] & (s != 0)).tolist():
-                if int(s[i]) not in seen:
-                    out[int(s[i])] = h[start[i]: end[i]].tobytes()
-            seen.update(out)
-            yield record(schema, list(out), list(out.values()))
+            texts = column(batch, "text")
+            for part in slices(texts):
+                h, end = shingle_sets(texts[part], words)
+                s = set_names(h, end)
+                start = np.append(0, end[:-1])
+                out = {}
+                for i in np.flatnonzero(there[_cell(s)] & (s != 0)).tolist():
+                    if int(s[i]) not in seen:
+                        out[int(s[i])] = h[start[i]: end[i]].tobytes()
+                seen.update(out)
+                yield record(schema, list(out), list(out.values()))
 
     sets = docs.select("text").mapInArrow(run, "s long, h binary")
     return sets.dropDuplicates(["s"])
 
 
 def _cell(s: np.ndarray) -> np.ndarray:
-    return (mixed(s.view(np.uint64)) >> np.uint64(42)).astype(np.int64)
+    return _cells_of(mixed(s.view(np.uint64)))
 
 
 def _name_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.uint32)
-    for batch in batches:
-        counts[_cell(batch.column(0).to_numpy().astype(np.int64))] = 1
     schema = pa.schema([("piece", pa.int32()), ("data", pa.binary())])
-    for piece, data in _table_rows(counts):
-        yield record(schema, [piece], [data])
+    for batch in batches:
+        got = list(_pieces([_cell(batch.column(0).to_numpy().astype(np.int64))]))
+        yield record(schema, [p for p, _ in got], [d for _, d in got])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
