@@ -1,13 +1,12 @@
 """Chunking: recursive character split (Arrow UDF), fixed windows (native), ids, stats, invariants.
 
 Both splitters are narrow stages: every document is chunked in the task that
-reads it; nothing is shuffled.  When a few very long documents dominate, call
-``balance`` first so that one task does not hold most of the text.
+reads it; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import re
+import bisect
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,74 +29,64 @@ CHUNK_TYPE = T.ArrayType(T.StructType([
 
 # ------------------------------------------------------------------ recursive splitter
 
-def _pieces(text: str, sep: str) -> list[str]:
-    """Split keeping each separator at the head of the piece that follows it."""
-    if sep == "":
-        return list(text)
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out.append(parts[-1])
-    return [p for p in out if p != ""]
-
-
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy packing of short pieces; carry a tail of at most ``overlap`` characters."""
-    out: list[str] = []
-    cur: list[str] = []
-    total = 0
-    for p in pieces:
-        n = len(p)
-        if total + n > size and cur:
-            s = "".join(cur).strip()
-            if s:
-                out.append(s)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(cur[0])
-                cur = cur[1:]
-        cur.append(p)
-        total += n
-    s = "".join(cur).strip()
-    if s:
-        out.append(s)
-    return out
-
+def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                separators: list[str] = SEPARATORS) -> list[tuple[int, int]]:
+    """C1 contract as (start, end) spans of the text, blank ends cut off, blank spans left out.
 
-def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    separators: list[str] = SEPARATORS) -> list[str]:
-    """C1 contract: first separator present in the text; short pieces packed, long ones split again."""
-    sep, rest = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "" or s in text:
-            sep, rest = s, separators[i + 1:]
-            break
-    chunks: list[str] = []
-    short: list[str] = []
-    for p in _pieces(text, sep):
-        if len(p) < size:
-            short.append(p)
+    A stretch is cut before each occurrence of the first separator that it holds.  Pieces shorter
+    than ``size`` are packed; a longer one is a stretch of its own for the remaining separators.
+    """
+    spans: list[tuple[int, int]] = []
+    stretches = [(0, len(text), 0)]  # those still to cut, the next one last
+    while stretches:
+        a, b, level = stretches.pop()
+        while level < len(separators) - 1 and separators[level] and text.find(separators[level], a, b) < 0:
+            level += 1
+        edges = _edges(text, a, b, separators[level])
+        long = next((k for k in range(len(edges) - 1) if edges[k + 1] - edges[k] >= size), None)
+        if long is None:
+            spans += _packed(edges, size, overlap)
             continue
-        if short:
-            chunks.extend(_merge(short, size, overlap))
-            short = []
-        chunks.extend(split_recursive(p, size, overlap, rest) if rest else [p])
-    if short:
-        chunks.extend(_merge(short, size, overlap))
-    return chunks
-
-
-def with_offsets(text: str, chunks: list[str], overlap: int = CHUNK_OVERLAP) -> list[tuple[int, str]]:
-    """0-based start of each chunk, searched from the end of the previous one minus the overlap."""
-    out, prev_start, prev_len = [], 0, 0
-    for c in chunks:
-        start = text.find(c, max(0, prev_start + prev_len - overlap))
-        if start < 0:
-            start = text.find(c)
-        out.append((start, c))
-        prev_start, prev_len = start, len(c)
+        spans += _packed(edges[: long + 1], size, overlap)
+        if edges[long + 1] < b:  # what follows the long piece is cut by the same separator
+            stretches.append((edges[long + 1], b, level))
+        if level < len(separators) - 1:
+            stretches.append((edges[long], edges[long + 1], level + 1))
+        else:
+            spans.append((edges[long], edges[long + 1]))
+    return [x for x in (_without_blank_ends(text, a, b) for a, b in spans) if x[0] < x[1]]
+
+
+def _edges(text: str, a: int, b: int, separator: str) -> list[int]:
+    """Where the pieces of text[a:b] begin, and b."""
+    if not separator:
+        return list(range(a, b + 1))
+    edges, at = [a], text.find(separator, a, b)
+    while at >= 0:
+        if at > a:
+            edges.append(at)
+        at = text.find(separator, at + len(separator), b)
+    return edges + [b] if b > a else edges
+
+
+def _packed(edges: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Runs of neighbouring pieces of at most ``size``; the next run goes back by at most ``overlap``."""
+    out, first = [], 0
+    for k in range(1, len(edges)):
+        if edges[k] - edges[first] > size and k - 1 > first:
+            out.append((edges[first], edges[k - 1]))
+            back = max(edges[k - 1] - overlap, edges[k] - size)
+            first = min(k - 1, bisect.bisect_left(edges, back, first))
+    if len(edges) > 1:
+        out.append((edges[first], edges[-1]))
     return out
 
 
+def _without_blank_ends(text: str, a: int, b: int) -> tuple[int, int]:
+    part = text[a:b]
+    return a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+
+
 def chunk_recursive(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """C1 over a document table -> chunks(doc, chunk_no, start, text, n_chars).
@@ -108,7 +97,7 @@ def chunk_recursive(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     @F.pandas_udf(CHUNK_TYPE)
     def _split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else
-                         [{"start": s, "text": c} for s, c in with_offsets(t, split_recursive(t, size, overlap), overlap)])
+                         [{"start": a, "text": t[a:b]} for a, b in chunk_spans(t, size, overlap)])
 
     exploded = docs.select(F.col(doc).alias("doc"), F.posexplode(_split(F.col(text))).alias("chunk_no", "c"))
     return exploded.select("doc", "chunk_no", F.col("c.start").alias("start"), F.col("c.text").alias("text"),
@@ -187,11 +176,6 @@ def chunk_stats(docs: DataFrame, chunks: DataFrame, *, doc: str = "doc_id") -> D
                         F.count_if(n == 0).alias("documents_without_chunks"))
 
 
-def balance(docs: DataFrame, n_partitions: int, *, text: str = "text") -> DataFrame:
-    """Spread documents by a hash of their content so long documents do not share a task."""
-    return docs.repartition(n_partitions, F.xxhash64(F.col(text)))
-
-
 def exact_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of identical texts: keeper = smallest id, copies = the others.
 

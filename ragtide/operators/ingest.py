@@ -2,11 +2,13 @@
 
 Plan shape: every step is a hash join or anti join on the document key (one
 shuffle by key), never a scan of the manifest per document.  The index is a
-Parquet table partitioned by ``bucket = pmod(xxhash64(doc), n)``; a batch rewrites
-only the buckets its documents fall in (dynamic partition overwrite), after the
-new bucket contents are checkpointed to the shared checkpoint folder so that the
-write does not read the files it replaces.  The manifest is written last, so a
-failed batch is retried whole and a rerun on unchanged input changes nothing.
+Parquet table that only grows: a batch appends the chunks of its changed documents as one
+new version folder, whatever the size of the index.  The manifest says which version of a
+document is current; readers keep the chunks of current versions, so replaced, emptied and
+deleted documents vanish as soon as a manifest is published.  Each manifest is a snapshot
+folder of its own, readable once it is complete: a failed batch leaves the last one in place and
+is retried whole, and a rerun on unchanged input writes nothing.  ``compact`` rewrites the
+current chunks as one version from time to time.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("fingerprint", T.StringType()),
     T.StructField("indexed_at", T.TimestampType()),
 ])
+STATE_SCHEMA = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("doc", T.StringType()), T.StructField("version", T.LongType())])
 
 
 def changed_documents(raw: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -88,64 +91,86 @@ def manifest_rows(json_shards: DataFrame, value: str = "value") -> DataFrame:
 
 # ------------------------------------------------------------------ physical index (K2) and the batch job
 
-def with_bucket(df: DataFrame, n_buckets: int, *, doc: str = "doc") -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(doc)), F.lit(n_buckets)).cast("int"))
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's checkpoint directory."""
+    return os.path.join(checkpoint_dir(spark), "ragtide-work", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def by_bucket(df: DataFrame) -> DataFrame:
-    """Group rows by bucket before a partitioned write: few files per bucket instead of one
-    per (task, bucket).  ``rebalance`` lets AQE split a bucket that one huge document makes hot."""
-    return df.hint("rebalance", "bucket")
+def write_index(chunks: DataFrame, path: str, version: int = 0) -> None:
+    """K2: chunk rows as one version of the index.  A retried batch overwrites its own version only."""
+    chunks.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def write_index(chunks: DataFrame, path: str, n_buckets: int = 64, *, doc: str = "doc") -> None:
-    """K2 full build: the index partitioned by document bucket."""
-    by_bucket(with_bucket(chunks, n_buckets, doc=doc)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def publish_manifest(manifest: DataFrame, path: str, version: int) -> None:
+    """K3: a whole manifest (path, fingerprint, indexed_at, doc, version) as one snapshot.
 
+    The writer's success mark comes last; until then readers see the snapshot before it."""
+    manifest.select([F.col(f.name).cast(f.dataType) for f in STATE_SCHEMA.fields]).write.mode("overwrite").parquet(f"{path}/snapshot={version}")
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a machine-local temp dir)."""
-    return os.path.join(checkpoint_dir(spark), "ragtide-work", f"{name}-{uuid.uuid4().hex[:12]}")
+
+def _newest_snapshot(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest complete snapshot (a listing of folder names)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    done = [s.getPath() for s in fs.listStatus(root) if fs.exists(hadoop(s.getPath(), "_SUCCESS"))]
+    return max((int(p.getName().split("=")[1]) for p in done if p.getName().startswith("snapshot=")), default=None)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest published manifest (empty if there is none)."""
+    newest = _newest_snapshot(spark, path)
+    if newest is None:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/snapshot={newest}")
+
+
+def read_index(spark: SparkSession, index_path: str, manifest_path: str, *, doc: str = "doc") -> DataFrame:
+    """Chunks of the current version of every document in the manifest."""
+    chunks = spark.read.parquet(index_path)
+    current = read_manifest(spark, manifest_path).select(F.col("doc").cast(chunks.schema[doc].dataType).alias(doc), "version")
+    return chunks.join(current, [doc, "version"], "left_semi").drop("version")
+
+
+def compact(spark: SparkSession, index_path: str, manifest_path: str) -> int:
+    """Rewrite the current chunks as one new version and publish it; returns its number.
+
+    Older versions stay for readers that began before; they can be deleted once those are done."""
+    version = (_newest_snapshot(spark, manifest_path) or 0) + 1
+    write_index(read_index(spark, index_path, manifest_path), index_path, version)
+    manifest = read_manifest(spark, manifest_path)
+    publish_manifest(manifest.withColumn("version", F.lit(version)), manifest_path, version)
+    return version
 
 
 def ingest_batch(spark: SparkSession, raw: DataFrame, *, index_path: str, manifest_path: str,
-                 to_chunks, n_buckets: int = 64, now=None, detect_deletions: bool = True) -> int:
+                 to_chunks, now=None, detect_deletions: bool = True) -> int:
     """One incremental batch.  Returns the number of touched documents (0 = nothing written).
 
     ``raw``: (doc, path, fingerprint, text) of the current documents.  ``to_chunks``:
     DataFrame(doc, text) -> chunk rows (doc, chunk_no, ...), e.g. chunk + encode.
-    Steps: delta -> chunks of changed documents -> rewrite of touched index buckets ->
-    manifest written last.  ``detect_deletions=False`` for a stream micro-batch, which
+    Steps: delta -> chunks of the changed documents appended as a new version -> manifest
+    published.  ``detect_deletions=False`` for a stream micro-batch, which
     holds only the files that arrived, not the whole corpus.
     """
-    manifest = _read_or_empty(spark, manifest_path, MANIFEST_SCHEMA)
-    changed = changed_documents(raw, manifest)
+    manifest = read_manifest(spark, manifest_path)
+    changed = changed_documents(raw, manifest).where(F.col("doc").isNotNull()).checkpoint()  # read three times
+    gone = manifest.select("path").limit(0)
     if detect_deletions:
-        deleted = manifest.join(raw.select("path"), "path", "left_anti").select("path")
-    else:
-        deleted = manifest.select("path").limit(0)
-    doc_of_path = F.regexp_extract(F.col("path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    touched = changed.select("doc").unionByName(
-        deleted.select(doc_of_path.alias("doc")).withColumn("doc", F.col("doc").cast(raw.schema["doc"].dataType)))
-    touched = touched.where(F.col("doc").isNotNull()).distinct().checkpoint()
-    n_touched = touched.count()
+        gone = manifest.join(raw.select("path"), "path", "left_anti").select("path")
+    n_touched = changed.count() + gone.count()
     if n_touched == 0:  # empty delta writes nothing (as the reference's early exit)
         return 0
-    new_chunks = with_bucket(to_chunks(changed.select("doc", "text")), n_buckets)
-    touched_b = with_bucket(touched, n_buckets).select("doc", "bucket")
-    buckets = touched_b.select("bucket").distinct()
-    if _exists(spark, index_path):
-        old = spark.read.parquet(index_path).join(buckets, "bucket", "left_semi")
-        rewritten = reindex_replace(old, touched_b.select("doc"), new_chunks)
-    else:
-        rewritten = new_chunks
-    rewritten = rewritten.checkpoint()  # cut lineage: the write below replaces files it was read from
-    (by_bucket(rewritten).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(index_path))
+    newest = _newest_snapshot(spark, manifest_path)
+    version = 0 if newest is None else newest + 1
+    write_index(to_chunks(changed.select("doc", "text")), index_path, version)
     ts = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    entries = changed.select("path", "fingerprint", ts.alias("indexed_at"))
-    new_manifest = manifest_upsert(manifest, entries, drop_deleted=deleted).checkpoint()  # D14: forget deletions
-    new_manifest.write.mode("overwrite").parquet(manifest_path)
+    entries = changed.select("path", "fingerprint", ts.alias("indexed_at"), F.col("doc").cast("string").alias("doc"),
+                             F.lit(version).cast("long").alias("version"))
+    kept = manifest.join(changed.select("path").unionByName(gone), "path", "left_anti")  # D14: forget deletions
+    publish_manifest(kept.select(*STATE_SCHEMA.names).unionByName(entries), manifest_path, version)
     return n_touched
 
 
@@ -154,9 +179,3 @@ def _exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p)
-
-
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    if _exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)

@@ -1,7 +1,7 @@
 """Judge verdicts and answer checks: clean, strict-parse, score, band; grounding checks; prompts.
 
 All row-local expressions (no shuffle): a verdict table of any size is processed
-in the tasks that read it.  The JSON validity test is a regular expression that
+in the tasks that read it.  The JSON validity test is a chain of plain replacements that
 rejects what a strict JSON parser rejects (trailing text, truncation, trailing
 commas, leading zeros), because ``from_json`` alone accepts trailing text.
 """
@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 # Fixed values that must equal the reference.
 #   fences removed: "```json" then "```"; optional fields default "N/A";
 #   failed verdict: all marks 0, feedback "Parse error: " + first 100 characters of the raw reply
+#   failed judge call: all marks 0, feedback "Eval error: " + the error text
 #   overall = mean of the four marks, rounded half-even to 2 digits (notebook) or 1 (library)
 #   verdict bands: >= 7 high, >= 4 mid, otherwise low
 MARKS = ["faithfulness", "relevance", "completeness", "citation"]
 NOT_AVAILABLE = "N/A"
 PARSE_ERROR = "Parse error: "
+EVAL_ERROR = "Eval error: "
 HIGH_FROM, MID_FROM = 7.0, 4.0
 
 VERDICT_SCHEMA = T.StructType(
@@ -29,11 +31,11 @@ VERDICT_SCHEMA = T.StructType(
 
 # Python's str.strip() whitespace (ASCII part); Spark's trim removes spaces only.
 _WS = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F ]"
-_STR = r'"(?:[^"\\]|\\.)*"'
-_NUM = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_VAL = rf"(?:{_STR}|{_NUM}|true|false|null)"
-_JW = r"[ \t\n\r]*"
-FLAT_OBJECT = rf"\A\{{{_JW}(?:{_STR}{_JW}:{_JW}{_VAL}(?:{_JW},{_JW}{_STR}{_JW}:{_JW}{_VAL})*)?{_JW}\}}\z"
+_JW = r"[ \t\n\r]"
+_ESCAPE = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
+_STRING = r'"[^"\\\x00-\x1f]*"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+NESTING = 8  # levels of lists and objects that a verdict may hold inside
 
 
 def _c(x) -> Column:
@@ -51,14 +53,35 @@ def clean(raw) -> Column:
 
 
 def well_formed(s) -> Column:
-    """J2 validity: one flat JSON object and nothing else."""
-    return F.coalesce(_c(s).rlike(FLAT_OBJECT), F.lit(False))
+    """J2 validity: one JSON object and nothing else; its values may be lists and objects.
+
+    Escapes become a plain letter, then each string one ``S``, each other scalar one ``V``; what is left
+    is short, and inner lists and objects fold to ``V`` level by level.  No pattern here backtracks
+    over repeated groups, so replies of any length are safe.
+    """
+    t = F.regexp_replace(_c(s), _ESCAPE, "e")
+    t = F.regexp_replace(t, _STRING, "S")
+    # a scalar must stand between separators, so that "1 2" or "truefalse" don't pass
+    t = F.regexp_replace(t, rf"(?<![A-Za-z0-9.+-])(?:true|false|null|{_NUMBER})(?![A-Za-z0-9.+-])", "V")
+    t = F.regexp_replace(t, rf"(?<=[\[\]{{}}:,]|^){_JW}++|{_JW}++(?=[\[\]{{}}:,]|$)", "")
+    member = r"S:[SV]"
+    for _ in range(NESTING):
+        t = F.regexp_replace(t, rf"(?<=[\[:,])(?:\[(?:[SV](?:,[SV])*+)?\]|\{{(?:{member}(?:,{member})*+)?\}})", "V")
+    return F.coalesce(t.rlike(rf"\A\{{(?:{member}(?:,{member})*+)?\}}\z"), F.lit(False))
+
+
+def failed_verdicts(df: DataFrame, error: str = "error") -> DataFrame:
+    """J5 where the judge call itself failed: zeros and 'Eval error: ' + the error text."""
+    zeros = [F.lit(0.0).alias(m) for m in MARKS + ["overall"]]
+    return df.select(*[c for c in df.columns if c != error], *zeros,
+                     F.concat(F.lit(EVAL_ERROR), F.coalesce(F.col(error), F.lit(""))).alias("feedback"),
+                     F.lit(False).alias("judge_ok"))
 
 
 def parse_verdicts(df: DataFrame, raw: str = "raw", digits: int = 2) -> DataFrame:
     """Raw judge replies -> scores with fallback and ``judge_ok``.
 
-    A verdict is accepted only if it is a well-formed flat object whose four marks
+    A verdict is accepted only if it is a well-formed object whose four marks
     are numbers (a quoted or missing mark fails, as the reference's arithmetic would).
     Accepted: overall recomputed (J3), optional fields default to 'N/A' (J4).
     Rejected: zeros and 'Parse error: ' + first 100 characters (J5).

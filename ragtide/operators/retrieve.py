@@ -35,6 +35,8 @@ from ragtide.functions import vectors as V
 
 RANK_DIGITS = 9
 OUT_DIGITS = 6
+BROADCAST_HITS = 500_000  # hit keys sent to every task
+PROBE_BLOCK = 20_000  # questions of one cell of the list search
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Fixed value that must equal the reference: the answer used when no chunk is found.
@@ -85,10 +87,12 @@ def topk(
     # join): materialise it once in the shared checkpoint folder.
     questions = questions.select(q_id, q_vec).checkpoint()
     n_q, dim = _size_check(questions, q_vec)
-    path = force
-    if path is None:
-        path = "broadcast" if n_q * max(dim, 1) * 8 <= broadcast_bytes else "grid"
+    fits = n_q * max(dim, 1) * 8 <= broadcast_bytes
+    path = (force or "broadcast") if fits else "grid"  # no choice sends out more than the budget
     ids = _ids(c_id)
+    # vectors that are null or of another length than the questions' have no score: they take no part
+    questions = questions.where(F.size(q_vec) == dim)
+    corpus = corpus.where(F.col(c_vec).isNotNull() & (F.size(c_vec) == dim))
     if path == "broadcast":
         scored = _scores_vectorised(questions, corpus, k, q_id, q_vec, ids, c_vec, metric)
     elif path == "hof":
@@ -127,60 +131,83 @@ def _block_scores(C: np.ndarray, Q: np.ndarray, qn: np.ndarray, metric: str) ->
     return -((C * C).sum(1)[:, None] + (qn * qn)[None, :] - 2.0 * G)
 
 
-def _local_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, col) pairs of the k best rows per column, keeping near-ties at the boundary."""
+SCORE_CELLS = 4_000_000  # entries of one score matrix
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64)
+
+
+def _block_best(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, col) pairs of at most k best rows per column; equal scores go to the earlier row."""
     m = S.shape[0]
     kk = min(k, m)
-    kth = np.partition(S, m - kk, axis=0)[m - kk, :]
-    keep = (S >= (kth - 1e-9)[None, :]) & np.isfinite(S)
+    key = np.where(np.isfinite(S), np.round(S, RANK_DIGITS), -np.inf)
+    kth = np.partition(key, m - kk, axis=0)[m - kk, :]
+    sure = key > kth
+    tie = (key == kth) & np.isfinite(key)
+    keep = sure | (tie & (np.cumsum(tie, axis=0) <= kk - sure.sum(axis=0)))
     return np.nonzero(keep)
 
 
+def _block_scores_exact(C: np.ndarray, Q: np.ndarray, qn: np.ndarray, metric: str) -> np.ndarray:
+    """Scores to rank by, 'larger is better'.  An L2 distance from the product form loses digits where
+    vectors nearly coincide, so those few are taken from the differences."""
+    S = _block_scores(C, Q, qn, metric)
+    if metric != "l2":
+        return S
+    scale = (C * C).sum(1)[:, None] + (qn * qn)[None, :]
+    rows, cols = np.nonzero(-S < 1e-4 * scale)
+    dist = np.sqrt(np.maximum(-S, 0.0))
+    diff = C[rows] - Q[cols]
+    dist[rows, cols] = np.sqrt((diff * diff).sum(1))
+    return -dist
+
+
+def _running_best(parts, qids: np.ndarray, Q: np.ndarray, k: int, metric: str, q_id: str, ids: list[str]) -> pd.DataFrame:
+    """One running top k per question over the (id columns, vectors) parts of a partition or cell.
+
+    What is held is one score matrix of SCORE_CELLS entries and k rows per question, however many rows
+    go by; ties are broken by id as in the final ranking.
+    """
+    qn = np.sqrt((Q * Q).sum(1))
+    best = pd.DataFrame({q_id: qids[:0], **{c: [] for c in ids}, "score": np.zeros(0)})
+    for frame, C in parts:
+        order = np.lexsort([frame[c].to_numpy() for c in reversed(ids)])
+        frame, C = frame.iloc[order], C[order]
+        step = max(1, SCORE_CELLS // max(1, len(Q)))
+        for lo in range(0, len(C), step):
+            S = _block_scores_exact(C[lo:lo + step], Q, qn, metric)
+            rows, cols = _block_best(S, k)
+            new = {q_id: qids[cols], **{c: frame[c].to_numpy()[lo + rows] for c in ids}}
+            new["score"] = -S[rows, cols] if metric == "l2" else S[rows, cols]
+            both = pd.DataFrame(new) if best.empty else pd.concat([best, pd.DataFrame(new)], ignore_index=True)
+            both["_key"] = np.round(both["score"], RANK_DIGITS) * (1 if metric == "l2" else -1)
+            both = both.sort_values([q_id, "_key", *ids], kind="stable")
+            best = both[both.groupby(q_id).cumcount() < k].drop(columns="_key")
+    return best
+
+
 def _scores_vectorised(questions, corpus, k, q_id, q_vec, ids, c_vec, metric):
     """Vectorised broadcast path.
 
     The question batch (size-checked by the caller: rows x dim x 8 bytes) is shipped to
-    executors once as a broadcast variable; each Arrow batch of the corpus becomes one
-    matrix product and keeps only its local top-k per question, so the exchange before
-    the final ranking carries at most k rows per question per batch.  The corpus is read
-    once, in place, and never shuffled.
+    executors once as a broadcast variable; the corpus is read once, in place, and never shuffled.
+    Each partition keeps one running top k per question, so the exchange before the final
+    ranking carries at most k rows per question per partition.
     """
     spark = corpus.sparkSession
     qp = questions.select(q_id, V.as_double(q_vec).alias("_v")).toPandas()
-    Q = np.stack(qp["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(qp) else \
-        np.zeros((0, 0))
-    qn = np.sqrt((Q * Q).sum(1)) if len(qp) else np.zeros(0)
-    bq = spark.sparkContext.broadcast((qp[q_id].to_numpy(), Q, qn))
-    id_fields = [corpus.schema[c] for c in ids]
-    out_schema = T.StructType([T.StructField(q_id, questions.schema[q_id].dataType), *id_fields,
+    sent = spark.sparkContext.broadcast((qp[q_id].to_numpy(), _matrix(qp["_v"])))
+    out_schema = T.StructType([T.StructField(q_id, questions.schema[q_id].dataType), *[corpus.schema[c] for c in ids],
                                T.StructField("score", T.DoubleType())])
-    block = max(1, 4_000_000 // max(1, len(qp)))
 
     def score_batches(batches):
-        qids, Qm, qnorm = bq.value
-        for pdf in batches:
-            if pdf.empty or len(qids) == 0:
-                continue
-            for lo in range(0, len(pdf), block):
-                part = pdf.iloc[lo:lo + block]
-                C = np.stack(part["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                S = _block_scores(C, Qm, qnorm, metric)
-                rows, cols = _local_topk(S, k)
-                if metric == "l2":
-                    diff = C[rows] - Qm[cols]
-                    score = np.sqrt((diff * diff).sum(1))
-                elif metric == "cosine":
-                    score = S[rows, cols]
-                else:
-                    score = S[rows, cols]
-                out = {q_id: qids[cols]}
-                for c in ids:
-                    out[c] = part[c].to_numpy()[rows]
-                out["score"] = score
-                yield pd.DataFrame(out)
-
-    c = corpus.select(*ids, V.as_double(c_vec).alias("_v"))
-    return c.mapInPandas(score_batches, out_schema)
+        qids, Q = sent.value
+        if len(qids):
+            yield _running_best(((x, _matrix(x["_v"])) for x in batches if len(x)), qids, Q, k, metric, q_id, ids)
+
+    return corpus.select(*ids, V.as_double(c_vec).alias("_v")).mapInPandas(score_batches, out_schema)
 
 
 def _scores_grid(questions, corpus, k, n_q, dim, q_id, q_vec, ids, c_vec, metric, block_bytes):
@@ -191,7 +218,7 @@ def _scores_grid(questions, corpus, k, n_q, dim, q_id, q_vec, ids, c_vec, metric
     (qb, cb) is an equi-join key of a cogroup.  The corpus is replicated ``bq`` times,
     the minimum for blocks that fit a task, and the question side ``bc`` times.
     Blocks are assigned by hash, not by value, so skewed ids cannot overload a cell;
-    inside a cell the products run in sub-blocks of bounded size and keep local top-k.
+    a cell holds one running top k per question and gives at most that.
     """
     n_c = corpus.count()
     rows_per_block = max(1, block_bytes // (max(dim, 1) * 8))
@@ -215,27 +242,7 @@ def _scores_grid(questions, corpus, k, n_q, dim, q_id, q_vec, ids, c_vec, metric
     def cell_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
             return pd.DataFrame({"_qid": [], **{x: [] for x in ids}, "score": []})
-        Q = np.stack(qdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        qn = np.sqrt((Q * Q).sum(1))
-        qids = qdf["_qid"].to_numpy()
-        step = max(1, 4_000_000 // len(Q))  # corpus sub-block: score matrix <= 4M entries
-        parts = []
-        for lo in range(0, len(cdf), step):
-            sub = cdf.iloc[lo:lo + step]
-            C = np.stack(sub["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            S = _block_scores(C, Q, qn, metric)
-            rows, cols = _local_topk(S, k)
-            if metric == "l2":
-                diff = C[rows] - Q[cols]
-                score = np.sqrt((diff * diff).sum(1))
-            else:
-                score = S[rows, cols]
-            out = {"_qid": qids[cols]}
-            for x in ids:
-                out[x] = sub[x].to_numpy()[rows]
-            out["score"] = score
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts, ignore_index=True)
+        return _running_best([(cdf, _matrix(cdf["_v"]))], qdf["_qid"].to_numpy(), _matrix(qdf["_v"]), k, metric, "_qid", ids)
 
     part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell_topk, out_schema)
     return part.select(F.col("_qid").alias(q_id), *ids, "score")
@@ -247,11 +254,11 @@ def rescore_cosine(hits: DataFrame, questions: DataFrame, corpus: DataFrame, *,
                    q_vec="qvec", c_id="vec_id", c_vec="embedding") -> DataFrame:
     """Cosine of each hit, recomputed from stored vectors (k rows per question).
 
-    The hit table is tiny (k per question); both vector lookups are equi-joins.
+    Only the hits' vectors are looked up, in one pass over the corpus.
     """
     return (
-        hits.join(questions.select(q_id, q_vec), q_id)
-        .join(corpus.select(c_id, c_vec), c_id)
+        attach(hits, corpus.select(c_id, c_vec), [c_id], "inner")
+        .join(questions.select(q_id, q_vec), q_id)
         .select(q_id, "rank", c_id, F.round(V.cosine(q_vec, c_vec), OUT_DIGITS).alias("cos"))
     )
 
@@ -273,9 +280,12 @@ def attach(hits: DataFrame, big: DataFrame, keys: list[str], how: str = "left")
     hash join; the two small results are then joined.  A plain ``hits LEFT JOIN big``
     cannot broadcast its preserved side and would shuffle the whole large table.
     The hits are used twice, so they are checkpointed once (reliable checkpoint in the
-    shared folder) instead of running the search twice.
+    shared folder) instead of running the search twice.  Hit tables of more than
+    ``BROADCAST_HITS`` rows are joined by key instead.
     """
     hits = hits.checkpoint()
+    if hits.count() > BROADCAST_HITS:
+        return hits.join(big, keys, how)
     wanted = F.broadcast(hits.select(*keys).distinct())
     small = big.join(wanted, keys, "inner")
     return hits.join(small, keys, how)
@@ -366,8 +376,8 @@ def ivf_index(corpus: DataFrame, *, c_id="vec_id", c_vec="embedding", n_lists: i
     """Train k-means centroids and assign every corpus row to its nearest list.
 
     Returns (assigned corpus with ``centroid_id``, centroids DataFrame(centroid_id, centroid)).
-    Centroids number n_lists (default round(sqrt(n))); their table is checked against the
-    broadcast budget before training, since probing broadcasts it.
+    Centroids number n_lists (default round(sqrt(n))), or as many as the broadcast budget holds,
+    since probing broadcasts them.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -375,9 +385,9 @@ def ivf_index(corpus: DataFrame, *, c_id="vec_id", c_vec="embedding", n_lists: i
     n = n_rows if n_rows is not None else corpus.count()
     lists = n_lists or max(1, int(round(math.sqrt(max(n, 1)))))
     dim = int(corpus.select(F.size(c_vec).alias("d")).first()["d"] or 0)
-    if lists * max(dim, 1) * 8 > DEFAULT_BROADCAST_BYTES:
-        # the centroid table is held by the model on the driver and broadcast for probing
-        raise ValueError(f"{lists} lists x {dim} dims exceed the broadcast budget; pass a smaller n_lists")
+    # the centroid table is held by the model on the driver and broadcast for probing: beyond its budget
+    # there are fewer, longer lists (long lists are split when they are searched)
+    lists = min(lists, max(1, DEFAULT_BROADCAST_BYTES // (max(dim, 1) * 8)))
     feats = corpus.select(c_id, c_vec, array_to_vector(V.as_double(c_vec)).alias("_f"))
     train = feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed)
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="centroid_id").fit(train)
@@ -402,36 +412,31 @@ def topk_ivf(questions: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     sizes = assigned.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("_m"))
     salts = sizes.select("centroid_id", F.greatest(F.lit(1), F.ceil(F.col("_m") / salt_rows)).cast("int").alias("_s"))
     probes = _nearest_lists(questions, centroids.join(sizes, "centroid_id"), nprobe, k, q_id, q_vec)
-    probes = probes.join(F.broadcast(salts), "centroid_id")  # one row per list: bounded by n_lists
-    probes = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    c = assigned.join(F.broadcast(salts), "centroid_id").select(
-        c_id, V.as_double(c_vec).alias("_cv"), "centroid_id",
-        F.pmod(F.xxhash64(c_id), F.col("_s")).cast("int").alias("_salt")
-    )
-    pq = probes.select(q_id, "_qv", "centroid_id", "_salt")
+    probes = probes.checkpoint()
+    # a list that many questions probe is split on their side too (one row per list: bounded by n_lists)
+    asked = probes.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("_p"))
+    parts = salts.join(asked, "centroid_id", "left").select(
+        "centroid_id", "_s", F.greatest(F.lit(1), F.ceil(F.coalesce("_p", F.lit(0)) / PROBE_BLOCK)).cast("int").alias("_t"))
+    cell = ["centroid_id", "_salt", "_part"]
+    pq = probes.join(F.broadcast(parts), "centroid_id").select(
+        q_id, "_qv", "centroid_id", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"),
+        F.pmod(F.xxhash64(q_id), F.col("_t")).cast("int").alias("_part"))
+    c = assigned.where(F.col(c_vec).isNotNull()).join(F.broadcast(parts), "centroid_id").select(
+        c_id, V.as_double(c_vec).alias("_cv"), "centroid_id", F.pmod(F.xxhash64(c_id), F.col("_s")).cast("int").alias("_salt"),
+        F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("_part"))
     out_schema = T.StructType([
         T.StructField(q_id, questions.schema[q_id].dataType),
         T.StructField(c_id, assigned.schema[c_id].dataType),
         T.StructField("score", T.DoubleType()),
     ])
 
-    def cell(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        """One (list, salt) cell: its probing questions x its rows, local top-k per question."""
+    def search(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        """One cell: its probing questions x its rows, a running top k per question."""
         if qdf.empty or cdf.empty:
             return pd.DataFrame({q_id: [], c_id: [], "score": []})
-        C = np.stack(cdf["_cv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        cids = cdf[c_id].to_numpy()
-        qids_all = qdf[q_id].to_numpy()
-        block = max(1, 4_000_000 // len(C))  # bounds the score matrix, however many questions probe this list
-        parts = []
-        for lo in range(0, len(qdf), block):
-            Q = np.stack(qdf["_qv"].iloc[lo:lo + block].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            S = C @ Q.T
-            rows, cols = _local_topk(S, k)
-            parts.append(pd.DataFrame({q_id: qids_all[lo:lo + block][cols], c_id: cids[rows], "score": S[rows, cols]}))
-        return pd.concat(parts, ignore_index=True)
-
-    scored = pq.groupBy("centroid_id", "_salt").cogroup(c.groupBy("centroid_id", "_salt")).applyInPandas(cell, out_schema)
+        return _running_best([(cdf, _matrix(cdf["_cv"]))], qdf[q_id].to_numpy(), _matrix(qdf["_qv"]), k, "dot", q_id, [c_id])
+
+    scored = pq.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(search, out_schema)
     return _rank(scored, q_id, c_id, k, ascending=False).select(q_id, "rank", c_id, "score")
 
 
@@ -448,7 +453,7 @@ def _nearest_lists(questions: DataFrame, centroids: DataFrame, nprobe: int, k: i
     cp = centroids.orderBy("centroid_id").toPandas()
     cids = cp["centroid_id"].to_numpy()
     csize = cp["_m"].to_numpy().astype(np.int64)
-    Cm = np.stack(cp["centroid"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+    Cm = _matrix(cp["centroid"])
     bc = questions.sparkSession.sparkContext.broadcast((cids, Cm, csize))
     schema = T.StructType([T.StructField(q_id, questions.schema[q_id].dataType),
                            T.StructField("_qv", T.ArrayType(T.DoubleType())),
@@ -459,7 +464,7 @@ def _nearest_lists(questions: DataFrame, centroids: DataFrame, nprobe: int, k: i
         for pdf in batches:
             if pdf.empty:
                 continue
-            Q = np.stack(pdf["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            Q = _matrix(pdf["_qv"])
             S = Q @ C.T
             order = np.lexsort((np.broadcast_to(ids, S.shape), -S), axis=1)
             before = np.cumsum(size[order], axis=1) - size[order]  # rows in nearer lists

@@ -111,13 +111,15 @@ def ingest_batch(spark, d):
         return C.chunk_fixed(df, doc="doc")
 
     prev = previous_documents(docs)
-    I.write_index(to_chunks(prev), index_path, n_buckets=16)
-    previous_manifest(docs).write.mode("overwrite").parquet(manifest_path)
-    I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path,
-                   to_chunks=to_chunks, n_buckets=16)
-    again = I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path,
-                           to_chunks=to_chunks, n_buckets=16)
+    I.write_index(to_chunks(prev), index_path, 0)
+    state = previous_manifest(docs)
+    if "indexed_at" not in state.columns:
+        state = state.withColumn("indexed_at", F.lit(None).cast("timestamp"))
+    I.publish_manifest(state.select("path", "fingerprint", "indexed_at", F.regexp_extract("path", r"docs/([0-9]+)\.pdf", 1).alias("doc"),
+                                    F.lit(0).alias("version")), manifest_path, 0)
+    I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path, to_chunks=to_chunks)
+    again = I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path, to_chunks=to_chunks)
     if again != 0:
         raise AssertionError(f"rerun on unchanged input touched {again} documents")
-    idx = spark.read.parquet(index_path)
+    idx = I.read_index(spark, index_path, manifest_path)
     return idx.select("doc", "chunk_no", F.md5("text").alias("text_md5"))

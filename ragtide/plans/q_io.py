@@ -34,12 +34,12 @@ def _landing(spark, d, root):
 @register("write_docs", """
 SELECT doc_id AS doc, md5(text) AS text_md5 FROM documents""")
 def write_docs(spark, d):
-    """K1: documents written per bucket, half of them written again (dynamic overwrite), read back."""
+    """K1: documents written, half of them written again as a new version, read back."""
     root = I.scratch_path(spark, "write-docs")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    K.write_docs(docs, f"{root}/docs", n_buckets=16)
-    K.write_docs(docs.where(F.col("doc") % 2 == 0), f"{root}/docs", n_buckets=16)  # replaces those documents only
-    back = spark.read.parquet(f"{root}/docs")
+    K.write_docs(docs, f"{root}/docs", 0)
+    K.write_docs(docs.where(F.col("doc") % 2 == 0), f"{root}/docs", 1)  # replaces those documents only
+    back = K.read_docs(spark, f"{root}/docs")
     return back.select("doc", F.md5("text").alias("text_md5"))
 
 
@@ -114,7 +114,7 @@ def index_chunks(spark, d):
     """K2: chunks with their vectors written as the bucketed index, read back."""
     root = I.scratch_path(spark, "index")
     chunks = E.encode(C.chunk_fixed(table(spark, d, "documents")), "text", "embedding")
-    I.write_index(chunks, f"{root}/index", n_buckets=16)
+    I.write_index(chunks, f"{root}/index")
     back = spark.read.parquet(f"{root}/index")
     return back.select("doc", "chunk_no",
                        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens"))

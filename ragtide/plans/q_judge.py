@@ -38,7 +38,7 @@ rv0 AS (
       '\A{J._WS}+', ''), '{J._WS}+\z', '') AS clean
   FROM verdicts
 ), ps AS (
-  SELECT {out_id}, raw, clean, coalesce(regexp_matches(clean, '{J.FLAT_OBJECT}'), false) AS wf FROM cl
+  SELECT {out_id}, raw, clean, coalesce(json_valid(clean) AND json_type(CASE WHEN json_valid(clean) THEN clean END) = 'OBJECT', false) AS wf FROM cl
 ), pv AS (
   SELECT {out_id}, raw, clean, wf,
     {", ".join(f"CASE WHEN wf AND json_type(clean, '$.{m}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') "

@@ -31,22 +31,25 @@ def _run(query) -> list:
 
 
 def stream_ingest(spark: SparkSession, doc_dir: str, *, index_path: str, manifest_path: str, checkpoint: str,
-                  to_chunks, doc_of_path, glob: str = "*.txt", n_buckets: int = 64, text=None) -> list:
+                  to_chunks, doc_of_path, glob: str = "*.txt", text=None,
+                  max_files: int | None = None) -> list:
     """New files in ``doc_dir`` -> ``ingest_batch`` per micro-batch (availableNow).
 
     The file source remembers the paths it has seen, so a file overwritten in place is
     not re-read: land uploads under versioned names, or run the batch delta on a schedule.
     ``doc_of_path``: Column expression on ``path`` giving the document key; ``text``: optional
-    Column expression on ``content`` (default: UTF-8 decode).
+    Column expression on ``content`` (default: UTF-8 decode); ``max_files``: files per micro-batch.
     """
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-             .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(doc_dir))
+    source = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
+    if max_files:
+        source = source.option("maxFilesPerTrigger", max_files)
+    files = source.option("recursiveFileLookup", "true").load(doc_dir)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         t = F.decode(F.col("content"), "UTF-8") if text is None else text
         raw = df.select(doc_of_path.alias("doc"), "path", F.md5(t).alias("fingerprint"), t.alias("text"))
         I.ingest_batch(df.sparkSession, raw, index_path=index_path, manifest_path=manifest_path,
-                       to_chunks=to_chunks, n_buckets=n_buckets, detect_deletions=False)
+                       to_chunks=to_chunks, detect_deletions=False)
 
     q = (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -70,10 +73,14 @@ def stream_daily_quality(spark: SparkSession, events_dir: str, schema: T.StructT
     daily = _daily(spark.readStream.schema(schema).parquet(events_dir), watermark)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(sink)
-        if alerts_sink is not None and reference is not None:
-            s = M.with_reference(df, reference)
-            M.alerts(s, keys=["window_start"]).write.mode("overwrite").parquet(alerts_sink)
+        df.persist()  # else the second write would run the stateful batch again
+        try:
+            df.write.mode("overwrite").parquet(sink)
+            if alerts_sink is not None and reference is not None:
+                s = M.with_reference(df, reference)
+                M.alerts(s, keys=["window_start"]).write.mode("overwrite").parquet(alerts_sink)
+        finally:
+            df.unpersist()
 
     q = (daily.writeStream.outputMode("complete").foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -15,8 +15,8 @@ def _raw(spark, docs):
                      F.md5("text").alias("fingerprint"), "text")
 
 
-def _index(spark, path):
-    return sorted((r["doc"], r["chunk_no"], r["text"]) for r in spark.read.parquet(path).collect())
+def _index(spark, idx, man):
+    return sorted((r["doc"], r["chunk_no"], r["text"]) for r in I.read_index(spark, idx, man).collect())
 
 
 def test_replace_by_document_and_rerun(spark):
@@ -24,17 +24,45 @@ def test_replace_by_document_and_rerun(spark):
     idx, man = f"{root}/index", f"{root}/manifest"
     to_chunks = lambda df: C.chunk_fixed(df, doc="doc")
     v1 = [(1, "a" * 1500), (2, "b" * 500), (3, "c" * 10)]
-    assert I.ingest_batch(spark, _raw(spark, v1), index_path=idx, manifest_path=man, to_chunks=to_chunks,
-                          n_buckets=4) == 3
+    assert I.ingest_batch(spark, _raw(spark, v1), index_path=idx, manifest_path=man, to_chunks=to_chunks) == 3
     v2 = [(1, "A" * 900), (2, "b" * 500), (4, "d" * 20)]  # 1 modified (fewer chunks), 3 deleted, 4 new
-    assert I.ingest_batch(spark, _raw(spark, v2), index_path=idx, manifest_path=man, to_chunks=to_chunks,
-                          n_buckets=4) == 3
+    assert I.ingest_batch(spark, _raw(spark, v2), index_path=idx, manifest_path=man, to_chunks=to_chunks) == 3
     expect = sorted((r["doc"], r["chunk_no"], r["text"])
                     for r in to_chunks(spark.createDataFrame(v2, "doc long, text string")).collect())
-    assert _index(spark, idx) == expect  # no stale chunk of doc 1, nothing of doc 3
-    assert I.ingest_batch(spark, _raw(spark, v2), index_path=idx, manifest_path=man, to_chunks=to_chunks,
-                          n_buckets=4) == 0
-    assert _index(spark, idx) == expect
+    assert _index(spark, idx, man) == expect  # no stale chunk of doc 1, nothing of doc 3
+    assert I.ingest_batch(spark, _raw(spark, v2), index_path=idx, manifest_path=man, to_chunks=to_chunks) == 0
+    assert _index(spark, idx, man) == expect
+
+
+def test_emptied_and_deleted_documents_vanish(spark):
+    """Few documents: whole old versions fall away; files written follow the delta."""
+    root = I.scratch_path(spark, "test-vanish")
+    idx, man = f"{root}/index", f"{root}/manifest"
+    to_chunks = lambda df: C.chunk_recursive(df, doc="doc")
+    run = lambda docs: I.ingest_batch(spark, _raw(spark, docs), index_path=idx, manifest_path=man, to_chunks=to_chunks)
+    big = [(i, f"text of {i} " * 200) for i in range(3, 60)]
+    assert run([(1, "one"), (2, "two"), *big]) == 59
+    assert run([(1, ""), *big]) == 2  # 1 emptied, 2 deleted
+    assert {r[0] for r in _index(spark, idx, man)} == set(range(3, 60))
+    assert {r["path"] for r in I.read_manifest(spark, man).collect()} == {f"docs/{i}.pdf" for i in [1, *range(3, 60)]}
+    assert run([(1, ""), *big]) == 0
+    assert run([(1, "back"), *big]) == 1
+    added = spark.read.parquet(f"{idx}/version=2")
+    assert added.count() == 1 and (1, 0, "back") in _index(spark, idx, man)
+    before = _index(spark, idx, man)
+    version = I.compact(spark, idx, man)
+    assert _index(spark, idx, man) == before and spark.read.parquet(f"{idx}/version={version}").count() == len(before)
+
+
+def test_unfinished_batch_is_invisible(spark):
+    root = I.scratch_path(spark, "test-crash")
+    idx, man = f"{root}/index", f"{root}/manifest"
+    to_chunks = lambda df: C.chunk_fixed(df, doc="doc")
+    I.ingest_batch(spark, _raw(spark, [(1, "a")]), index_path=idx, manifest_path=man, to_chunks=to_chunks)
+    I.write_index(to_chunks(spark.createDataFrame([(1, "lost")], "doc long, text string")), idx, 1)  # then it died
+    assert _index(spark, idx, man) == [(1, 0, "a")]
+    I.ingest_batch(spark, _raw(spark, [(1, "b")]), index_path=idx, manifest_path=man, to_chunks=to_chunks)
+    assert _index(spark, idx, man) == [(1, 0, "b")]
 
 
 def test_stream_dedup_and_late(spark):

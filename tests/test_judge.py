@@ -86,3 +86,27 @@ def test_render_single_pass(spark):
     df = spark.createDataFrame([("what is {context}?", "ctx")], "q string, c string")
     r = df.select(J.render("Q: {question} C: {context}", question="q", context="c").alias("p")).first()["p"]
     assert r == "Q: what is {context}? C: ctx"
+
+
+def test_long_and_nested_replies(spark):
+    marks = '"faithfulness": 8, "relevance": 9, "completeness": 6, "citation": 10'
+    raws = [
+        "{" + marks + ', "feedback": "' + "x" * 1_000_000 + '"}',
+        "{" + marks + ', "feedback": "' + "\\n" * 100_000 + '"}',
+        "{" + marks + ', "faithfulness_issues": ["a, b", {"k": [1, 2.5e3, null]}, []]}',
+        "{" + marks + ', "extra": {"a": {"b": [true, false]}}, "feedback": "q \\" ] }"}',
+        "{" + marks + ', "faithfulness_issues": ["a" "b"]}',
+        "{" + marks + ', "faithfulness_issues": [1, 2}',
+        "{" + marks + ', "x": truefalse}',
+        "[" + "{" + marks + "}" + "]",
+    ]
+    out = _parse(spark, raws)
+    assert {i for i, r in out.items() if r["judge_ok"]} == {0, 1, 2, 3}
+    assert len(out[0]["feedback"]) == 1_000_000 and out[2]["faithfulness_issues"].startswith("[")
+
+
+def test_failed_calls(spark):
+    df = spark.createDataFrame([(1, "timeout"), (2, None)], "id int, error string")
+    rows = {r["id"]: r for r in J.failed_verdicts(df).collect()}
+    assert rows[1]["feedback"] == "Eval error: timeout" and rows[2]["feedback"] == "Eval error: "
+    assert rows[1]["overall"] == 0 and not rows[1]["judge_ok"]

@@ -39,6 +39,39 @@ def test_ties_by_id_and_k_beyond_corpus(spark):
         assert got == [(1, 3), (2, 5), (3, 9), (4, 1)]
 
 
+@pytest.mark.parametrize("metric", ["dot", "l2", "cosine"])
+def test_many_ties_sub_blocks_and_null_vectors(spark, metric, monkeypatch):
+    """More ties than k, a score matrix of a few rows, and rows without a usable vector."""
+    monkeypatch.setattr(R, "SCORE_CELLS", 12)
+    rows = [(i, [0.6, 0.8] if i % 3 else [0.8, 0.6]) for i in range(90)] + [(200, None), (201, [1.0]), (202, [1.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    qs = spark.createDataFrame([(0, [0.6, 0.8]), (1, [0.8, 0.6]), (2, [0.0, 1.0])], "qid long, qvec array<double>")
+    base = _rows(R.topk(qs, corpus, 7, metric=metric, force="hof"))
+    for force in ("broadcast", "grid"):
+        assert _rows(R.topk(qs, corpus, 7, metric=metric, force=force, block_bytes=16 * 20)) == base
+    assert [r[2] for r in base if r[0] == 0] == [1, 2, 4, 5, 7, 8, 10]
+
+
+def test_no_path_sends_more_than_the_budget(spark):
+    qs, corpus = _data(spark)
+    assert _rows(R.topk(qs, corpus, 3, force="broadcast", broadcast_bytes=8)) == _rows(R.topk(qs, corpus, 3))
+
+
+def test_large_hit_tables_join_by_key(spark, monkeypatch):
+    qs, corpus = _data(spark)
+    hits = R.topk(qs, corpus, 3)
+    small = sorted(map(str, R.rescore_cosine(hits, qs, corpus).collect()))
+    monkeypatch.setattr(R, "BROADCAST_HITS", 1)
+    assert sorted(map(str, R.rescore_cosine(hits, qs, corpus).collect())) == small
+
+
+def test_lists_split_on_the_question_side(spark, monkeypatch):
+    monkeypatch.setattr(R, "PROBE_BLOCK", 2)
+    qs, corpus = _data(spark, n_q=9, n_c=50)
+    assigned, cents = R.ivf_index(corpus, n_lists=3, n_rows=50)
+    assert _rows(R.topk_ivf(qs, assigned, cents, 4, nprobe=3, salt_rows=10)) == _rows(R.topk(qs, corpus, 4))
+
+
 def test_zero_vector_cosine_excluded(spark):
     corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     qs = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, qvec array<double>")

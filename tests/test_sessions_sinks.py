@@ -31,9 +31,9 @@ def test_recent_sessions(spark):
 def test_write_docs_replaces_documents_only(spark):
     path = I.scratch_path(spark, "test-docs") + "/docs"
     v1 = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc long, text string")
-    K.write_docs(v1, path, n_buckets=4)
-    K.write_docs(spark.createDataFrame([(3, "new 3"), (25, "new 25")], "doc long, text string"), path, n_buckets=4)
-    got = dict((r["doc"], r["text"]) for r in spark.read.parquet(path).collect())
+    K.write_docs(v1, path, 0)
+    K.write_docs(spark.createDataFrame([(3, "new 3"), (25, "new 25")], "doc long, text string"), path, 1)
+    got = dict((r["doc"], r["text"]) for r in K.read_docs(spark, path).collect())
     assert len(got) == 21 and got[3] == "new 3" and got[25] == "new 25" and got[4] == "text 4"
 
 
