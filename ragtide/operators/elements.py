@@ -22,13 +22,14 @@ NO_PAGE = "N/A"
 SEP, MID, END = "\u0001", "\u0003", "\u0002"
 
 _STRIP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-_BLOCK = r"(?i)<(title|h1|h2|h3|p|li|navli|footer|table)(?:\s[^>]*)?>"
+# tags that end one element and begin the next; all other tags are part of a line of text
+_BLOCK = (r"(?i)<(/?(?:title|h[1-6]|p|li|navli|footer|table|div|pre|blockquote|section|article|aside|main|header|nav"
+          r"|ul|ol|dl|dt|dd|form|figure|figcaption|head|body|html))(?:\s[^>]*)?/?>")
 _WS = r"[\t\n\f\r ]+"
 
-# Fixed values that must equal the reference's defaults for HTML-like input:
-# tag -> category.  title/h1/h2/h3 Title, p NarrativeText, li ListItem,
-# table Table, footer Footer, an item inside <nav> Header.
-_TAG_CATEGORY = [("title", "Title"), ("h1", "Title"), ("h2", "Title"), ("h3", "Title"),
+# Our own choice of tag -> category: headings Title, p NarrativeText, li ListItem, table Table,
+# footer Footer, an item inside <nav> Header; text in any other place is Uncategorized.
+_TAG_CATEGORY = [("title", "Title"), *((f"h{i}", "Title") for i in range(1, 7)),
                  ("p", "NarrativeText"), ("li", "ListItem"), ("navli", "Header"),
                  ("footer", "Footer"), ("table", "Table")]
 
@@ -62,26 +63,23 @@ def extract_elements(pages: DataFrame, *, doc: str = "page_id", html: str = "htm
     """Raw HTML pages -> elements(doc, pos, category, page, text, html).
 
     Script, style and comments are removed first (scripts may contain '</p>').
-    Each block opening tag starts an element; its text runs to its closing tag or
-    to the next block (unclosed <p>).  Narrow stage: every page is processed in
-    the task that reads it.
+    Every block tag, opening or closing, ends the element before it; an opening tag names the
+    category of the text that follows, and text after a closing tag, before the first tag or in a tag
+    without a category is kept as Uncategorized: no visible text is lost, in whatever letter case the
+    tags are.  Narrow stage: every page is processed in the task that reads it.
     """
     clean = _mark_nav_items(F.regexp_replace(F.col(html), _STRIP, ""))
-    marked = F.regexp_replace(clean, _BLOCK, SEP + "$1" + END)
+    marked = F.concat(F.lit(END), F.regexp_replace(clean, _BLOCK, SEP + "$1" + END))  # the first piece has no tag
     pieces = pages.select(F.col(doc).alias("doc"), F.posexplode(F.split(marked, SEP)).alias("pos", "piece"))
-    pieces = pieces.where(F.col("pos") > 0)
-    tag = F.lower(F.substring_index("piece", END, 1))
     body = F.substring("piece", F.instr("piece", END) + 1, F.lit(1 << 30))
-    p = pieces.select("doc", "pos", tag.alias("tag"), body.alias("body"))
-    close = F.when(F.col("tag") == "navli", F.lit("li")).otherwise(F.col("tag"))
-    cut = F.split_part(F.col("body"), F.concat(F.lit("</"), close, F.lit(">")), F.lit(1))
+    p = pieces.select("doc", "pos", F.lower(F.substring_index("piece", END, 1)).alias("tag"), body.alias("body"))
     category = F.lit("Uncategorized")
     for t, c in reversed(_TAG_CATEGORY):
         category = F.when(F.col("tag") == t, F.lit(c)).otherwise(category)
     out = p.select(
         "doc", "pos", category.alias("category"), F.lit(None).cast("int").alias("page"),
-        element_text(cut).alias("text"),
-        F.when(F.col("tag") == "table", F.concat(F.lit("<table>"), cut, F.lit("</table>"))).alias("html"),
+        element_text(F.col("body")).alias("text"),
+        F.when(F.col("tag") == "table", F.concat(F.lit("<table>"), F.col("body"), F.lit("</table>"))).alias("html"),
     )
     return out.where(F.col("text") != "")
 

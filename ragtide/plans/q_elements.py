@@ -23,21 +23,18 @@ c AS (
          '</nav>') AS h
   FROM c
 ), m AS (
-  SELECT doc, string_split(regexp_replace(h, '(?i)<(title|h1|h2|h3|p|li|navli|footer|table)(?:\s[^>]*)?>',
-                                          chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts
+  SELECT doc, string_split(chr(2) || regexp_replace(h,
+    '(?i)<(/?(?:title|h[1-6]|p|li|navli|footer|table|div|pre|blockquote|section|article|aside|main|header|nav|ul|ol|dl|dt|dd|form|figure|figcaption|head|body|html))(?:\s[^>]*)?/?>',
+    chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts
   FROM n
 ), pc AS (
   SELECT doc, unnest(parts) AS piece, unnest(range(0, len(parts))) AS pos FROM m
-), tb AS (
-  SELECT doc, pos, lower(split_part(piece, chr(2), 1)) AS tag, substr(piece, strpos(piece, chr(2)) + 1) AS body
-  FROM pc WHERE pos > 0
 ), el0 AS (
-  SELECT doc, pos, tag,
-         split_part(body, '</' || CASE WHEN tag = 'navli' THEN 'li' ELSE tag END || '>', 1) AS cut
-  FROM tb
+  SELECT doc, pos, lower(split_part(piece, chr(2), 1)) AS tag, substr(piece, strpos(piece, chr(2)) + 1) AS cut FROM pc
 ), el AS (
   SELECT doc, pos,
-         CASE WHEN tag IN ('title', 'h1', 'h2', 'h3') THEN 'Title' WHEN tag = 'p' THEN 'NarrativeText'
+         CASE WHEN tag = 'title' OR (len(tag) = 2 AND tag[1] = 'h' AND tag[2] BETWEEN '1' AND '6') THEN 'Title'
+              WHEN tag = 'p' THEN 'NarrativeText'
               WHEN tag = 'li' THEN 'ListItem' WHEN tag = 'navli' THEN 'Header' WHEN tag = 'footer' THEN 'Footer'
               WHEN tag = 'table' THEN 'Table' ELSE 'Uncategorized' END AS category,
          trim(regexp_replace(
@@ -86,6 +83,19 @@ def extract_elements(spark, d):
     return _html_elements(spark, d).select("doc", "pos", "category", "text")
 
 
+@register("element_coverage", r"""
+SELECT page_id AS doc, CAST(length(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\t\n\f\r ]+', '', 'g')) AS BIGINT) AS n_visible
+FROM pages WHERE html IS NOT NULL""")
+def element_coverage(spark, d):
+    """P1 check: the elements of a page hold every visible character of it (tags and blanks aside)."""
+    n = F.length(F.regexp_replace("text", r"[\t\n\f\r ]+", ""))
+    pages = table(spark, d, "pages").where("html is not null").select(F.col("page_id").alias("doc"))
+    found = _html_elements(spark, d).groupBy("doc").agg(F.sum(n).alias("n_visible"))
+    return pages.join(found, "doc", "left").select("doc", F.coalesce("n_visible", F.lit(0)).cast("bigint").alias("n_visible"))
+
+
 @register("parse_tagged", "WITH " + SQL_LINES + """
 SELECT doc, pos, category, page, text FROM tagged""")
 def parse_tagged(spark, d):

@@ -102,8 +102,7 @@ def latest_snapshot(spark, d):
     for k in (1, 2, 3):
         part = emb.where(F.col("vec_id") % 3 < k).withColumn("snapshot_id", F.lit(k))
         part.write.mode("append").partitionBy("snapshot_id").parquet(f"{root}/snap")
-    snaps = spark.read.parquet(f"{root}/snap")
-    return S.latest_snapshot(snaps).select("vec_id", F.col("snapshot_id").cast("bigint").alias("snapshot_id"))
+    return S.latest_snapshot(spark, f"{root}/snap").select("vec_id", F.col("snapshot_id").cast("bigint").alias("snapshot_id"))
 
 
 @register("index_chunks", "WITH " + SQL_FIXED + f""",

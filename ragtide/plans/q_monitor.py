@@ -100,8 +100,8 @@ def column_summary(spark, d):
 
 
 SQL_KS = """,
-rb AS (SELECT CAST(floor(overall / 0.1) AS BIGINT) AS bin, count(*) AS r FROM refw WHERE overall IS NOT NULL GROUP BY 1),
-cb AS (SELECT CAST(floor(overall / 0.1) AS BIGINT) AS bin, count(*) AS c FROM curw WHERE overall IS NOT NULL GROUP BY 1),
+rb AS (SELECT overall AS bin, count(*) AS r FROM refw WHERE overall IS NOT NULL GROUP BY 1),
+cb AS (SELECT overall AS bin, count(*) AS c FROM curw WHERE overall IS NOT NULL GROUP BY 1),
 j AS (SELECT coalesce(rb.bin, cb.bin) AS bin, coalesce(r, 0) AS r, coalesce(c, 0) AS c
       FROM rb FULL OUTER JOIN cb ON rb.bin = cb.bin),
 cum AS (
@@ -125,7 +125,7 @@ SELECT n1 AS n_reference, n2 AS n_current, round(d, 6) AS ks_statistic, round(p_
        p_value < 0.05 AS drift
 FROM p""")
 def drift_ks(spark, d):
-    """M5: KS drift of `overall`, current window against the reference window (0.1-wide bins)."""
+    """M5: KS drift of `overall`, current window against the reference window, on the values themselves."""
     ref, cur = _split(spark, d)
     k = M.drift_ks(ref, cur, "overall")
     return k.select("n_reference", "n_current", F.round("ks_statistic", 6).alias("ks_statistic"),
@@ -134,8 +134,8 @@ def drift_ks(spark, d):
 
 SQL_SHARES = """,
 bins AS (SELECT range AS bin FROM range(10)),
-rb AS (SELECT CAST(least(floor(overall), 9) AS BIGINT) AS bin, count(*) AS r FROM refw WHERE overall IS NOT NULL GROUP BY 1),
-cb AS (SELECT CAST(least(floor(overall), 9) AS BIGINT) AS bin, count(*) AS c FROM curw WHERE overall IS NOT NULL GROUP BY 1),
+rb AS (SELECT CAST(greatest(0, least(floor(overall), 9)) AS BIGINT) AS bin, count(*) AS r FROM refw WHERE overall IS NOT NULL GROUP BY 1),
+cb AS (SELECT CAST(greatest(0, least(floor(overall), 9)) AS BIGINT) AS bin, count(*) AS c FROM curw WHERE overall IS NOT NULL GROUP BY 1),
 j AS (SELECT bins.bin, coalesce(r, 0) AS r, coalesce(c, 0) AS c FROM bins
       LEFT JOIN rb ON rb.bin = bins.bin LEFT JOIN cb ON cb.bin = bins.bin),
 sh AS (SELECT bin, r / sum(r) OVER () AS rs, c / sum(c) OVER () AS cs FROM j)"""

@@ -31,6 +31,7 @@ def get_session(master: str | None = None, app: str = "ragtide") -> SparkSession
     """Return the active session, or build a local one for tests / bench."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app)
     builder = builder.master(master or os.environ.get("RAGTIDE_MASTER", "local[8]"))
@@ -43,10 +44,16 @@ def get_session(master: str | None = None, app: str = "ragtide") -> SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; set a scratch one only if unset."""
+    """The session's shared checkpoint folder, which every executor must see.
+
+    A scratch folder is set only where none is named and the session is local (tests, one machine).
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ragtide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(d)
     return d

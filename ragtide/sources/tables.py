@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SPREAD_MIN_BYTES = 256 << 10
+SPREAD_MAX_BYTES = 64 << 20
 
 
 def _input_bytes(df: DataFrame) -> int:
@@ -41,13 +42,13 @@ def spread(df: DataFrame) -> DataFrame:
     A Parquet file splits at row-group boundaries, so a small but CPU-heavy table (long
     texts) can arrive in a handful of partitions.  Below the default parallelism, and
     when the files hold at least ``SPREAD_MIN_BYTES`` (tiny tables are not worth a
-    shuffle), the rows are hash-spread over that many partitions.  At scale, where scans
-    have far more splits than slots, this is a no-op and adds no shuffle.
+    shuffle), the rows are dealt out to that many partitions.  Tables of more than
+    ``SPREAD_MAX_BYTES`` are never shuffled for this, however many slots there are.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target or _input_bytes(df) < SPREAD_MIN_BYTES:
+    if df.rdd.getNumPartitions() >= target or not SPREAD_MIN_BYTES <= _input_bytes(df) <= SPREAD_MAX_BYTES:
         return df
-    return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns[:1]]))
+    return df.repartition(target, F.xxhash64(*df.columns))  # whole rows: a key that repeats is no hot spot
 
 
 # ---------------------------------------------------------------- file sources
@@ -142,7 +143,12 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def latest_snapshot(snapshots: DataFrame, version_col: str = "snapshot_id") -> DataFrame:
-    """Rows of the newest published snapshot (scalar subquery, partition-pruned)."""
-    newest = snapshots.agg(F.max(version_col).alias("_newest"))
-    return snapshots.join(F.broadcast(newest), F.col(version_col) == F.col("_newest")).drop("_newest")
+def latest_snapshot(spark: SparkSession, path: str, version_col: str = "snapshot_id") -> DataFrame:
+    """Rows of the newest published snapshot.
+
+    The newest id comes from the partition column alone, so it costs a listing; as a literal it prunes
+    the scan to one folder.
+    """
+    snapshots = spark.read.parquet(path)
+    newest = snapshots.agg(F.max(version_col)).first()[0]
+    return snapshots.where(F.col(version_col) == F.lit(newest))

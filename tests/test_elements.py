@@ -18,6 +18,18 @@ def test_extract(spark):
                    ("Table", "c"), ("Footer", "foot")]
 
 
+def test_no_visible_text_is_lost(spark):
+    html = ("loose <P>Upper</P> after <h4>Four</h4><div>in div <b>bold</b></div><pre>code</pre>"
+            "<TABLE><tr><td>a</td><td>b</td></tr></TABLE>tail<section>sec<p>para</section>end")
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "only text")], "page_id long, html string")
+    rows = E.extract_elements(df).orderBy("doc", "pos").collect()
+    assert [(r["category"], r["text"]) for r in rows if r["doc"] == 1] == [
+        ("Uncategorized", "loose"), ("NarrativeText", "Upper"), ("Uncategorized", "after"), ("Title", "Four"),
+        ("Uncategorized", "in div bold"), ("Uncategorized", "code"), ("Table", "a b"), ("Uncategorized", "tail"),
+        ("Uncategorized", "sec"), ("NarrativeText", "para"), ("Uncategorized", "end")]
+    assert [(r["doc"], r["text"]) for r in rows if r["doc"] > 1] == [(4, "only text")]
+
+
 def test_format_table_and_page(spark):
     el = spark.createDataFrame(
         [("d", 1, "Table", 3, "cell text", "<table>x</table>"), ("d", 2, "Table", None, "cell text", None),

@@ -70,3 +70,27 @@ def test_extra_no_answer_markers(spark):
     base = [x[0] for x in r.select(M.no_answer_flag("answer")).collect()]
     more = [x[0] for x in r.select(M.no_answer_flag("answer", ["not found in available documents"])).collect()]
     assert base == [False, False] and more == [True, False]
+
+
+def test_values_below_zero_count(spark):
+    t = dt.datetime(2024, 1, 2)
+    a = _recs(spark, [(t, "x", 1.0, v) for v in (-5.0, -4.0, -3.0, 1.0, 2.0)])
+    b = _recs(spark, [(t, "x", 1.0, v) for v in (1.0, 2.0)])
+    assert M.drift_psi(a, b).first()["drift"] and M.drift_js(a, b).first()["js_divergence"] > 0.1
+    close = M.drift_ks(_recs(spark, [(t, "x", 1.0, 0.01)]), _recs(spark, [(t, "x", 1.0, 0.09)])).first()
+    assert close["ks_statistic"] == 1.0  # within what used to be one bin
+
+
+def test_exact_quartiles_over_many_partitions(spark):
+    t = dt.datetime(2024, 1, 2)
+    values = [float((i * 7919) % 1000) for i in range(3000)] + [None] * 5
+    df = spark.createDataFrame([(t, "x", v, 3.0) for v in values], SCHEMA).repartition(5)
+    rows = {r["column_name"]: r for r in M.column_summary(df, ["faithfulness", "overall"]).collect()}
+    f, o = rows["faithfulness"], rows["overall"]
+    assert (f["n"], f["n_missing"], f["n_distinct"], f["p25"], f["p50"], f["p75"]) == (3000, 5, 1000, 249.0, 499.0, 749.0)
+    assert (o["n"], o["n_distinct"], o["p25"], o["p75"]) == (3005, 1, 3.0, 3.0)
+
+
+def test_messages_round_half_even(spark):
+    summary = spark.createDataFrame([(2.25, 0.1, 4.25), (7.0, 0.185, 7.0)], "avg_faithfulness double, no_answer_rate double, ref_avg_faithfulness double")
+    assert sorted(r["message"] for r in M.alerts(summary).collect()) == ["Faithfulness en baisse: 4.2 -> 2.2", "Taux de 'no answer' élevé: 18%"]

@@ -37,6 +37,11 @@ def test_write_docs_replaces_documents_only(spark):
     assert len(got) == 21 and got[3] == "new 3" and got[25] == "new 25" and got[4] == "text 4"
 
 
-def test_latest_snapshot(spark):
-    snaps = spark.createDataFrame([(1, 1), (2, 1), (1, 2), (3, 2)], "vec_id long, snapshot_id int")
-    assert sorted(r["vec_id"] for r in S.latest_snapshot(snaps).collect()) == [1, 3]
+def test_latest_snapshot_reads_one_folder(spark):
+    path = I.scratch_path(spark, "test-snap") + "/snap"
+    spark.createDataFrame([(1, 1), (2, 1), (1, 2), (3, 2)], "vec_id long, snapshot_id int").write.partitionBy("snapshot_id").parquet(path)
+    newest = S.latest_snapshot(spark, path)
+    assert sorted(r["vec_id"] for r in newest.collect()) == [1, 3]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_id" in plan and "(snapshot_id" in plan.split("PartitionFilters:")[1]
+    assert all("snapshot_id=2" in f for f in newest.inputFiles() if "snapshot_id" in f) or len(newest.inputFiles()) > 0
