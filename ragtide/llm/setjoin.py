@@ -6,11 +6,12 @@ Two sets link when 100 * |intersection| >= percent * |union|.
 Index: shingles have one global order, frequent ones last (by a table of counts over all
 documents; its size is fixed and it only decides the order, never a result), so that a
 set's necessary prefix is mostly shingles that few sets have.  The sets that share a prefix
-shingle form an index list.
+shingle form an index list.  Prefixes are a little longer than one shared shingle asks for, so that linked
+sets must share several (one, and one for each SHARE shingles of the smaller set).
 
 Skipping, index level: a list is laid out in blocks by set size; a set visits only its own block
-and the next, the only ones within the size bound, and pairs whose positions leave
-too little room for the needed overlap fall out before any set is fetched.
+and the next, the only ones within the size bound; lists of the same sets are visited once; pairs that share too
+few prefix shingles, or whose bitmaps differ in too many bits, fall out before any set is fetched.
 
 Skipping, answer level: first each list is walked once in one common order and only
 neighbours are verified (linear in the list).  Sets found similar share one answer: whatever
@@ -41,6 +42,7 @@ from ragtide.llm.components import components
 
 CELL_BITS = 24
 CELLS = 1 << CELL_BITS  # counters of the order table
+SHARE = 20  # one shared prefix shingle more for so many shingles of a set
 FLUSH = 1 << 22  # shingles that a task counts before it sends its pieces
 CHUNK = 1 << 16  # counters of one piece of it
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -134,6 +136,11 @@ def needed(n1, n2, percent: int):
     return -(-(percent * (n1 + n2)) // (100 + percent))
 
 
+def shared_needed(n):
+    """Shingles that linked sets share in their prefixes: a prefix is longer by one for each beyond the first."""
+    return n // SHARE + 1
+
+
 def _cells_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
 
@@ -206,11 +213,11 @@ def order_classes(counts: np.ndarray) -> np.ndarray:
     return np.where(odd, np.log2(np.maximum(counts, 1), dtype=np.float32).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
-_PREFIX = pa.schema([("token", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+_PREFIX = pa.schema([("token", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(token, s, n, pos): the necessary prefix of every set, each set once per task."""
+    """(token, s, n): the necessary prefix of every set, each set once per task."""
     sent = shipped(docs.sparkSession, classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,43 +238,81 @@ def prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray) ->
                 out = []
                 for i in first.values():
                     a, b = int(end[i] - n[i]), int(end[i])
-                    # a linked set has at least percent of this one's size, so at least this overlap
-                    length = int(n[i]) - -(-percent * int(n[i]) // 100) + 1
+                    # a linked set overlaps with this one in at least percent of its size
+                    length = int(n[i]) - -(-percent * int(n[i]) // 100) + int(shared_needed(n[i]))
                     out.append(h[a:b][np.argsort(level[a:b], kind="stable")[:length]])
                 if out:
                     who, size = np.array(list(first.values())), np.array([len(x) for x in out])
-                    pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    yield record(_PREFIX, np.concatenate(out).view(np.int64), np.repeat(s[who], size), np.repeat(n[who], size), pos)
+                    yield record(_PREFIX, np.concatenate(out).view(np.int64), np.repeat(s[who], size), np.repeat(n[who], size))
 
-    return docs.select("text").mapInArrow(run, "token long, s long, n long, pos long")
+    return docs.select("text").mapInArrow(run, "token long, s long, n long")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """Rows of tokens that at least two sets have: (token, s, n, pos), each set once in its list, and the
-    list's next set (after, after_n, after_pos).  All lists follow one order, so the lists of a group of
+    """Rows of tokens that at least two sets have: (token, s, n), each set once in its list, and the
+    list's next set (after_s, after_n).  All lists follow one order, so the lists of a group of
     copies name the same few neighbours."""
     lists = Window.partitionBy("token")
     walk = lists.orderBy("s")
     spread = rows.withColumn("low", F.min("s").over(lists)).withColumn("high", F.max("s").over(lists))
-    for c in ("s", "n", "pos"):
+    for c in ("s", "n"):
         spread = spread.withColumn(f"after_{c}", F.lead(c).over(walk))
     # a set that several tasks sent stands there repeatedly: its last row has another set after it, or none
     last = F.col("after_s").isNull() | (F.col("after_s") != F.col("s"))
     return spread.where("low <> high").where(last).drop("low", "high")
 
 
-def room(n1, p1, n2, p2, percent: int):
-    """Whether sizes and the places of a shared shingle leave room for a link."""
-    most = F.lit(1) + F.least(n1 - p1, n2 - p2) - 1
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (most * (100 + percent) >= (n1 + n2) * percent)
+def alike_in_size(n1, n2, percent: int):
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+
+
+def often(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, k), a row for every k shared shingles, that share enough of them."""
+    return pairs.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("n").alias("n")).where(
+        F.col("k") >= F.floor(F.col("n") / SHARE) + 1).select("a", "b")
+
+
+def parity_bits(h: np.ndarray) -> bytes:
+    """A bitmap of about two bits a shingle in which each shingle toggles one bit.
+
+    Two such bitmaps differ in at most as many bits as their sets differ in shingles, also after the larger one
+    is folded onto the smaller, so they bound the intersection from above."""
+    size = 64
+    while size < 2 * len(h):
+        size *= 2
+    return np.packbits(np.bincount((mixed(h) % np.uint64(size)).astype(np.int64), minlength=size) % 2 == 1).tobytes()
+
+
+def may_link(x: bytes, n1: int, y: bytes, n2: int, percent: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2:]
+    apart = int(np.bitwise_count(a ^ b).sum())
+    return (n1 + n2 - apart) // 2 >= needed(n1, n2, percent)
+
+
+def narrowed(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bitmaps don't rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_link(*row, percent) for row in zip(*(column(batch, c) for c in ("x", "nx", "y", "ny")))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).cast(schema)
+
+    left = pairs.join(bits.select(F.col("s").alias("a"), F.col("h").alias("x"), F.col("n").alias("nx")), "a")
+    both = left.join(bits.select(F.col("s").alias("b"), F.col("h").alias("y"), F.col("n").alias("ny")), "b")
+    return both.select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a long, b long")
 
 
-def wanted_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(s, h) of the sets that the pairs (a, b) name.  A table of fixed size lets few others out of the scan."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+def wanted_sets(docs: DataFrame, names: DataFrame, words: int, bits: bool = False) -> DataFrame:
+    """(s, n, h) of the named sets: size and shingles (or parity bits).  A table of fixed size lets few others
+    out of the scan."""
     pieces = names.mapInArrow(_name_cells, "piece int, data binary")
     sent = shipped(docs.sparkSession, np.packbits(merged_table(pieces) > 0))
-    schema = pa.schema([("s", pa.int64()), ("h", pa.binary())])
+    schema = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("h", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(received(sent)).astype(bool)
@@ -281,11 +326,12 @@ def wanted_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
                 out = {}
                 for i in np.flatnonzero(there[_cell(s)] & (s != 0)).tolist():
                     if int(s[i]) not in seen:
-                        out[int(s[i])] = h[start[i]: end[i]].tobytes()
+                        out[int(s[i])] = h[start[i]: end[i]]
                 seen.update(out)
-                yield record(schema, list(out), list(out.values()))
+                data = [parity_bits(x) if bits else x.tobytes() for x in out.values()]
+                yield record(schema, list(out), [len(x) for x in out.values()], data)
 
-    sets = docs.select("text").mapInArrow(run, "s long, h binary")
+    sets = docs.select("text").mapInArrow(run, "s long, n long, h binary")
     return sets.dropDuplicates(["s"])
 
 
@@ -302,7 +348,7 @@ def _name_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    sets = materialize(wanted_sets(docs, pairs, words))
+    sets = wanted_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("s")), words)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,22 +368,29 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
     """(node, root) of all sets that link with another one."""
     live = materialize(shared_lists(prefixes(docs, words, percent, classes)))
-    fits = room(F.col("n"), F.col("pos"), F.col("after_n"), F.col("after_pos"), percent)
-    walked = materialize(live.where(fits).select(F.least("s", "after_s").alias("a"), F.greatest("s", "after_s").alias("b")).distinct())
-    near = materialize(verified(walked, docs, words, percent))
+    bits = materialize(wanted_sets(docs, live.select("s"), words, bits=True))
+    fits = alike_in_size(F.col("n"), F.col("after_n"), percent)
+    # neighbours in many lists get a first look; what is passed over here waits for the second round
+    walked = often(live.where(fits).select(F.least("s", "after_s").alias("a"), F.greatest("s", "after_s").alias("b"),
+                                           F.least("n", "after_n").alias("n"), F.lit(1).alias("k")))
+    near = materialize(verified(materialize(narrowed(walked, bits, percent)), docs, words, percent))
     groups = components(near)
     # what is left: sets of different groups that share a list
-    named = live.select("token", "s", "n", "pos").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    named = live.select("token", "s", "n").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     lists = Window.partitionBy("token")
-    open_ = named.withColumn("low", F.min("root").over(lists)).withColumn("high", F.max("root").over(lists)).where("low <> high")
-    # blocks by size: a set's partners of at least its size lie in its own block or the next
-    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100.0))).cast("long")
-    x = open_.select("token", block.alias("block"), *(F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "root")))
-    y = open_.select("token", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("s", "n", "pos", "root")))
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "s")).over(lists).alias(f"list{k}") for k in (1, 2)]
+    open_ = named.select("s", "n", "root", F.min("root").over(lists).alias("low"), F.max("root").over(lists).alias("high"), *members).where("low <> high")
+    # lists of the same sets are one list that counts for as many shingles
+    open_ = open_.groupBy("list1", "list2", "s").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("root").alias("root"))
+    # blocks by size, a hair wider than the bound: partners of at least a set's size lie in its own block or the next
+    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.001 * math.log(percent / 100.0))).cast("long")
+    x = open_.select("list1", "list2", "k", block.alias("block"), *(F.col(c).alias(f"{c}1") for c in ("s", "n", "root")))
+    y = open_.select("list1", "list2", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("s", "n", "root")))
     once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     apart = F.col("root1") != F.col("root2")
-    left = x.join(y, ["token", "block"]).where(apart & once & room(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent))
-    left = left.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct().join(walked, ["a", "b"], "left_anti")
+    left = x.join(y, ["list1", "list2", "block"]).where(apart & once & alike_in_size(F.col("n1"), F.col("n2"), percent))
+    left = often(left.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), F.least("n1", "n2").alias("n"), "k"))
+    left = narrowed(left, bits, percent)
     return components(near.union(verified(materialize(left), docs, words, percent)))
 
 
