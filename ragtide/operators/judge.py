@@ -164,6 +164,13 @@ JUDGE_TEMPLATE = (
 REWRITE_TEMPLATE = "Rewrite the question as a precise search query; reply with the query only.\nQuestion: {question}"
 
 
+def with_rewrites(questions: DataFrame, replies: DataFrame, *, q_id: str = "qid", question: str = "question",
+                  reply: str = "reply") -> DataFrame:
+    """R12 (join-back): questions plus ``query_used``: the model's rewrite, or the question where it gave none."""
+    r = replies.select(q_id, F.nullif(strip_py(reply), F.lit("")).alias("_rewrite"))
+    return questions.join(r, q_id, "left").withColumn("query_used", F.coalesce("_rewrite", question)).drop("_rewrite")
+
+
 def render(template: str, **cols) -> Column:
     """Fill ``{name}`` placeholders from columns in one pass (NULL becomes '').
 

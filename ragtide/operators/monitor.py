@@ -44,11 +44,13 @@ def no_answer_flag(answer, extra: list[str] | None = None) -> Column:
 def window_24h(records: DataFrame, ts: str = "ts", now=None) -> DataFrame:
     """S3: records at or after now - 24 h (inclusive cutoff).  ``now`` defaults to the newest record.
 
-    The newest timestamp is a one-row aggregate joined back (broadcast of one row).
+    The newest timestamp is one number, taken first, so that the cutoff is a literal that
+    reaches the scan (and its row groups) instead of a join condition.
     """
     if now is None:
-        edge = records.agg(F.max(ts).alias("_now"))
-        return records.join(F.broadcast(edge), F.col(ts) >= F.col("_now") - F.expr("INTERVAL 1 DAY")).drop("_now")
+        now = records.agg(F.max(ts)).first()[0]
+        if now is None:
+            return records.limit(0)
     return records.where(F.col(ts) >= F.lit(now).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
 
 

@@ -302,17 +302,41 @@ def hit_metadata(hits: DataFrame, docs: DataFrame, *, c_id="vec_id", doc_id="doc
     )
 
 
-def assemble_context(hits: DataFrame, *, q_id="qid", score="score") -> DataFrame:
-    """One context string per question, hits in rank order, blank line between.
+# Fixed values that must equal the reference: the context headers of the notebook and of the service.
+HEADERS = {"report": ("--- DOCUMENT ", " | Source: "), "service": ("--- DOC ", " | ")}
 
-    Header: '--- DOCUMENT {rank} | Source: {source} | Similarity: {pct} ({quality}) ---'.
-    Groups hold at most k rows.
-    """
-    block = F.concat(
-        F.lit("--- DOCUMENT "), F.col("rank").cast("string"), F.lit(" | Source: "), F.col("source"),
+
+def _context_block(score: str, style: str) -> F.Column:
+    opening, middle = HEADERS[style]
+    return F.concat(
+        F.lit(opening), F.col("rank").cast("string"), F.lit(middle), F.col("source"),
         F.lit(" | Similarity: "), V.pct(score), F.lit(" ("), V.quality_band(score), F.lit(") ---\n"),
         F.col("text"), F.lit("\n\n"),
     )
+
+
+def rag_rows(questions: DataFrame, hits: DataFrame, answers: DataFrame, *, q_id="qid", score="score") -> DataFrame:
+    """One row per question: query_used, answer, context, context_preview, sources_details
+    (source, similarity, quality, content of every hit in rank order) and n_sources.  A question without
+    hits keeps its row.  Groups hold at most k rows."""
+    source = F.struct(F.col("source"), V.pct(score).alias("similarity"), V.quality_band(score).alias("quality"), F.col("text").alias("content"))
+    rows = hits.groupBy(q_id).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("rank").alias("r"), _context_block(score, "service").alias("b"), source.alias("s")))).alias("_rows"))
+    preview = F.transform("_rows", lambda x: F.concat(F.lit("["), x["s"]["source"], F.lit("]: "), F.substring(x["s"]["content"], 1, 80)))
+    joined = questions.join(rows, q_id, "left").join(answers, q_id, "left")
+    return joined.select(
+        q_id, "query_used", "answer", F.array_join(F.transform("_rows", lambda x: x["b"]), "").alias("context"),
+        F.array_join(preview, "\n").alias("context_preview"), F.transform("_rows", lambda x: x["s"]).alias("sources_details"),
+        F.coalesce(F.size("_rows"), F.lit(0)).cast("bigint").alias("n_sources"))
+
+
+def assemble_context(hits: DataFrame, *, q_id="qid", score="score", style: str = "report") -> DataFrame:
+    """One context string per question, hits in rank order, blank line between.
+
+    ``style``: 'report' ('--- DOCUMENT {rank} | Source: {source} | ...') or 'service' ('--- DOC {rank} | {source} | ...').
+    Groups hold at most k rows.
+    """
+    block = _context_block(score, style)
     agg = hits.groupBy(q_id).agg(
         F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), block.alias("b")))).alias("_blocks"),
         F.count(F.lit(1)).alias("n_sources"),

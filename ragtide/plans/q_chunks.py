@@ -135,8 +135,8 @@ rel AS (
   SELECT h.qid, h.rank, CASE WHEN strpos(d.text, b.text) > 0 THEN 1 ELSE 0 END AS relevant
   FROM hits h JOIN documents d ON d.doc_id = h.doc JOIN benchmark b ON b.item_id = h.qid
 ), per AS (
-  SELECT qid, max(relevant) AS found, coalesce(min(CASE WHEN relevant = 1 THEN rank END), 0) AS first_rank
-  FROM rel GROUP BY qid
+  SELECT b.item_id AS qid, coalesce(max(relevant), 0) AS found, coalesce(min(CASE WHEN relevant = 1 THEN rank END), 0) AS first_rank
+  FROM benchmark b LEFT JOIN rel ON rel.qid = b.item_id GROUP BY b.item_id
 )
 SELECT count(*) AS n_questions, CAST(sum(found) AS BIGINT) AS n_found, round(avg(found), 6) AS hit_rate,
        round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0.0 END), 6) AS mrr
@@ -149,10 +149,11 @@ def retrieval_recall(spark, d):
     h = _rag_hits(spark, d)
     docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), F.col("text").alias("_dt"))
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("_q"))
-    rel = R.attach(h, docs, ["doc"], "inner").join(F.broadcast(bench), "qid").select(
+    rel = R.attach(h, docs, ["doc"], "inner").join(bench, "qid").select(
         "qid", "rank", (F.instr("_dt", F.col("_q")) > 0).cast("int").alias("relevant"))
-    per = rel.groupBy("qid").agg(
-        F.max("relevant").alias("found"),
+    # every question counts, also one without any hit
+    per = bench.select("qid").join(rel, "qid", "left").groupBy("qid").agg(
+        F.coalesce(F.max("relevant"), F.lit(0)).alias("found"),
         F.coalesce(F.min(F.when(F.col("relevant") == 1, F.col("rank"))), F.lit(0)).alias("first_rank"))
     return per.agg(
         F.count(F.lit(1)).alias("n_questions"), F.sum("found").alias("n_found"),

@@ -11,10 +11,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from ragtide.operators import chunk as C
 from ragtide.operators import evaluate as EV
 from ragtide.operators import judge as J
 from ragtide.operators import retrieve as R
-from ragtide.plans.q_chunks import SQL_RAG, _fixed, _rag_hits
+from ragtide.plans.q_chunks import SQL_RAG, _rag_hits
 from ragtide.plans.q_judge import sql_verdicts
 from ragtide.plans.registry import register
 from ragtide.sources.derived import extractive_answers, raw_verdicts, text_questions
@@ -53,13 +54,17 @@ erows AS (
 )"""
 
 
+def _hit_rows(spark, d):
+    """Hits with source and text.  A hit's text is cut from its document: no chunk is made again for it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", F.col("text").alias("_t"))
+    hm = R.attach(_rag_hits(spark, d), docs, ["doc"], "inner")
+    start = F.col("chunk_no") * (C.CHUNK_SIZE - C.CHUNK_OVERLAP)
+    return hm.withColumn("text", F.substring("_t", start + 1, F.lit(C.CHUNK_SIZE))).drop("_t").withColumn(
+        "source", F.coalesce("source", F.lit("Unknown")))
+
+
 def _answers(spark, d):
-    h = _rag_hits(spark, d)
-    chunks = _fixed(spark, d).select("doc", "chunk_no", "text")
-    src = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    hm = R.attach(R.attach(h, chunks, ["doc", "chunk_no"], "inner"), src, ["doc"]) \
-        .withColumn("source", F.coalesce("source", F.lit("Unknown")))
-    return extractive_answers(hm)
+    return extractive_answers(_hit_rows(spark, d))
 
 
 def _questions(spark, d):
@@ -131,29 +136,48 @@ jc AS (SELECT qid, string_agg('[' || source || ']: ' || substr(text, 1, 80), chr
 p AS (
   SELECT b.item_id AS qid,
          {_sql_render(J.ANSWER_TEMPLATE, question='b.text', context='a.context')} AS answer_prompt,
-         {_sql_render(J.JUDGE_TEMPLATE, question='b.text', context='jc.jctx', answer='a.answer')} AS judge_prompt
+         {_sql_render(J.JUDGE_TEMPLATE, question='b.text', context='jc.jctx', answer='a.answer')} AS judge_prompt,
+         {_sql_render(J.REWRITE_TEMPLATE, question='b.text')} AS rewrite_prompt
   FROM benchmark b LEFT JOIN ans a ON a.qid = b.item_id LEFT JOIN jc ON jc.qid = b.item_id
 )
 SELECT qid, md5(answer_prompt) AS answer_prompt_md5, length(answer_prompt) AS answer_prompt_chars,
-       md5(judge_prompt) AS judge_prompt_md5
+       md5(judge_prompt) AS judge_prompt_md5, md5(rewrite_prompt) AS rewrite_prompt_md5
 FROM p""")
 def render_prompts(spark, d):
-    """Answer and judge prompts for every question (judge sees 80-character previews, D8)."""
+    """Answer, judge and rewrite prompts for every question (judge sees 80-character previews, D8)."""
     qs = _questions(spark, d)
-    a = _answers(spark, d)
-    h = _rag_hits(spark, d)
-    chunks = _fixed(spark, d).select("doc", "chunk_no", "text")
-    src = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    hm = R.attach(R.attach(h, chunks, ["doc", "chunk_no"], "inner"), src, ["doc"]) \
-        .withColumn("source", F.coalesce("source", F.lit("Unknown")))
-    from ragtide.operators.retrieve import judge_context
-    jc = judge_context(hm)
+    hm = _hit_rows(spark, d).checkpoint()  # answers and previews come from one search
+    a, jc = extractive_answers(hm), R.judge_context(hm)
     p = qs.join(a, "qid", "left").join(jc, "qid", "left").select(
         "qid",
         J.render(J.ANSWER_TEMPLATE, question="question", context="context").alias("ap"),
-        J.render(J.JUDGE_TEMPLATE, question="question", context="context_preview", answer="answer").alias("jp"))
+        J.render(J.JUDGE_TEMPLATE, question="question", context="context_preview", answer="answer").alias("jp"),
+        J.render(J.REWRITE_TEMPLATE, question="question").alias("rp"))
     return p.select("qid", F.md5("ap").alias("answer_prompt_md5"), F.length("ap").alias("answer_prompt_chars"),
-                    F.md5("jp").alias("judge_prompt_md5"))
+                    F.md5("jp").alias("judge_prompt_md5"), F.md5("rp").alias("rewrite_prompt_md5"))
+
+
+@register("rag_rows", "WITH " + SQL_ANSWERS + """,
+rw AS (SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN 'q: ' || text WHEN item_id % 3 = 1 THEN '  ' END AS reply FROM benchmark),
+ctx AS (
+  SELECT qid, md5(string_agg('--- DOC ' || rank || ' | ' || source || ' | Similarity: ' || printf('%.2f%%', score * 100) || ' (' ||
+           CASE WHEN score > 0.7 THEN 'HIGH' WHEN score > 0.5 THEN 'MEDIUM' ELSE 'LOW' END || ') ---' || chr(10) || text || chr(10) || chr(10),
+           '' ORDER BY rank)) AS context_md5,
+         md5(string_agg('[' || source || ']: ' || substr(text, 1, 80), chr(10) ORDER BY rank)) AS preview_md5,
+         md5(string_agg(text, '|' ORDER BY rank)) AS contents_md5
+  FROM hm GROUP BY qid)
+SELECT b.item_id AS qid, CASE WHEN b.item_id % 3 = 0 THEN 'q: ' || b.text ELSE b.text END AS query_used,
+       coalesce(a.n_sources, 0) AS n_sources, c.context_md5, c.preview_md5, c.contents_md5, md5(a.answer) AS answer_md5
+FROM benchmark b LEFT JOIN ans a ON a.qid = b.item_id LEFT JOIN ctx c ON c.qid = b.item_id""")
+def rag_rows(spark, d):
+    """R13/R6 as production keeps it: one row per question with the query used, its context, full sources and answer."""
+    qs = _questions(spark, d)
+    replies = qs.select("qid", F.when(F.col("qid") % 3 == 0, F.concat(F.lit("q: "), "question")).when(F.col("qid") % 3 == 1, "  ").alias("reply"))
+    hm = _hit_rows(spark, d).checkpoint()
+    rows = R.rag_rows(J.with_rewrites(qs, replies), hm, extractive_answers(hm).select("qid", "answer"))
+    contents = F.array_join(F.transform("sources_details", lambda x: x["content"]), "|")
+    return rows.select("qid", "query_used", "n_sources", F.md5("context").alias("context_md5"), F.md5("context_preview").alias("preview_md5"),
+                       F.md5(contents).alias("contents_md5"), F.md5("answer").alias("answer_md5"))
 
 
 @register("keyword_hit_rate", "WITH " + SQL_ANSWERS + """

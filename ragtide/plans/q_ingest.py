@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragtide.operators import chunk as C
+from ragtide.operators import elements as EL
+from ragtide.operators import encode as E
 from ragtide.operators import ingest as I
 from ragtide.plans.q_chunks import SQL_FIXED
+from ragtide.plans.q_elements import SQL_ELEMENTS
 from ragtide.plans.registry import register
 from ragtide.sources.derived import (
     DELETED_OFFSET, OLD_SUFFIX, PREVIOUS_AT, current_raw, previous_documents, previous_manifest,
@@ -123,3 +126,28 @@ def ingest_batch(spark, d):
         raise AssertionError(f"rerun on unchanged input touched {again} documents")
     idx = I.read_index(spark, index_path, manifest_path)
     return idx.select("doc", "chunk_no", F.md5("text").alias("text_md5"))
+
+
+@register("ingest_pages", "WITH " + SQL_ELEMENTS + """
+SELECT doc, bool_or(list_contains(regexp_extract_all(lower(text), '[a-z]+'), 'the')) AS has_the
+FROM elements WHERE category NOT IN ('Header', 'Footer', 'PageBreak') GROUP BY doc""")
+def ingest_pages(spark, d):
+    """I5 as a whole: raw pages -> elements -> recursive chunks -> vectors -> index -> manifest, then one page deleted
+    and restored; read back from the index."""
+    root = I.scratch_path(spark, "ingest-pages")
+    at = {"index_path": f"{root}/index", "manifest_path": f"{root}/manifest"}
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc"), "html")
+    raw = pages.select("doc", F.concat(F.lit("pages/"), F.col("doc").cast("string"), F.lit(".html")).alias("path"),
+                       F.md5("html").alias("fingerprint"), F.col("html").alias("text"))
+
+    def to_chunks(df):
+        elements = EL.extract_elements(df, doc="doc", html="text")
+        texts = EL.assemble_documents(elements, style="plain").select("doc", "text")
+        return E.encode(C.chunk_recursive(texts, doc="doc"), "text", "embedding")
+
+    first = raw.agg(F.min("doc")).first()[0]
+    for part in (raw, raw.where(F.col("doc") != first), raw):
+        I.ingest_batch(spark, part, to_chunks=to_chunks, **at)
+    chunks = I.read_index(spark, at["index_path"], at["manifest_path"])
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return chunks.groupBy("doc").agg(F.max(F.array_contains(words, "the")).alias("has_the"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ragtide.operators import ingest as I
 from ragtide.operators import monitor as M
 from ragtide.plans.registry import register
+from ragtide.sources import sinks as K
+from ragtide.sources import tables as S
 from ragtide.sources.derived import interaction_records
 from ragtide.sources.tables import table
 
@@ -81,6 +83,19 @@ def reference_fallback(spark, d):
                     F.round("ref_avg_faithfulness", 6).alias("ref_avg_faithfulness"), "reference_source")
 
 
+@register("log_chain", "WITH " + SQL_REC + """
+SELECT round(avg(faithfulness), 6) AS avg_faithfulness, round(avg(CAST(no_answer AS INTEGER)), 6) AS no_answer_rate,
+       count(*) AS n_requests, (SELECT round(avg(faithfulness), 6) FROM refw) AS ref_avg_faithfulness
+FROM w24""")
+def log_chain(spark, d):
+    """S3 + K4 + M2 + M3: interactions appended as JSON by day, read back as logs, last 24 hours against the reference."""
+    root = I.scratch_path(spark, "log-chain")
+    K.write_interaction_log(_rec(spark, d), f"{root}/logs")
+    logs = S.read_interaction_logs(spark, f"{root}/logs")
+    s = M.with_reference(M.summarize(M.window_24h(logs)), logs.where(F.col("ts") < F.lit(SPLIT).cast("timestamp")))
+    return s.select(*[F.round(c, 6).alias(c) for c in ("avg_faithfulness", "no_answer_rate", "ref_avg_faithfulness")], "n_requests")
+
+
 def _sql_colsum(c: str) -> str:
     return f"""SELECT '{c}' AS column_name, count({c}) AS n, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing,
        round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean,
