@@ -1,7 +1,8 @@
 """Benchmark: run headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; print one JSON line.
 
 Each query's full plan is executed through the ``noop`` sink (no collect, no column
-pruning of the result).  Times are wall-clock seconds per query after one warm-up.
+pruning of the result).  Times are the median wall-clock seconds of $BENCH_RUNS (3) runs after a
+warm-up of the workers.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -36,11 +38,15 @@ def main() -> None:
     # warm-up: JVM code paths and the Python worker pool (excluded from the timings)
     spark.range(1000).selectExpr("sum(id)").collect()
     spark.range(64, numPartitions=int(cpus)).mapInPandas(lambda it: it, "id long").collect()
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     times: dict[str, float] = {}
     for name in names:
-        t0 = time.time()
-        reg[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        took = []
+        for _ in range(runs):
+            t0 = time.time()
+            reg[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - t0)
+        times[name] = round(statistics.median(took), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -1,7 +1,7 @@
 """ragtide — document retrieval and answer-quality jobs as Spark DataFrame plans.
 
 Every operator takes DataFrames and returns a DataFrame (or a Structured
-Streaming query).  Nothing is collected to the driver.
+Streaming query).  The driver sees only size-checked batches and bounded summaries.
 """
 
 import sys as _sys

@@ -46,6 +46,21 @@ def evaluation_rows(questions: DataFrame, answers: DataFrame, verdicts: DataFram
     )
 
 
+def evaluation_details(rag: DataFrame, hits: DataFrame, verdicts: DataFrame, *, q_id: str = "qid", score: str = "score",
+                       preview: int = 300) -> DataFrame:
+    """K6 detail rows: the query used, mean similarity of the hits as percent text, answer preview, verdict notes.
+
+    ``rag``: rows of ``rag_rows``; ``hits``: scored hits; ``verdicts``: parsed verdicts.  Questions without
+    hits or verdict keep their row.
+    """
+    similarity = hits.groupBy(q_id).agg(F.avg(score).alias("_similarity"))
+    j = rag.join(similarity, q_id, "left").join(verdicts, q_id, "left")
+    return j.select(
+        q_id, "query_used", "n_sources", F.round("_similarity", 6).alias("avg_similarity"),
+        F.concat(F.substring(F.coalesce("answer", F.lit("")), 1, preview), F.lit("...")).alias("answer_preview"),
+        *[F.col(m).cast("double").alias(m) for m in METRICS], "completeness_missing", "faithfulness_issues", "feedback", "judge_ok")
+
+
 def metric_averages(rows: DataFrame, only_ok: bool = False) -> DataFrame:
     """V3: mean of each metric (and the keyword rate) over the set; empty set -> NULLs.
 

@@ -180,6 +180,20 @@ def rag_rows(spark, d):
                        F.md5(contents).alias("contents_md5"), F.md5("answer").alias("answer_md5"))
 
 
+@register("evaluation_details", "WITH " + SQL_ANSWERS + "," + sql_verdicts("benchmark", "item_id", "qid") + """,
+sim AS (SELECT qid, round(avg(score), 6) AS avg_similarity FROM hits GROUP BY qid)
+SELECT b.item_id AS qid, b.text AS query_used, coalesce(a.n_sources, 0) AS n_sources, s.avg_similarity,
+       substr(coalesce(a.answer, ''), 1, 300) || '...' AS answer_preview, j.faithfulness, j.relevance, j.completeness, j.citation, j.overall,
+       j.completeness_missing, j.faithfulness_issues, j.feedback, j.judge_ok
+FROM benchmark b LEFT JOIN ans a ON a.qid = b.item_id LEFT JOIN sim s ON s.qid = b.item_id LEFT JOIN judged j ON j.qid = b.item_id""")
+def evaluation_details(spark, d):
+    """K6/V2: the stored report's detail rows."""
+    qs = _questions(spark, d)
+    hm = _hit_rows(spark, d).checkpoint()
+    rows = R.rag_rows(qs.withColumn("query_used", F.col("question")), hm, extractive_answers(hm).select("qid", "answer"))
+    return EV.evaluation_details(rows, hm, J.parse_verdicts(raw_verdicts(qs.select("qid"), "qid"), "raw"))
+
+
 @register("keyword_hit_rate", "WITH " + SQL_ANSWERS + """
 SELECT qid, round(keyword_hit_rate, 6) AS keyword_hit_rate FROM khr""")
 def keyword_hit_rate(spark, d):

@@ -107,11 +107,13 @@ def stream_dedup(spark: SparkSession, events_dir: str, schema: T.StructType, *,
 
 
 def stream_late(spark: SparkSession, events_dir: str, schema: T.StructType, *, sink: str, checkpoint: str,
-                watermark: str = "1 day") -> tuple[list, int]:
-    """T5: windowed counts with a watermark, one file per micro-batch; returns the progress
-    and the number of rows dropped as later than the watermark."""
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
-         .withColumn("ts", F.col("ts").cast("timestamp")))
+                watermark: str = "1 day", max_files: int | None = None) -> tuple[list, int]:
+    """T5: windowed counts with a watermark; returns the progress and the number of rows dropped
+    as later than the watermark.  ``max_files``: files per micro-batch (the watermark moves between them)."""
+    source = spark.readStream.schema(schema)
+    if max_files:
+        source = source.option("maxFilesPerTrigger", max_files)
+    s = source.parquet(events_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     agg = s.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("n"))
     out = agg.select(F.col("w.start").alias("window_start"), "n")

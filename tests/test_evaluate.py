@@ -1,6 +1,8 @@
 """Keyword hit rate and gates (V1, V4, V5)."""
 
 from ragtide.operators import evaluate as EV
+from ragtide.operators import judge as J
+from ragtide.operators import retrieve as R
 
 
 def test_keyword_hit_rate(spark):
@@ -32,3 +34,17 @@ def test_gates_fail(spark):
     assert not gates["all_passed"] and not gates["min_faithfulness"] and not gates["min_n_sources"]
     failing = sorted((r["qid"], r["test"]) for r in EV.gate_failing_rows(rows).collect())
     assert failing == [(1, "faithfulness_above_threshold"), (1, "returns_sources")]
+
+
+def test_rag_rows_and_rewrites(spark):
+    qs = spark.createDataFrame([(1, "first"), (2, "second"), (3, "third")], "qid long, question string")
+    replies = spark.createDataFrame([(1, " better first\n"), (2, "  ")], "qid long, reply string")
+    used = J.with_rewrites(qs, replies)
+    hits = spark.createDataFrame([(1, 2, 0.6, "b.txt", "B" * 90), (1, 1, 0.75, "a.txt", "A")], "qid long, rank int, score double, source string, text string")
+    answers = spark.createDataFrame([(1, "answer")], "qid long, answer string")
+    rows = {r["qid"]: r for r in R.rag_rows(used, hits, answers).collect()}
+    assert [rows[i]["query_used"] for i in (1, 2, 3)] == ["better first", "second", "third"]
+    assert rows[1]["context"].startswith("--- DOC 1 | a.txt | Similarity: 75.00% (HIGH) ---\nA\n\n--- DOC 2 | b.txt")
+    assert rows[1]["context_preview"] == "[a.txt]: A\n[b.txt]: " + "B" * 80
+    assert [x["content"] for x in rows[1]["sources_details"]] == ["A", "B" * 90] and rows[1]["n_sources"] == 2
+    assert rows[3]["n_sources"] == 0 and rows[3]["answer"] is None

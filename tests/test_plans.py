@@ -48,3 +48,16 @@ def test_pairs_join_on_turn(spark):
 def test_filters_pushed_to_scan(spark):
     _, text = _plan(spark, "drift_ks")
     assert "LessThan(ts,2024-01-16T00:00)" in text and "GreaterThanOrEqual(ts,2024-01-16T00:00)" in text
+
+
+def test_log_window_reaches_the_scan(spark):
+    _, text = _plan(spark, "window_24h")
+    assert "NestedLoopJoin" not in text and re.search(r"PushedFilters: \[[^\n]*GreaterThanOrEqual\(ts", text)
+
+
+def test_large_tables_are_not_spread(spark, monkeypatch):
+    from ragtide.sources import tables
+
+    monkeypatch.setattr(tables, "SPREAD_MAX_BYTES", 1)
+    plan = tables.table(spark, SF_SMALL, "documents")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
