@@ -9,8 +9,8 @@ set's necessary prefix is mostly shingles that few sets have.  The sets that sha
 shingle form an index list.  Prefixes are a little longer than one shared shingle asks for, so that linked
 sets must share several (one, and one for each SHARE shingles of the smaller set).
 
-Skipping, index level: a list is laid out in blocks by set size; a set visits only its own block
-and the next, the only ones within the size bound; lists of the same sets are visited once; pairs that share too
+Skipping, index level: a list is laid out by set size; a set visits only the stretch within the size
+bound (in long lists: its own block and the next); pairs that share too
 few prefix shingles, or whose bitmaps differ in too many bits, fall out before any set is fetched.
 
 Skipping, answer level: first each list is walked once in one common order and only
@@ -42,6 +42,7 @@ from ragtide.llm.components import components
 
 CELL_BITS = 24
 CELLS = 1 << CELL_BITS  # counters of the order table
+LIST_SETS = 4000  # sets of an index list that one task pairs
 SHARE = 20  # one shared prefix shingle more for so many shingles of a set
 FLUSH = 1 << 22  # shingles that a task counts before it sends its pieces
 CHUNK = 1 << 16  # counters of one piece of it
@@ -341,9 +342,15 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 def _name_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("piece", pa.int32()), ("data", pa.binary())])
+    held, size = [], 0
     for batch in batches:
-        got = list(_pieces([_cell(batch.column(0).to_numpy().astype(np.int64))]))
-        yield record(schema, [p for p, _ in got], [d for _, d in got])
+        held.append(np.unique(_cell(batch.column(0).to_numpy().astype(np.int64))))
+        size += len(held[-1])
+        if size >= FLUSH:
+            yield record(schema, *zip(*_pieces(held)))
+            held, size = [], 0
+    got = list(_pieces(held))
+    yield record(schema, [p for p, _ in got], [d for _, d in got])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -370,28 +377,85 @@ def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray)
     live = materialize(shared_lists(prefixes(docs, words, percent, classes)))
     bits = materialize(wanted_sets(docs, live.select("s"), words, bits=True))
     fits = alike_in_size(F.col("n"), F.col("after_n"), percent)
-    # neighbours in many lists get a first look; what is passed over here waits for the second round
-    walked = often(live.where(fits).select(F.least("s", "after_s").alias("a"), F.greatest("s", "after_s").alias("b"),
-                                           F.least("n", "after_n").alias("n"), F.lit(1).alias("k")))
+    walked = live.where(fits).select(F.least("s", "after_s").alias("a"), F.greatest("s", "after_s").alias("b")).distinct()
     near = materialize(verified(materialize(narrowed(walked, bits, percent)), docs, words, percent))
     groups = components(near)
     # what is left: sets of different groups that share a list
     named = live.select("token", "s", "n").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     lists = Window.partitionBy("token")
-    members = [F.bit_xor(F.xxhash64(F.lit(k), "s")).over(lists).alias(f"list{k}") for k in (1, 2)]
-    open_ = named.select("s", "n", "root", F.min("root").over(lists).alias("low"), F.max("root").over(lists).alias("high"), *members).where("low <> high")
-    # lists of the same sets are one list that counts for as many shingles
-    open_ = open_.groupBy("list1", "list2", "s").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("root").alias("root"))
-    # blocks by size, a hair wider than the bound: partners of at least a set's size lie in its own block or the next
+    open_ = named.withColumn("low", F.min("root").over(lists)).withColumn("high", F.max("root").over(lists)).withColumn(
+        "size", F.count("*").over(lists)).where("low <> high")
+    left = often(short_list_pairs(open_.where(F.col("size") <= LIST_SETS), percent).unionAll(
+        long_list_pairs(open_.where(F.col("size") > LIST_SETS), percent)))
+    left = narrowed(left, bits, percent)
+    return components(near.union(verified(materialize(left), docs, words, percent)))
+
+
+def short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, k) of sets of different groups in lists of bounded length.  Lists that begin with the same group
+    meet in one task, which counts each pair's common lists before it sends the pair."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("k", pa.int64())])
+
+    def pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray):
+        order = np.lexsort((s, n))
+        s, n, root = s[order], n[order], root[order]
+        # from each set, only the stretch of larger ones within the size bound
+        stop = np.searchsorted(n, n * 100 // percent, "right")
+        own = np.arange(len(n))
+        count = stop - own - 1
+        i = np.repeat(own, count)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        return np.minimum(s[i], s[j]), np.maximum(s[i], s[j]), n[i]
+
+    def counted(found: list) -> pa.RecordBatch:
+        a, b, n = (np.concatenate(x) for x in zip(*found))
+        names = np.unique(np.concatenate([a, b]))
+        code = np.searchsorted(names, a) * len(names) + np.searchsorted(names, b)
+        _, first, k = np.unique(code, return_index=True, return_counts=True)
+        return record(schema, a[first], b[first], n[first], k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, size = None, [], 0
+        for batch in _with_end(batches):
+            if batch is not None and held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            last = batch is None
+            rows = held if last else batch
+            if rows is None or not rows.num_rows:
+                continue
+            token, s, n, root = (rows.column(c).to_numpy() for c in range(4))
+            cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+            held = None if last else rows.slice(int(cut[-2]))  # the last list may go on
+            for x, y in zip(cut[:-1], cut[1:] if last else cut[1:-1]):
+                found.append(pairs(s[x:y], n[x:y], root[x:y]))
+                size += len(found[-1][0])
+                if size >= FLUSH // 4:
+                    yield counted(found)
+                    found, size = [], 0
+        if size:
+            yield counted(found)
+
+    near = rows.select("low", "token", "s", "n", "root").repartition("low").sortWithinPartitions("low", "token")
+    return near.select("token", "s", "n", "root").mapInArrow(run, "a long, b long, n long, k long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def long_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The same for long lists, as a join that Spark can split, in blocks by size."""
+    # a hair wider than the bound: partners of at least a set's size lie in its own block or the next
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.001 * math.log(percent / 100.0))).cast("long")
-    x = open_.select("list1", "list2", "k", block.alias("block"), *(F.col(c).alias(f"{c}1") for c in ("s", "n", "root")))
-    y = open_.select("list1", "list2", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("s", "n", "root")))
+    x = rows.select("token", block.alias("block"), *(F.col(c).alias(f"{c}1") for c in ("s", "n", "root")))
+    y = rows.select("token", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("s", "n", "root")))
     once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     apart = F.col("root1") != F.col("root2")
-    left = x.join(y, ["list1", "list2", "block"]).where(apart & once & alike_in_size(F.col("n1"), F.col("n2"), percent))
-    left = often(left.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), F.least("n1", "n2").alias("n"), "k"))
-    left = narrowed(left, bits, percent)
-    return components(near.union(verified(materialize(left), docs, words, percent)))
+    both = x.join(y, ["token", "block"]).where(apart & once & alike_in_size(F.col("n1"), F.col("n2"), percent))
+    return both.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), F.least("n1", "n2").alias("n"), F.lit(1).cast("long").alias("k"))
 
 
 def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,10 +46,11 @@ def test_groups(odd, none):
     assert setjoin.jaccard_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80), (2, 50)])
-def test_random_families(spark, words, percent):
+@pytest.mark.parametrize("words,percent,longest", [(4, 85, 4000), (5, 80, 2), (2, 50, 4000)])
+def test_random_families(spark, words, percent, longest, monkeypatch):
     """Families of edited copies, some edited again, with one passage in every text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    monkeypatch.setattr(setjoin, "LIST_SETS", longest)  # both ways of pairing a list
     rng = random.Random(words)
     common = [f"c{i}" for i in range(12)]
     rows = []
