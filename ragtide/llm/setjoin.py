@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragtide.llm.common import column, materialize, received, record, shipped
+from ragtide.llm.common import column, materialize, received, record, row_key, shipped
 from ragtide.llm.components import components
 
 CELL_BITS = 24
@@ -176,11 +176,11 @@ def merged_table(pieces: DataFrame) -> np.ndarray:
     return counts
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("piece", pa.int32()), ("data", pa.binary())])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("piece", pa.int32()), ("data", pa.binary())])
 
 
 def scanned(docs: DataFrame, words: int) -> DataFrame:
-    """Set name and size of every document, and each task's counters of all its shingles."""
+    """Row key, set name and size of every document, and each task's counters of all its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -188,15 +188,15 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
         def counted():
             got = list(_pieces(held))
             none = [None] * len(got)
-            yield record(_SCAN, none, none, none, [p for p, _ in got], [d for _, d in got])
+            yield record(_SCAN, none, none, none, none, [p for p, _ in got], [d for _, d in got])
 
         for batch in batches:
-            ids, texts = batch.column(0), column(batch, "text")
+            ids, keys, texts = batch.column(0), batch.column(1), column(batch, "text")
             for part in slices(texts):
                 h, end = shingle_sets(texts[part], words)
                 s = set_names(h, end)
                 none = [None] * len(s)
-                yield record(_SCAN, ids[part], pa.array(s, pa.int64(), mask=s == 0), np.diff(end, prepend=0), none, none)
+                yield record(_SCAN, ids[part], keys[part], pa.array(s, pa.int64(), mask=s == 0), np.diff(end, prepend=0), none, none)
                 held.append(_cells_of(h))
                 size += len(h)
                 if size >= FLUSH:
@@ -204,7 +204,7 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
                     held, size = [], 0
         yield from counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s long, n long, piece int, data binary")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, s long, n long, piece int, data binary")
 
 
 def order_classes(counts: np.ndarray) -> np.ndarray:
@@ -458,23 +458,39 @@ def long_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), F.least("n1", "n2").alias("n"), F.lit(1).cast("long").alias("k"))
 
 
-def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group, its own included) and
-    group_key (equal for all documents of a group; null without shingles)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def keyed_rows(plain: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, row, n, key) of every row of ``plain`` (doc_id, row, text); key is equal within a group, null without shingles."""
     scan = materialize(scanned(plain, words))
     classes = order_classes(merged_table(scan.where("piece is not null").select("piece", "data")))
-    named = scan.where("piece is null").select("doc_id", "s", "n")
+    named = scan.where("piece is null").select("doc_id", "row", "s", "n")
     roots = linked_sets(plain, words, percent, classes).withColumnRenamed("node", "s")
-    keyed = named.join(roots, "s", "left").select("doc_id", "n", F.coalesce("root", "s").alias("key"))
+    return named.join(roots, "s", "left").select("doc_id", "row", "n", F.coalesce("root", "s").alias("key"))
+
+
+def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group, its own included) and
+    group_key (equal for all documents of a group; null without shingles)."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.col(text_col).alias("text"))
+    keyed = keyed_rows(plain, words, percent)
     lowest = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("lowest"))
     return keyed.join(lowest, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.col("key").alias("group_key"))
 
 
-def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group; documents without shingles all stay."""
-    groups = jaccard_groups(docs, words, percent, id_col)
-    # null ids name no group: they stay only where the whole group has none
-    gone = groups.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each group: the smallest id (a null one only where the whole group has none),
+    then the smallest row key, then the smallest of the rows that agree in both; rows without shingles all stay."""
+    name, row = F.col(id_col).cast("long"), row_key(text_col)
+    keyed = keyed_rows(docs.select(name.alias("doc_id"), row.alias("row"), F.col(text_col).alias("text")), words, percent)
+    # rows of one id and row key have one text, so one group
+    named = materialize(keyed.where("key is not null").groupBy("doc_id", "row").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    first = named.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"))
+    same = named["doc_id"].eqNullSafe(first["_id"]) & (named["row"] == first["_row"])
+    gone = named.join(first, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    several = named.where("n > 1").join(first, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    there = name.eqNullSafe(F.col("_id")) & (row == F.col("_row"))
+    single = docs.join(gone.unionAll(several), there, "left_anti")
+    # only kept rows that repeat are gathered, and each task sends one of them
+    one = docs.join(several, there, "left_semi").groupBy(name.alias("_id"), row.alias("_row")).agg(F.min(F.struct(*docs.columns)).alias("_one"))
+    return single.unionAll(one.select("_one.*"))

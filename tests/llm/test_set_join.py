@@ -73,6 +73,25 @@ def test_keep_one(odd):
     assert gone and not gone & set(ids) and {r[0] for r in odd_rows()} - gone == set(ids)
 
 
+def test_keep_one_counts_rows(spark):
+    """One row of each group stays, whatever ids the rows have: null, repeated, or one id for two texts."""
+    base, other, alone, clean = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    near = lambda t, k: " ".join([*t[:k], "edit", *t[k + 1:]])
+    text = {k: " ".join(t) for k, t in zip(("base", "other", "alone", "clean"), (base, other, alone, clean))}
+    rows = [(5, text["base"], "x"), (None, near(base, 0), "x"), (None, text["base"], "x"),  # nulls beside a named row
+            (None, text["other"], "x"), (None, near(other, 0), "x"), (None, text["other"], "x"),  # a group of nulls only
+            (7, text["alone"], "z"), (7, text["alone"], "y"), (7, text["alone"], "y"),  # one row, repeated
+            (8, near(base, 59), "x"), (8, text["clean"], "x"),  # two texts of one id, one of them a near copy
+            (9, None, "x"), (9, None, "x"), (None, "  ", "x")]  # without shingles
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [tuple(r) for r in setjoin.keep_one(docs, 5, 80).collect()]
+    others = [r for r in kept if r[0] is None and r[1] and r[1].strip()]
+    assert len(others) == 1 and others[0] in rows[3:6]
+    want = [(5, text["base"], "x"), (7, text["alone"], "y"), (8, text["clean"], "x"), (9, None, "x"), (9, None, "x"), (None, "  ", "x")]
+    assert sorted((r for r in kept if r not in others), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
