@@ -4,7 +4,8 @@ For the two known layouts of byte-level BPE files, text of common Latin characte
 split into words by Arrow string kernels (or, where a text needs the layout's full
 pattern, by that pattern), the words are dictionary-encoded, and only words that this
 worker hasn't met go through the tokenizer's merges.  Any other text or layout goes to the
-tokenizer whole, so the ids are always those of the tokenizers library.
+tokenizer whole, as does any text that names an added token of the file ("<|endoftext|>"), so
+the ids are always those of the tokenizers library.
 """
 
 from __future__ import annotations
@@ -52,6 +53,14 @@ def _layout(path: str) -> str:
     return "whole"
 
 
+def _added(path: str) -> re.Pattern | None:
+    """Finds texts that may name an added token; one that is looked for in normalized text is found in any case."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    names = [f"(?i:{re.escape(t['content'])})" if t.get("normalized") else re.escape(t["content"]) for t in tokens if t["content"]]
+    return re.compile("|".join(names)) if names else None
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE writes each byte as one letter: printable bytes as themselves, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,10 +75,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.layout = _layout(path)
+        self.added = _added(path)
         self.letters = _byte_letters()
         self._forget()
 
@@ -112,7 +121,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        plain = [self.layout != "whole" and bool(_PLAIN.fullmatch(t)) for t in texts]
+        plain = [self.layout != "whole" and bool(_PLAIN.fullmatch(t)) and not (self.added and self.added.search(t)) for t in texts]
         if all(plain):
             return self._encode_plain(texts)
         flat, n = self._encode_plain([t for t, p in zip(texts, plain) if p]) if any(plain) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from conftest_llm import odd_rows
 from ragtide.llm import huffman_ids, packing
@@ -24,6 +25,25 @@ def test_encoder_is_the_library(path):
     assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_added_tokens_are_the_library_s(spark, path):
+    """Against a freshly loaded tokenizer: literal added tokens are one id each, also within packing and blocks."""
+    fresh = Tokenizer.from_file(path)
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "a<|startoftext|>b", "x <|ENDOFTEXT|> y", "<|endoftext|><|endoftext|>  it's", "no token here",
+             "naïve 日本語 <|endoftext|>", "<|endoftext", "", "a <| b"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert fresh.token_to_id("<|endoftext|>") in want[0]
+    flat, n = Encoder(path).encode(texts)
+    assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crc = {i: (len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want)}
+    packed = packing.pack(docs, path, 2, 4096).where("length = doc_tokens").collect()
+    assert packed and all((r.doc_tokens, r.ids_crc32) == crc[r.doc_id] for r in packed)
+    folder = huffman_ids.fresh_folder(spark)
+    huffman_ids.write_ids(docs, folder, path, 2, block_ids=10)
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in huffman_ids.read_ids(spark, folder).collect()} == crc
+
+
 def by_hand(path, end):
     enc = Encoder(path)
     rows = [(r[0], enc.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [end]) for r in odd_rows()]
