@@ -44,9 +44,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: sequences of at most 4096 ids."""
+    """Operator 3: sequences of at most 4096 ids, the ids themselves beside their digests."""
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096, with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
 STAGES = [
