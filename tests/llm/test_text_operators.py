@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,25 @@ def test_substrings(odd, length, monkeypatch):
     assert sum(r[3] for r in got) > 10
 
 
+@pytest.mark.parametrize("length,contexts", [(50, 5), (33, 1)])
+def test_substrings_of_a_hot_anchor(spark, length, contexts, monkeypatch):
+    """A short template before unlike texts: its many contexts are not asked for in one bucket, with the same result."""
+    monkeypatch.setattr(substring_dedup, "HOT_CONTEXTS", contexts)
+    monkeypatch.setattr(substring_dedup, "TASK_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 700)
+    rows = odd_rows() + [(100 + i, f"own{i * 7919} By our staff reporter in town: {i * i * 31} {'same end of twos and threes ' * (i % 3)}{i // 2}") for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    got = rows_of(substring_dedup.substring_report(docs, length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == substrings_by_hand(rows, length)
+    assert sum(r[3] for r in got if (r[0] or 0) >= 100) > 10
+    # round one of one anchor with 40 groups and one with 2
+    g, s = np.array([7] * 40 + [9] * 2, np.uint32), substring_dedup._six(np.arange(42, dtype=np.uint64))
+    blob = substring_dedup.packed(np.arange(42), g, s)
+    out = [r for b in substring_dedup._settle(3)(0, {substring_dedup.GROUPS: [blob]}, iter(())) for r in b.to_pylist()]
+    asked = [substring_dedup.unpacked([r["data"]], "<u4", "(6,)u1")[1] for r in out if r["kind"] == substring_dedup.ASK]
+    assert all(7 not in x for x in asked) and (contexts == 1 or sum((x == 9).sum() for x in asked) == 2)
+
+
 def test_substrings_empty(none):
     assert substring_dedup.substring_report(none).count() == 0
 
