@@ -12,5 +12,3 @@ def spark():
 
     return get_session(master="local[4]")
 
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -6,7 +6,7 @@ spread of an under-split scan (REPARTITION_BY_NUM) disappears at cluster scale.
 
 import re
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from ragtide.plans.registry import load_all
 
 

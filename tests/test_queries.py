@@ -4,7 +4,7 @@ import importlib
 
 import pytest
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from ragtide.plans.registry import load_all
 
 FAST = [n for n in load_all() if not n.startswith("stream_") and n not in ("recall_at_k", "topk_ivf_all")]
