@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import chat, decontaminate, huffman_ids, line_dedup, packing, setjoin, sharding, substring_dedup, topk_bsi, toxicity, vector_codes, whitening
+from ragtide.llm import chat, decontaminate, huffman_ids, license_scan, line_dedup, packing, setjoin, sharding, substring_dedup, topk_bsi, toxicity, vector_codes, whitening
 from ragtide.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(read_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(read_table(spark, sf_dir, "embeddings"))
 
@@ -68,4 +72,4 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_line_dedup, op3_packing, op4_setjoin, op5_topk_bsi, op6_substring_dedup, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format, op12_vector_codes, op13_whitening)}
+    op1_decontaminate, op2_line_dedup, op3_packing, op4_setjoin, op5_topk_bsi, op6_substring_dedup, op7_huffman_ids, op8_toxicity, op9_slot_sharding, op10_chat_format, op11_license_scan, op12_vector_codes, op13_whitening)}
