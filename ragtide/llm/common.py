@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
@@ -37,6 +37,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shielded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the needed columns under names that no operator uses, and what gives a result
+    with these columns its own names and order back."""
+    names = {n: n if n in needed else f"kept_{i}" for i, n in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda out: out.select(*(F.col(inner).alias(n) for n, inner in names.items()))
+
+
 def row_key(text: str = "text"):
     """64-bit key of a row's text: with the id it names the row even where an id repeats."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
@@ -57,6 +64,21 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def drop_caches() -> None:
+    """Let go what tasks of earlier operators keep in this worker."""
+    sys.modules.setdefault("_ragtide_worker_cache", types.ModuleType("_ragtide_worker_cache")).__dict__.clear()
+
+
+def slices(texts: list[str | None], most: int = 4 << 20) -> Iterator[slice]:
+    """Stretches of the texts of about ``most`` letters, so that working memory doesn't hang on text lengths."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most or i == len(texts) - 1:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -10,8 +10,10 @@ shingle form an index list.  Prefixes are a little longer than one shared shingl
 sets must share several (one, and one for each SHARE shingles of the smaller set).
 
 Skipping, index level: a list is laid out by set size; a set visits only the stretch within the size
-bound (in long lists: its own block and the next); pairs that share too
-few prefix shingles, or whose bitmaps differ in too many bits, fall out before any set is fetched.
+bound (in long lists: its own block and the next).  Where the two prefixes end in the common order bounds what can
+lie behind them, so linked sets of like size share far more than one prefix shingle: a pair is only sent by the task that
+holds its lists if the lists that both sets are in elsewhere can make up that number, and falls out before any set
+is fetched if it misses it or if the sets' bitmaps differ in too many bits.
 
 Skipping, answer level: first each list is walked once in one common order and only
 neighbours are verified (linear in the list).  Sets found similar share one answer: whatever
@@ -37,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragtide.llm.common import column, materialize, received, record, row_key, shipped
+from ragtide.llm.common import column, materialize, received, record, row_key, shielded, shipped, slices
 from ragtide.llm.components import components
 
 CELL_BITS = 24
 CELLS = 1 << CELL_BITS  # counters of the order table
 LIST_SETS = 4000  # sets of an index list that one task pairs
 SHARE = 20  # one shared prefix shingle more for so many shingles of a set
-FLUSH = 1 << 22  # shingles that a task counts before it sends its pieces
+FLUSH = 1 << 22  # shingles that a task counts before it sends its pieces; a part of it for rows of lists and pairs
 CHUNK = 1 << 16  # counters of one piece of it
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                          0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -84,16 +86,6 @@ _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 
 
-def slices(texts: list[str | None], most: int = 4 << 20) -> Iterator[slice]:
-    """Stretches of the texts of about ``most`` letters, so that working memory doesn't hang on text lengths."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i == len(texts) - 1:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-
-
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, ascending within each text, one text after the other; where each text ends)."""
     word, owner = word_hashes(texts)
@@ -142,6 +134,20 @@ def shared_needed(n):
     return n // SHARE + 1
 
 
+def prefix_length(n, percent: int):
+    """Shingles in the prefix of a set of size n: a linked set overlaps with it in at least percent of its size."""
+    return n - -(-percent * n // 100) + shared_needed(n)
+
+
+def prefix_needed(n1, n2, percent: int):
+    """Prefix shingles that linked sets of these sizes share at least.
+
+    Of the set whose prefix ends first in the common order, every shared prefix shingle lies in the other's prefix
+    too, and what lies behind its prefix adds at most its number to the intersection (the positional bound)."""
+    behind = np.maximum(n1 - prefix_length(n1, percent), n2 - prefix_length(n2, percent))
+    return np.maximum(needed(n1, n2, percent) - behind, 1)
+
+
 def _cells_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
 
@@ -239,9 +245,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, classes: np.ndarray) ->
                 out = []
                 for i in first.values():
                     a, b = int(end[i] - n[i]), int(end[i])
-                    # a linked set overlaps with this one in at least percent of its size
-                    length = int(n[i]) - -(-percent * int(n[i]) // 100) + int(shared_needed(n[i]))
-                    out.append(h[a:b][np.argsort(level[a:b], kind="stable")[:length]])
+                    out.append(h[a:b][np.argsort(level[a:b], kind="stable")[:prefix_length(b - a, percent)]])
                 if out:
                     who, size = np.array(list(first.values())), np.array([len(x) for x in out])
                     yield record(_PREFIX, np.concatenate(out).view(np.int64), np.repeat(s[who], size), np.repeat(n[who], size))
@@ -268,9 +272,8 @@ def alike_in_size(n1, n2, percent: int):
 
 
 def often(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, k), a row for every k shared shingles, that share enough of them."""
-    return pairs.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("n").alias("n")).where(
-        F.col("k") >= F.floor(F.col("n") / SHARE) + 1).select("a", "b")
+    """Pairs (a, b, need, k), a row for every k shared prefix shingles, that share enough of them."""
+    return pairs.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
 
 
 def parity_bits(h: np.ndarray) -> bytes:
@@ -382,6 +385,7 @@ def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray)
     groups = components(near)
     # what is left: sets of different groups that share a list
     named = live.select("token", "s", "n").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    named = named.withColumn("r", F.count("*").over(Window.partitionBy("s")))  # lists that a set is in at all
     lists = Window.partitionBy("token")
     open_ = named.withColumn("low", F.min("root").over(lists)).withColumn("high", F.max("root").over(lists)).withColumn(
         "size", F.count("*").over(lists)).where("low <> high")
@@ -392,70 +396,79 @@ def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray)
 
 
 def short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, k) of sets of different groups in lists of bounded length.  Lists that begin with the same group
-    meet in one task, which counts each pair's common lists before it sends the pair."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("k", pa.int64())])
-
-    def pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray):
-        order = np.lexsort((s, n))
-        s, n, root = s[order], n[order], root[order]
-        # from each set, only the stretch of larger ones within the size bound
-        stop = np.searchsorted(n, n * 100 // percent, "right")
-        own = np.arange(len(n))
-        count = stop - own - 1
-        i = np.repeat(own, count)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        return np.minimum(s[i], s[j]), np.maximum(s[i], s[j]), n[i]
-
-    def counted(found: list) -> pa.RecordBatch:
-        a, b, n = (np.concatenate(x) for x in zip(*found))
-        names = np.unique(np.concatenate([a, b]))
-        code = np.searchsorted(names, a) * len(names) + np.searchsorted(names, b)
-        _, first, k = np.unique(code, return_index=True, return_counts=True)
-        return record(schema, a[first], b[first], n[first], k)
+    """(a, b, need, k) of sets of different groups in lists of bounded length.  Lists that begin with the same group
+    meet in one task, which takes one set after the other, counts what it shares with the others, and sends a pair
+    only if the lists that its sets are in elsewhere can still make up what linked sets share."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64()), ("k", pa.int64())])
+
+    def pairs(token, s, n, root, r) -> Iterator[tuple]:
+        names, first, at, here = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
+        n, root, elsewhere = n[first], root[first], r[first] - here
+        cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        own_list = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        by_set = np.argsort(at, kind="stable")
+        upto = np.cumsum(here)
+        for i in range(len(names)):
+            lists = own_list[by_set[upto[i] - here[i]: upto[i]]]
+            j, k = np.unique(np.concatenate([at[cut[x]: cut[x + 1]] for x in lists.tolist()]), return_counts=True)
+            # each pair once, from its smaller set, within the size bound
+            ok = ((n[j] > n[i]) | ((n[j] == n[i]) & (j > i))) & (n[j] * percent <= n[i] * 100) & (root[j] != root[i])
+            j, k = j[ok], k[ok]
+            need = prefix_needed(n[i], n[j], percent)
+            ok = k + np.minimum(elsewhere[i], elsewhere[j]) >= need
+            if ok.any():
+                j, k, need = j[ok], k[ok], need[ok]
+                yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j]), need, k
+
+    def sent(held: list) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for part in pairs(*(np.concatenate(c) for c in zip(*held))):
+            found.append(part)
+            size += len(part[0])
+            if size >= FLUSH // 16:
+                yield record(schema, *(np.concatenate(c) for c in zip(*found)))
+                found, size = [], 0
+        if found:
+            yield record(schema, *(np.concatenate(c) for c in zip(*found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found, size = None, [], 0
-        for batch in _with_end(batches):
-            if batch is not None and held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            last = batch is None
-            rows = held if last else batch
-            if rows is None or not rows.num_rows:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            token, s, n, root = (rows.column(c).to_numpy() for c in range(4))
-            cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            held = None if last else rows.slice(int(cut[-2]))  # the last list may go on
-            for x, y in zip(cut[:-1], cut[1:] if last else cut[1:-1]):
-                found.append(pairs(s[x:y], n[x:y], root[x:y]))
-                size += len(found[-1][0])
-                if size >= FLUSH // 4:
-                    yield counted(found)
-                    found, size = [], 0
-        if size:
-            yield counted(found)
-
-    near = rows.select("low", "token", "s", "n", "root").repartition("low").sortWithinPartitions("low", "token")
-    return near.select("token", "s", "n", "root").mapInArrow(run, "a long, b long, n long, k long")
-
+            cols = [batch.column(c).to_numpy() for c in range(6)]
+            low, token = cols[0], cols[1]
+            # beyond FLUSH // 4 rows the lists at hand go first, and the rest of their group counts as elsewhere
+            cut = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
+            for x, y in zip(cut[:-1], cut[1:]):
+                new = held and token[x] != held[-1][0][-1]
+                if new and size >= (FLUSH // 16 if low[x] != held_low else FLUSH // 4):
+                    yield from sent(held)
+                    held, size = [], 0
+                held_low = low[x]
+                held.append([c[x:y] for c in cols[1:]])
+                size += y - x
+        if held:
+            yield from sent(held)
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    near = rows.select("low", "token", "s", "n", "root", "r").repartition("low").sortWithinPartitions("low", "token")
+    return near.mapInArrow(run, "a long, b long, need long, k long")
 
 
 def long_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """The same for long lists, as a join that Spark can split, in blocks by size."""
     # a hair wider than the bound: partners of at least a set's size lie in its own block or the next
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.001 * math.log(percent / 100.0))).cast("long")
-    x = rows.select("token", block.alias("block"), *(F.col(c).alias(f"{c}1") for c in ("s", "n", "root")))
-    y = rows.select("token", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("s", "n", "root")))
+    x = rows.select("token", block.alias("block"), *(F.col(c).alias(f"{c}1") for c in ("s", "n", "root", "r")))
+    y = rows.select("token", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("s", "n", "root", "r")))
     once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     apart = F.col("root1") != F.col("root2")
-    both = x.join(y, ["token", "block"]).where(apart & once & alike_in_size(F.col("n1"), F.col("n2"), percent))
-    return both.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), F.least("n1", "n2").alias("n"), F.lit(1).cast("long").alias("k"))
+    # as in prefix_needed
+    least = F.expr(f"({percent} * (n1 + n2) + {99 + percent}) div {100 + percent}")
+    behind = F.greatest(*(F.expr(f"({percent} * {n} + 99) div 100 - {n} div {SHARE} - 1") for n in ("n1", "n2")))
+    need = F.greatest(least - behind, F.lit(1))
+    both = x.join(y, ["token", "block"]).where(apart & once & alike_in_size(F.col("n1"), F.col("n2"), percent) & (F.least("r1", "r2") >= need))
+    return both.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), need.alias("need"), F.lit(1).cast("long").alias("k"))
 
 
 def keyed_rows(plain: DataFrame, words: int, percent: int) -> DataFrame:
@@ -479,7 +492,9 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
 
 def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each group: the smallest id (a null one only where the whole group has none),
-    then the smallest row key, then the smallest of the rows that agree in both; rows without shingles all stay."""
+    then the smallest row key, then, of rows that agree in both, the one whose JSON is smallest; rows without shingles all
+    stay.  Other columns may have any type and name."""
+    docs, restored = shielded(docs, id_col, text_col)
     name, row = F.col(id_col).cast("long"), row_key(text_col)
     keyed = keyed_rows(docs.select(name.alias("doc_id"), row.alias("row"), F.col(text_col).alias("text")), words, percent)
     # rows of one id and row key have one text, so one group
@@ -492,5 +507,6 @@ def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
     there = name.eqNullSafe(F.col("_id")) & (row == F.col("_row"))
     single = docs.join(gone.unionAll(several), there, "left_anti")
     # only kept rows that repeat are gathered, and each task sends one of them
-    one = docs.join(several, there, "left_semi").groupBy(name.alias("_id"), row.alias("_row")).agg(F.min(F.struct(*docs.columns)).alias("_one"))
-    return single.unionAll(one.select("_one.*"))
+    one = docs.join(several, there, "left_semi").groupBy(name.alias("_id"), row.alias("_row")).agg(
+        F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("_one"))
+    return restored(single.unionAll(one.select("_one.*")))

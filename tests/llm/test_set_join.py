@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from conftest_llm import odd_rows
@@ -96,3 +97,22 @@ def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_linked_sets_share_their_prefixes():
+    """``prefix_needed`` is what linked sets share at least, in whatever common order the prefixes are taken."""
+    rng, links = np.random.default_rng(0), 0
+    for _ in range(6000):
+        n = int(rng.integers(1, 160))
+        a = rng.choice(1000, n, replace=False)
+        b = a.copy()
+        edits = int(rng.integers(0, n // 5 + 1))
+        b[rng.choice(n, edits, replace=False)] = rng.choice(np.arange(1000, 2000), edits, replace=False)
+        b = b[: max(1, n - int(rng.integers(0, n // 8 + 1)))]
+        order = rng.permutation(2000)
+        for percent in (80, 85):
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                x, y = (v[np.argsort(order[v])][: setjoin.prefix_length(len(v), percent)] for v in (a, b))
+                assert len(np.intersect1d(x, y)) >= setjoin.prefix_needed(len(a), len(b), percent)
+                links += 1
+    assert links > 1000
