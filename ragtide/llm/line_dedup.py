@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import ASCII_LOWER, column, flushed, materialize, record, row_key
+from ragtide.llm.common import ASCII_LOWER, column, flushed, materialize, record, row_key, shielded
 
 BLANKS = "\t\n\x0b\x0c\r "
 _ROWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()),
@@ -138,19 +138,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     """(doc, row, keep) of every document that loses lines; ``keep`` is a zlib-compressed
     bitmap, one bit per line, set where the line stays.  ``row`` is ``row_key(text)``."""
 
-    def bitmap(n: int, dropped: list[bytes]) -> bytes:
-        bits = np.ones(n, np.uint8)
-        for at in dropped:
-            bits[np.frombuffer(at, "<u4")] = 0
-        return zlib.compress(np.packbits(bits).tobytes())
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, dropped in zip(column(batch, "n"), column(batch, "gone")):
+                bits = np.ones(n, np.uint8)
+                for at in dropped:
+                    bits[np.frombuffer(at, "<u4")] = 0
+                keep.append(zlib.compress(np.packbits(bits).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.binary())], names=["doc", "row", "keep"])
 
-    make = F.udf(bitmap, "binary", useArrow=False)
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(text_col).alias("row"),
                         F.col(text_col).alias("text"))
-    lost = dropped_lines(hashed_lines(plain, min_chars), min_docs)
+    # range borders are sampled, so the hashes are written first rather than made twice
+    lost = dropped_lines(materialize(hashed_lines(plain, min_chars)), min_docs)
     return (lost.dropDuplicates(["doc", "row", "at"]).groupBy("doc", "row")
             .agg(F.first("n").alias("n"), F.collect_list("at").alias("gone"))
-            .select("doc", "row", make("n", "gone").alias("keep")))
+            .select("doc", "row", "n", "gone").mapInArrow(bitmaps, "doc long, row long, keep binary"))
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
@@ -176,14 +180,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``; all other columns as they were."""
 
-    def cut(text: str | None, keep: bytes | None) -> str | None:
-        return text if keep is None else kept_lines(text, keep)[0]
-
+    docs, restored = shielded(docs, id_col, text_col)
     marked = with_bitmaps(docs, min_chars, min_docs, id_col, text_col)
-    done = F.udf(cut, "string", useArrow=False)(F.col(text_col), F.col("_keep"))
-    # texts that lose nothing stay on the JVM side
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(done)
-    return marked.withColumn(text_col, text).select(*docs.columns)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            if batch.column(batch.num_columns - 1).null_count < batch.num_rows:
+                texts = [text if keep is None else kept_lines(text, keep)[0] for text, keep in zip(cols[at].to_pylist(), column(batch, "_keep"))]
+                cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+
+    return restored(marked.select(*docs.columns, "_keep").mapInArrow(run, docs.schema))
 
 
 def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
