@@ -13,7 +13,7 @@ tasks; documents are scanned in place for each block, never shuffled.  Only coun
 block's own shingles leave the tasks.
 
 Defined results: a null or empty text, or one without words, has no words and no hits; a
-benchmark item without words is never found; repeated rows are judged one by one; an
+benchmark item without words is never found; one without an id is named by the empty string; repeated rows are judged one by one; an
 empty benchmark leaves every document clean; columns beside the text stay as they are.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import column, received, record, shipped
+from ragtide.llm.common import column, received, record, shielded, shipped
 
 # words are runs of digits, letters a-z and whatever lies beyond ASCII, after A-Z became a-z
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -163,7 +163,7 @@ def find_windows(ids: np.ndarray, index: PrefixIndex) -> list[tuple[int, int, in
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Benchmark items in blocks of bounded size, one after the other."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-2 * size // block_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
@@ -226,4 +226,5 @@ def covered_words(hits: str):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents that hold no benchmark window."""
-    return mark_contamination(docs, benchmark, n).where(F.size("_hits") == 0).select(*docs.columns)
+    docs, restored = shielded(docs, "text")
+    return restored(mark_contamination(docs, benchmark, n).where(F.size("_hits") == 0))
