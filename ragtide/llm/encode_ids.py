@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from ragtide.llm.common import column, worker_cache
 
-WORDS_KEPT = 900_000  # distinct words a worker remembers before it starts afresh
-CALL_BYTES = 8 << 20  # texts encoded at once
+WORDS_KEPT = 700_000  # distinct words a worker remembers before it starts afresh
+CALL_BYTES = 4 << 20  # texts encoded at once
 _CUTS = "'s|'t|'re|'ve|'m|'ll|'d"
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ"
 _DIGIT = "0-9²³¹¼-¾"

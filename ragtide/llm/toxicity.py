@@ -39,13 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import column, materialize, received, record, shipped
+from ragtide.llm.common import column, drop_caches, materialize, received, record, shielded, shipped, slices
 
 DECAY, SPAN, LETTERS = 0.7, 6, 4
 CODES = 32
 WINDOW, STRIDE = 16, 8
 START = "^"  # stands before every word, so how a word begins counts
 MAX_LABELS = 12_000  # labelled texts learnt from
+FIT_LETTERS = 16 << 20  # letters of the texts that the SVM is fitted on, all together
+GRAM_LETTERS = 1 << 20  # letters whose substrings a task counts at a time
 TOP = 3  # a text's largest decision values that its score is made from
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 GAPS = [(0, *rest) for rest in combinations(range(1, SPAN), LETTERS - 1)]
@@ -184,18 +186,23 @@ def landmark_counts(labelled: DataFrame) -> DataFrame:
     schema = pa.schema([("gram", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            known: dict[str, tuple[str, ...]] = {}
-            for text, y in zip(column(batch, "text"), column(batch, "y")):
-                found: set[str] = set()
-                for word in set(text.lower().split()):
-                    if word not in known:
-                        known[word] = grams_of(folded(word))
-                    found.update(known[word])
-                counts[y].update(found)
-            grams = list(counts[1].keys() | counts[0].keys())
-            yield record(schema, grams, [counts[1][g] for g in grams], [counts[0][g] for g in grams])
+            texts, ys = column(batch, "text"), column(batch, "y")
+            for part in slices(texts, GRAM_LETTERS):  # what a part's grams take is bounded by its letters, not its texts
+                counts: tuple[Counter, Counter] = (Counter(), Counter())
+                known: dict[str, tuple[str, ...]] = {}
+                for text, y in zip(texts[part], ys[part]):
+                    found: set[str] = set()
+                    for word in set(text.lower().split()):
+                        if word not in known:
+                            known[word] = grams_of(folded(word))
+                        found.update(known[word])
+                    counts[y].update(found)
+                grams = list(counts[1].keys() | counts[0].keys())
+                for at in range(0, len(grams), 50_000):
+                    some = grams[at: at + 50_000]
+                    yield record(schema, some, [counts[1][g] for g in some], [counts[0][g] for g in some])
 
     return labelled.select("text", "y").mapInArrow(run, "gram string, pos long, neg long").groupBy("gram").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -288,7 +295,7 @@ def no_model() -> Model:
 
 def train(labelled: DataFrame, max_texts: int = 6000, n_landmarks: int = 160, rounds: int = 4) -> Model:
     """Fit on ``labelled`` (text, y, order): landmarks by counts over all rows, the SVM on at most ``max_texts``
-    texts (half of them toxic at most), taken in the order of ``order``."""
+    texts (half of them toxic at most), fewer where FIT_LETTERS would be passed, taken in the order of ``order``."""
     counts = landmark_counts(labelled)
     n1, n0 = (labelled.where(F.col("y") == y).count() for y in (1, 0))
     if not n1 or not n0:
@@ -309,7 +316,9 @@ def train(labelled: DataFrame, max_texts: int = 6000, n_landmarks: int = 160, ro
         return no_model()
     # common substrings beside the telling ones, so that the SVM can hold them against a word
     landmarks += [g for g in pick_landmarks([r.gram for r in usual.collect()], n_landmarks // 4) if g not in landmarks]
-    taken = [labelled.where(F.col("y") == y).orderBy("order", "text").limit(max_texts // 2).select("text", "y") for y in (1, 0)]
+    letters = labelled.agg(F.avg(F.length("text"))).first()[0] or 0
+    each = int(min(max_texts, max(FIT_LETTERS / max(letters, 1), 200))) // 2  # fewer of them where texts are long
+    taken = [labelled.where(F.col("y") == y).orderBy("order", "text").limit(each).select("text", "y") for y in (1, 0)]
     marks = Landmarks(landmarks)
     kernel = marks.kernel(landmarks)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
@@ -440,4 +449,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that the classifier doesn't reject."""
-    return score_texts(docs, toxicity_model(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    docs, restored = shielded(docs, "doc_id", "text")
+    return restored(score_texts(docs, toxicity_model(docs, labels)).where(F.col("_score") < threshold))
