@@ -3,4 +3,4 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from conftest_llm import none, odd, spark  # noqa: E402,F401
+from conftest_llm import clashing, none, odd, spark  # noqa: E402,F401

@@ -50,6 +50,21 @@ def odd(spark):
     return spark.createDataFrame(odd_rows(), COLUMNS).repartition(3)
 
 
+#: Names that operators might use inside, and a type that can't be ordered.
+CLASHING = "_hits _n_words _keep _doc _id _row _row1 _row2 _score _one key root first kept_0 kept_1 s n h low salt piece data ids count".split()
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with such columns beside them."""
+    from pyspark.sql import functions as F
+
+    out = odd.withColumn("a_map", F.create_map(F.lit("k"), F.col("row")))
+    for i, name in enumerate(CLASHING):
+        out = out.withColumn(name, F.lit(f"c{i}"))
+    return out
+
+
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], COLUMNS)
