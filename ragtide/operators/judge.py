@@ -8,7 +8,9 @@ commas, leading zeros), because ``from_json`` alone accepts trailing text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,13 +31,12 @@ VERDICT_SCHEMA = T.StructType(
     + [T.StructField(f, T.StringType()) for f in ("completeness_missing", "faithfulness_issues", "feedback")]
 )
 
-# Python's str.strip() whitespace (ASCII part); Spark's trim removes spaces only.
-_WS = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F ]"
+# Python's str.strip() whitespace; Spark's trim removes spaces only.
+_WS = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _JW = r"[ \t\n\r]"
 _ESCAPE = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
 _STRING = r'"[^"\\\x00-\x1f]*"'
 _NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-NESTING = 8  # levels of lists and objects that a verdict may hold inside
 
 
 def _c(x) -> Column:
@@ -43,7 +44,7 @@ def _c(x) -> Column:
 
 
 def strip_py(s) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace."""
+    """Python ``str.strip()``."""
     return F.regexp_replace(F.regexp_replace(_c(s), rf"\A{_WS}+", ""), rf"{_WS}+\z", "")
 
 
@@ -55,21 +56,34 @@ def clean(raw) -> Column:
 def well_formed(s) -> Column:
     """J2 validity: one JSON object and nothing else; its values may be lists and objects.
 
-    Escapes become a plain letter, then each string one ``S``, each other scalar one ``V``; what is left
-    is short, and inner lists and objects fold to ``V`` level by level.  No pattern here backtracks
-    over repeated groups, so replies of any length are safe.
+    Escapes become a plain letter, then each string one ``S``, each other scalar one ``V`` (``NaN`` and the infinities
+    too, which the reference's parser takes); what is left is short, and inner lists and objects fold to ``V`` level by
+    level, as many times as the reply's brackets are deep.  No pattern here backtracks over repeated groups, so
+    replies of any length are safe.
     """
     t = F.regexp_replace(_c(s), _ESCAPE, "e")
     t = F.regexp_replace(t, _STRING, "S")
     # a scalar must stand between separators, so that "1 2" or "truefalse" don't pass
-    t = F.regexp_replace(t, rf"(?<![A-Za-z0-9.+-])(?:true|false|null|{_NUMBER})(?![A-Za-z0-9.+-])", "V")
+    t = F.regexp_replace(t, rf"(?<![A-Za-z0-9.+-])(?:true|false|null|NaN|-?Infinity|{_NUMBER})(?![A-Za-z0-9.+-])", "V")
     t = F.regexp_replace(t, rf"(?<=[\[\]{{}}:,]|^){_JW}++|{_JW}++(?=[\[\]{{}}:,]|$)", "")
     member = r"S:[SV]"
-    for _ in range(NESTING):
-        t = F.regexp_replace(t, rf"(?<=[\[:,])(?:\[(?:[SV](?:,[SV])*+)?\]|\{{(?:{member}(?:,{member})*+)?\}})", "V")
+    inner = rf"(?<=[\[:,])(?:\[(?:[SV](?:,[SV])*+)?\]|\{{(?:{member}(?:,{member})*+)?\}})"
+    t = F.aggregate(F.sequence(F.lit(1), F.greatest(_depth(t), F.lit(1))), t, lambda acc, _: F.regexp_replace(acc, inner, "V"))
     return F.coalesce(t.rlike(rf"\A\{{(?:{member}(?:,{member})*+)?\}}\z"), F.lit(False))
 
 
+def _depth(t: Column) -> Column:
+    """How deep the brackets of a text without strings are nested."""
+    marks = F.split(F.regexp_replace(t, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc, mark):
+        now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(marks, start, step, lambda acc: acc["most"]), F.lit(0))
+
+
 def failed_verdicts(df: DataFrame, error: str = "error") -> DataFrame:
     """J5 where the judge call itself failed: zeros and 'Eval error: ' + the error text."""
     zeros = [F.lit(0.0).alias(m) for m in MARKS + ["overall"]]
@@ -82,7 +96,7 @@ def parse_verdicts(df: DataFrame, raw: str = "raw", digits: int = 2) -> DataFram
     """Raw judge replies -> scores with fallback and ``judge_ok``.
 
     A verdict is accepted only if it is a well-formed object whose four marks
-    are numbers (a quoted or missing mark fails, as the reference's arithmetic would).
+    are numbers (a quoted or missing mark fails, as the reference's arithmetic would; so does NaN, which no mean survives).
     Accepted: overall recomputed (J3), optional fields default to 'N/A' (J4).
     Rejected: zeros and 'Parse error: ' + first 100 characters (J5).
     """
@@ -91,7 +105,7 @@ def parse_verdicts(df: DataFrame, raw: str = "raw", digits: int = 2) -> DataFram
     d = df.withColumn("_clean", cl).withColumn("_v", parsed)
     ok = well_formed("_clean") & F.col("_v").isNotNull()
     for m in MARKS:
-        ok = ok & F.col(f"_v.{m}").isNotNull()
+        ok = ok & F.col(f"_v.{m}").isNotNull() & ~F.isnan(F.col(f"_v.{m}"))
     d = d.withColumn("judge_ok", ok)
     zero = F.lit(0.0)
     mean = sum((F.col(f"_v.{m}") for m in MARKS[1:]), F.col(f"_v.{MARKS[0]}")) / 4.0
@@ -189,3 +203,64 @@ def render(template: str, **cols) -> Column:
         pos = m.end()
     parts.append(F.lit(template[pos:]))
     return F.concat(*parts)
+
+
+# ------------------------------------------------------------------ calibration of stated confidence
+
+def reliability_bins(rows: DataFrame, *, confidence: str = "confidence", outcome: str = "outcome", bins: int = 10) -> DataFrame:
+    """Answers by stated confidence in equal bins of 0-100 (100 joins the last): (bin, n, avg_confidence, avg_outcome, gap).
+
+    ``outcome`` lies between 0 and 1, as the confidence does after division by 100; rows without either are left out."""
+    known = rows.where(F.col(confidence).isNotNull() & F.col(outcome).isNotNull())
+    width = 100.0 / bins
+    no = F.least(F.floor(F.col(confidence) / width), F.lit(bins - 1)).cast("bigint")
+    agg = known.groupBy(no.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(confidence) / 100.0).alias("c"), F.avg(outcome).alias("o"))
+    return agg.select("bin", "n", F.round("c", 6).alias("avg_confidence"), F.round("o", 6).alias("avg_outcome"), F.round(F.abs(F.col("c") - F.col("o")), 6).alias("gap"))
+
+
+def calibration_summary(rows: DataFrame, *, confidence: str = "confidence", outcome: str = "outcome", bins: int = 10) -> DataFrame:
+    """One row: n, expected calibration error (bin gaps weighed by their rows), largest gap, Brier score and Spearman's
+    rank correlation (mid-ranks of equal values, from counts per value)."""
+    known = rows.where(F.col(confidence).isNotNull() & F.col(outcome).isNotNull()).select(
+        F.col(confidence).cast("double").alias("x"), F.col(outcome).cast("double").alias("y"))
+    width = 100.0 / bins
+    no = F.least(F.floor(F.col("x") / width), F.lit(bins - 1))
+    by_bin = known.groupBy(no.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(F.col("x") / 100.0) - F.avg("y")).alias("gap"))
+    ece = by_bin.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("max_gap"))
+    brier = known.agg(F.avg(F.pow(F.col("x") / 100.0 - F.col("y"), 2)).alias("brier"))
+    pairs = known.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"))  # confidence takes few values, outcomes those of marks
+    ranked = pairs.join(_mid_ranks(pairs, "x"), "x").join(_mid_ranks(pairs, "y"), "y")
+    w, a, b = F.col("m"), F.col("rank_x"), F.col("rank_y")
+    total = lambda e: F.sum(w * e) / F.sum(w)
+    spread = F.sqrt((total(a * a) - total(a) * total(a)) * (total(b * b) - total(b) * total(b)))
+    rho = ranked.agg(((total(a * b) - total(a) * total(b)) / F.nullif(F.round(spread, 9), F.lit(0.0))).alias("spearman"))
+    return ece.join(brier).join(rho).select("n", *(F.round(c, 6).alias(c) for c in ("ece", "max_gap", "brier", "spearman")))
+
+
+def _mid_ranks(pairs: DataFrame, c: str) -> DataFrame:
+    """(value, rank of its middle row), from counts per value."""
+    counts = pairs.groupBy(c).agg(F.sum("m").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(c))  # over distinct values only
+    return counts.select(c, (upto - F.col("_n") / 2.0 + 0.5).alias(f"rank_{c}"))
+
+
+def isotonic_fit(rows: DataFrame, *, confidence: str = "confidence", outcome: str = "outcome") -> DataFrame:
+    """(confidence, n, avg_outcome, calibrated): the nondecreasing curve nearest to the outcomes by least squares.
+
+    Pool-adjacent-violators over one row per confidence value: rows are counted and averaged by Spark first, so the
+    one task that walks the curve sees values (whole percents: 101 at most), not answers."""
+    values = rows.where(F.col(confidence).isNotNull() & F.col(outcome).isNotNull()).groupBy(F.col(confidence).cast("bigint").alias("confidence")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("avg_outcome"))
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("confidence")
+        blocks: list[list[float]] = []  # [sum, rows, values]
+        for n, mean in zip(pdf["n"], pdf["avg_outcome"]):
+            blocks.append([n * mean, n, 1])
+            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+                last = blocks.pop()
+                blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+        return pdf.assign(calibrated=np.repeat([s / n for s, n, _ in blocks], [k for *_, k in blocks]))
+
+    out = values.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: pool(pdf.drop(columns="all")), "confidence bigint, n bigint, avg_outcome double, calibrated double")
+    return out.select("confidence", "n", F.round("avg_outcome", 6).alias("avg_outcome"), F.round("calibrated", 6).alias("calibrated"))

@@ -8,6 +8,7 @@ from ragtide.functions import vectors as V
 from ragtide.operators import chunk as C
 from ragtide.operators import encode as E
 from ragtide.operators import retrieve as R
+from ragtide.operators.truth import containing_documents, ranked_recall
 from ragtide.plans.registry import register
 from ragtide.sources.derived import text_questions
 from ragtide.sources.tables import table
@@ -159,3 +160,36 @@ def retrieval_recall(spark, d):
         F.count(F.lit(1)).alias("n_questions"), F.sum("found").alias("n_found"),
         F.round(F.avg("found"), 6).alias("hit_rate"),
         F.round(F.avg(F.when(F.col("first_rank") > 0, 1.0 / F.col("first_rank")).otherwise(0.0)), 6).alias("mrr"))
+
+
+SQL_TRUTH = """,
+truth AS (
+  SELECT b.item_id AS qid, d.doc_id AS doc FROM benchmark b JOIN documents d ON b.text <> '' AND strpos(d.text, b.text) > 0
+)"""
+
+
+def _truth(spark, d):
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    return containing_documents(bench, _docs(spark, d).select(F.col("doc_id").alias("doc"), "text"))
+
+
+@register("truth_set", "WITH " + SQL_TRUTH.lstrip(",\n") + """
+SELECT qid, doc FROM truth""")
+def truth_set(spark, d):
+    """V7: every document that holds a benchmark passage, by a containment join on each passage's rarest shingle."""
+    return _truth(spark, d).select("qid", "doc")
+
+
+@register("retrieval_ndcg", "WITH " + SQL_RAG + SQL_TRUTH + """,
+best AS (SELECT qid, doc, min(rank) AS rank FROM hits GROUP BY qid, doc),
+per AS (
+  SELECT t.qid, count(*) AS n_relevant, count(b.rank) AS n_found, coalesce(1.0 / min(b.rank), 0.0) AS rr,
+         sum(CASE WHEN b.rank IS NULL THEN 0.0 ELSE 1.0 / log2(b.rank + 1.0) END) AS dcg
+  FROM truth t LEFT JOIN best b ON b.qid = t.qid AND b.doc = t.doc GROUP BY t.qid
+)
+SELECT qid, n_relevant, n_found, round(n_found / n_relevant, 6) AS recall, round(rr, 6) AS reciprocal_rank,
+       round(dcg / list_sum(list_transform(range(1, least(n_relevant, 12) + 1), lambda i: 1.0 / log2(i + 1.0))), 6) AS ndcg
+FROM per""")
+def retrieval_ndcg(spark, d):
+    """V7: recall@12, reciprocal rank and nDCG of the text search against all documents that hold the passage."""
+    return ranked_recall(_rag_hits(spark, d), _truth(spark, d), 12)

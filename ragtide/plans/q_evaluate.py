@@ -118,6 +118,53 @@ def confidence_extract(spark, d):
     return _answers(spark, d).select("qid", J.confidence("answer").alias("confidence"))
 
 
+SQL_CONF = SQL_ANSWERS + r""",
+cf AS (
+  SELECT a.qid, TRY_CAST(nullif(regexp_extract(a.answer, '[Cc]onfidence[^0-9]*([0-9]{1,3})[ \t]*%', 1), '') AS BIGINT) AS confidence,
+         CAST(k.keyword_hit_rate AS DOUBLE) AS outcome
+  FROM ans a JOIN khr k USING (qid)
+), known AS (SELECT * FROM cf WHERE confidence IS NOT NULL AND outcome IS NOT NULL),
+bins AS (
+  SELECT CAST(least(floor(confidence / 10.0), 9) AS BIGINT) AS bin, count(*) AS n, avg(confidence / 100.0) AS c, avg(outcome) AS o
+  FROM known GROUP BY 1
+)"""
+
+
+def _stated(spark, d):
+    """Confidence that each answer states, and its keyword hit rate as the outcome."""
+    rows = _answers(spark, d).select("qid", J.confidence("answer").alias("confidence"), "answer")
+    kw = _questions(spark, d).select("qid", "expected_keywords")
+    return rows.join(kw, "qid").select("qid", "confidence", EV.keyword_hit_rate("expected_keywords", "answer").alias("outcome"))
+
+
+@register("calibration_bins", "WITH " + SQL_CONF + """
+SELECT bin, n, round(c, 6) AS avg_confidence, round(o, 6) AS avg_outcome, round(abs(c - o), 6) AS gap FROM bins""")
+def calibration_bins(spark, d):
+    """Reliability of stated confidence: answers by tenth of confidence against their mean keyword hit rate."""
+    return J.reliability_bins(_stated(spark, d))
+
+
+@register("calibration_summary", "WITH " + SQL_CONF + """,
+ranks AS (
+  SELECT (rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0) AS a,
+         (rank() OVER (ORDER BY outcome) + (count(*) OVER (PARTITION BY outcome) - 1) / 2.0) AS b FROM known
+)
+SELECT (SELECT count(*) FROM known) AS n, (SELECT round(sum(n * abs(c - o)) / sum(n), 6) FROM bins) AS ece,
+       (SELECT round(max(abs(c - o)), 6) FROM bins) AS max_gap,
+       (SELECT round(avg((confidence / 100.0 - outcome) * (confidence / 100.0 - outcome)), 6) FROM known) AS brier,
+       (SELECT round(corr(a, b), 6) FROM ranks) AS spearman""")
+def calibration_summary(spark, d):
+    """Expected calibration error, largest gap, Brier score and Spearman correlation of stated confidence."""
+    return J.calibration_summary(_stated(spark, d))
+
+
+@register("calibration_fit")
+def calibration_fit(spark, d):
+    """The nondecreasing calibration curve (pool adjacent violators over one row per confidence value; rows only,
+    a test holds it against brute force)."""
+    return J.isotonic_fit(_stated(spark, d))
+
+
 def _sql_render(template: str, **cols: str) -> str:
     pieces, pos = [], 0
     for m in re.finditer(r"\{(\w+)\}", template):

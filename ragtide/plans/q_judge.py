@@ -9,6 +9,9 @@ from ragtide.plans.registry import register
 from ragtide.sources.derived import raw_verdicts
 from ragtide.sources.tables import table
 
+# white space of the replies made here, in RE2's words
+SQL_WS = r"[\t\n\x0B\f\r\x1C-\x1F ]"
+
 
 def sql_verdicts(src: str, id_col: str, out_id: str) -> str:
     """DuckDB statement of ``raw_verdicts``: seven reply forms chosen by id % 7."""
@@ -34,8 +37,8 @@ rv0 AS (
 ), cl AS (
   SELECT {out_id}, raw,
     regexp_replace(regexp_replace(replace(replace(
-      regexp_replace(regexp_replace(raw, '\A{J._WS}+', ''), '{J._WS}+\z', ''), '```json', ''), '```', ''),
-      '\A{J._WS}+', ''), '{J._WS}+\z', '') AS clean
+      regexp_replace(regexp_replace(raw, '\A{SQL_WS}+', ''), '{SQL_WS}+\z', ''), '```json', ''), '```', ''),
+      '\A{SQL_WS}+', ''), '{SQL_WS}+\z', '') AS clean
   FROM verdicts
 ), ps AS (
   SELECT {out_id}, raw, clean, coalesce(json_valid(clean) AND json_type(CASE WHEN json_valid(clean) THEN clean END) = 'OBJECT', false) AS wf FROM cl

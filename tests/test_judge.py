@@ -110,3 +110,47 @@ def test_failed_calls(spark):
     rows = {r["id"]: r for r in J.failed_verdicts(df).collect()}
     assert rows[1]["feedback"] == "Eval error: timeout" and rows[2]["feedback"] == "Eval error: "
     assert rows[1]["overall"] == 0 and not rows[1]["judge_ok"]
+
+
+def _nested(depth, kind):
+    return ("[" * depth + "]" * depth) if kind == "list" else '{"a":' * depth + "1" + "}" * depth
+
+
+def test_validity_is_that_of_a_parser(spark):
+    """Any depth, width and non-finite number, against Python's parser."""
+    import json
+
+    extra = [_nested(n, kind) for n in (1, 8, 9, 50, 900) for kind in ("list", "object")]
+    extra += ["NaN", "-Infinity", "nan", "[1,]", "[[1]", '[{"a":[1,{"b":[]}]},[[],[2]]]', "[" + ",".join(["[1]"] * 2000) + "]", "1 2", '"a" "b"']
+    raws = [FULL[:-1] + ', "x": ' + x + "}" for x in extra] + ["　 " + FULL + " \x85"]
+    out = _parse(spark, raws)
+    for i, raw in enumerate(raws):
+        try:
+            json.loads(raw.strip())
+            valid = True
+        except ValueError:
+            valid = False
+        assert out[i]["judge_ok"] == valid, raw[:200]
+
+
+def test_marks_that_no_mean_survives(spark):
+    out = _parse(spark, [FULL.replace("10", "NaN")])
+    assert not out[0]["judge_ok"] and out[0]["overall"] == 0
+
+
+def test_isotonic_fit_is_the_nearest_nondecreasing_curve(spark):
+    """Against the min-max formula: max over starts, min over ends, of the mean in between."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(0, 101, 7), rng.choice([0.0, 1 / 3, 2 / 3, 1.0])) for _ in range(300)] + [(None, 1.0), (5, None)]
+    df = spark.createDataFrame(rows, "confidence bigint, outcome double")
+    got = {r.confidence: r for r in J.isotonic_fit(df).collect()}
+    values = sorted({c for c, o in rows if c is not None and o is not None})
+    by = {v: [o for c, o in rows if c == v and o is not None] for v in values}
+    mean = lambda part: sum(sum(by[v]) for v in part) / sum(len(by[v]) for v in part)
+    for i, v in enumerate(values):
+        want = max(min(mean(values[a:b + 1]) for b in range(i, len(values))) for a in range(i + 1))
+        assert abs(got[v].calibrated - want) < 1e-6 and got[v].n == len(by[v])
+    assert len(got) == len(values)
+    assert J.isotonic_fit(df.limit(0)).count() == 0 and J.calibration_summary(df.limit(0)).first().n is None
