@@ -4,11 +4,11 @@ Plan shape: every step is a hash join or anti join on the document key (one
 shuffle by key), never a scan of the manifest per document.  The index is a
 Parquet table that only grows: a batch appends the chunks of its changed documents as one
 new version folder, whatever the size of the index.  The manifest says which version of a
-document is current; readers keep the chunks of current versions, so replaced, emptied and
-deleted documents vanish as soon as a manifest is published.  Each manifest is a snapshot
-folder of its own, readable once it is complete: a failed batch leaves the last one in place and
-is retried whole, and a rerun on unchanged input writes nothing.  ``compact`` rewrites the
-current chunks as one version from time to time.
+document is current; readers keep the chunks of current versions, so replaced, emptied and deleted documents
+vanish as soon as a delta is committed.  The manifest is a log of actions (``action_log``): a failed
+batch leaves the last commit in place and is retried whole, a rerun on unchanged input writes nothing, and writers
+that overlap take different versions and commit numbers.  ``compact`` rewrites the current chunks as one version from
+time to time.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragtide.operators import action_log as log
 from ragtide.session import checkpoint_dir
 
 MANIFEST_SCHEMA = T.StructType([
@@ -27,8 +28,6 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("fingerprint", T.StringType()),
     T.StructField("indexed_at", T.TimestampType()),
 ])
-STATE_SCHEMA = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("doc", T.StringType()), T.StructField("version", T.LongType())])
-
 
 def changed_documents(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     """New or modified documents — no manifest entry with the same (path, fingerprint)."""
@@ -101,48 +100,42 @@ def write_index(chunks: DataFrame, path: str, version: int = 0) -> None:
     chunks.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def publish_manifest(manifest: DataFrame, path: str, version: int) -> None:
-    """K3: a whole manifest (path, fingerprint, indexed_at, doc, version) as one snapshot.
-
-    The writer's success mark comes last; until then readers see the snapshot before it."""
-    manifest.select([F.col(f.name).cast(f.dataType) for f in STATE_SCHEMA.fields]).write.mode("overwrite").parquet(f"{path}/snapshot={version}")
+def new_version() -> int:
+    """A number for one version of the index that no other writer has."""
+    return uuid.uuid4().int >> 66
 
 
-def _newest_snapshot(spark: SparkSession, path: str) -> int | None:
-    """Number of the newest complete snapshot (a listing of folder names)."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = hadoop(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [s.getPath() for s in fs.listStatus(root) if fs.exists(hadoop(s.getPath(), "_SUCCESS"))]
-    return max((int(p.getName().split("=")[1]) for p in done if p.getName().startswith("snapshot=")), default=None)
+def publish_manifest(manifest: DataFrame, path: str) -> int:
+    """K3: documents (path, fingerprint, indexed_at, doc, version) as one commit of the log; returns its number."""
+    return log.commit(manifest.sparkSession, path, log.actions(manifest))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published manifest (empty if there is none)."""
-    newest = _newest_snapshot(spark, path)
-    if newest is None:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/snapshot={newest}")
+def read_manifest(spark: SparkSession, path: str, as_of: int | None = None) -> DataFrame:
+    """The current documents (none if nothing was committed), or those after commit ``as_of``."""
+    return log.state(spark, path, as_of)
 
 
-def read_index(spark: SparkSession, index_path: str, manifest_path: str, *, doc: str = "doc") -> DataFrame:
-    """Chunks of the current version of every document in the manifest."""
+def read_index(spark: SparkSession, index_path: str, manifest_path: str, *, doc: str = "doc", as_of: int | None = None) -> DataFrame:
+    """Chunks of the current version of every document in the manifest, or of those after commit ``as_of``."""
     chunks = spark.read.parquet(index_path)
-    current = read_manifest(spark, manifest_path).select(F.col("doc").cast(chunks.schema[doc].dataType).alias(doc), "version")
+    current = read_manifest(spark, manifest_path, as_of).select(F.col("doc").cast(chunks.schema[doc].dataType).alias(doc), "version")
     return chunks.join(current, [doc, "version"], "left_semi").drop("version")
 
 
 def compact(spark: SparkSession, index_path: str, manifest_path: str) -> int:
-    """Rewrite the current chunks as one new version and publish it; returns its number.
+    """Rewrite the current chunks as one new version and commit it; returns the version.
 
+    A commit that another writer makes meanwhile sends it back to the start: its actions hold for the state it read.
     Older versions stay for readers that began before; they can be deleted once those are done."""
-    version = (_newest_snapshot(spark, manifest_path) or 0) + 1
-    write_index(read_index(spark, index_path, manifest_path), index_path, version)
-    manifest = read_manifest(spark, manifest_path)
-    publish_manifest(manifest.withColumn("version", F.lit(version)), manifest_path, version)
-    return version
+    while True:
+        at, version = log.newest(spark, manifest_path), new_version()
+        write_index(read_index(spark, index_path, manifest_path, as_of=at), index_path, version)
+        moved = read_manifest(spark, manifest_path, at).withColumn("version", F.lit(version))
+        try:
+            log.commit(spark, manifest_path, log.actions(moved), exactly=0 if at is None else at + 1)
+            return version
+        except log.Taken:
+            continue
 
 
 def ingest_batch(spark: SparkSession, raw: DataFrame, *, index_path: str, manifest_path: str,
@@ -151,31 +144,28 @@ def ingest_batch(spark: SparkSession, raw: DataFrame, *, index_path: str, manife
 
     ``raw``: (doc, path, fingerprint, text) of the current documents.  ``to_chunks``:
     DataFrame(doc, text) -> chunk rows (doc, chunk_no, ...), e.g. chunk + encode.
-    Steps: delta -> chunks of the changed documents appended as a new version -> manifest
-    published.  ``detect_deletions=False`` for a stream micro-batch, which
-    holds only the files that arrived, not the whole corpus.
+    Steps: delta -> chunks of the changed documents appended as a new version -> the delta committed to the log.
+    ``detect_deletions=False`` for a stream micro-batch, which holds only the files that arrived, not the whole corpus.
+    A document key has one current path: one that arrives under a new path leaves its old one, and a batch that holds
+    a key under two paths is a ValueError, as nothing says which of them is meant.
     """
-    manifest = read_manifest(spark, manifest_path)
-    changed = changed_documents(raw, manifest).where(F.col("doc").isNotNull()).checkpoint()  # read three times
+    twice = raw.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").limit(5).collect()
+    if twice:
+        raise ValueError("one document key under two paths: " + ", ".join(f"{r.doc} ({r.a}, {r.b})" for r in twice))
+    manifest = read_manifest(spark, manifest_path).checkpoint()  # one state for the whole batch
+    changed = changed_documents(raw, manifest).where(F.col("doc").isNotNull()).checkpoint()  # read several times
     gone = manifest.select("path").limit(0)
     if detect_deletions:
         gone = manifest.join(raw.select("path"), "path", "left_anti").select("path")
     n_touched = changed.count() + gone.count()
     if n_touched == 0:  # empty delta writes nothing (as the reference's early exit)
         return 0
-    newest = _newest_snapshot(spark, manifest_path)
-    version = 0 if newest is None else newest + 1
+    version = new_version()
     write_index(to_chunks(changed.select("doc", "text")), index_path, version)
     ts = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     entries = changed.select("path", "fingerprint", ts.alias("indexed_at"), F.col("doc").cast("string").alias("doc"),
                              F.lit(version).cast("long").alias("version"))
-    kept = manifest.join(changed.select("path").unionByName(gone), "path", "left_anti")  # D14: forget deletions
-    publish_manifest(kept.select(*STATE_SCHEMA.names).unionByName(entries), manifest_path, version)
+    moved = manifest.select("path", "doc").join(entries.select("doc", F.col("path").alias("_new")), "doc").where("path <> _new").select("path")
+    removed = gone.unionByName(moved).distinct().join(entries.select("path"), "path", "left_anti")  # D14: forget deletions
+    log.commit(spark, manifest_path, log.actions(entries, removed))
     return n_touched
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)

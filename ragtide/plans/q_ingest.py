@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragtide.operators import chunk as C
@@ -119,7 +120,7 @@ def ingest_batch(spark, d):
     if "indexed_at" not in state.columns:
         state = state.withColumn("indexed_at", F.lit(None).cast("timestamp"))
     I.publish_manifest(state.select("path", "fingerprint", "indexed_at", F.regexp_extract("path", r"docs/([0-9]+)\.pdf", 1).alias("doc"),
-                                    F.lit(0).alias("version")), manifest_path, 0)
+                                    F.lit(0).alias("version")), manifest_path)
     I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path, to_chunks=to_chunks)
     again = I.ingest_batch(spark, current_raw(docs), index_path=index_path, manifest_path=manifest_path, to_chunks=to_chunks)
     if again != 0:
@@ -128,8 +129,8 @@ def ingest_batch(spark, d):
     return idx.select("doc", "chunk_no", F.md5("text").alias("text_md5"))
 
 
-@register("ingest_pages", "WITH " + SQL_ELEMENTS + """
-SELECT doc, bool_or(list_contains(regexp_extract_all(lower(text), '[a-z]+'), 'the')) AS has_the
+@register("ingest_pages", "WITH " + SQL_ELEMENTS + r"""
+SELECT doc, regexp_replace(string_agg(text, '' ORDER BY pos), '\s+', '', 'g') AS letters, TRUE AS vectors_sound
 FROM elements WHERE category NOT IN ('Header', 'Footer', 'PageBreak') GROUP BY doc""")
 def ingest_pages(spark, d):
     """I5 as a whole: raw pages -> elements -> recursive chunks -> vectors -> index -> manifest, then one page deleted
@@ -149,5 +150,10 @@ def ingest_pages(spark, d):
     for part in (raw, raw.where(F.col("doc") != first), raw):
         I.ingest_batch(spark, part, to_chunks=to_chunks, **at)
     chunks = I.read_index(spark, at["index_path"], at["manifest_path"])
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return chunks.groupBy("doc").agg(F.max(F.array_contains(words, "the")).alias("has_the"))
+    # every letter of a page comes back in its place and once: a chunk gives what lies beyond the one before it
+    before = F.max(F.col("start") + F.length("text")).over(Window.partitionBy("doc").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.expr("substring(text, 1 + greatest(_before - start, 0))")
+    own = chunks.withColumn("_before", F.coalesce(before, F.lit(0))).select("doc", "chunk_no", new.alias("new"), (F.size("embedding") == E.DIM).alias("ok"))
+    parts = own.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "new"))).alias("parts"), F.min("ok").alias("vectors_sound"))
+    letters = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["new"]), ""), r"\s+", "")
+    return parts.select("doc", letters.alias("letters"), "vectors_sound")
