@@ -114,11 +114,11 @@ def running_counts(counts: DataFrame, key: str, cols: list[str], groups: list[st
 
 
 def column_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M4: one row per column: count, missing, min, max, mean, sample stddev, quartiles, distinct.
+    """M4: one row per column: count, missing, min, max, mean, sample stddev, quartiles, mode, distinct.
 
     Quartiles and distinct counts are exact at every size: both follow from one table of counts per
     value, whose running sums are taken over range partitions.  Quartile p is the smallest
-    value that at least a share p of the values do not exceed.
+    value that at least a share p of the values do not exceed; the mode is the smallest of the most frequent values.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
                                          for c in cols])).alias("x")).select("x.*")
@@ -129,7 +129,8 @@ def column_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     ranked = running_counts(counts, "value", ["k"], ["column_name"]).join(F.broadcast(basic.select("column_name", "n")), "column_name")
     spread = ranked.groupBy("column_name").agg(
         *[F.min(F.when(F.col("cum_k") >= p * F.col("n"), F.col("value"))).alias(name)
-          for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], F.count(F.lit(1)).alias("n_distinct"))
+          for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))],
+        F.max_by("value", F.struct("k", -F.col("value"))).alias("mode"), F.count(F.lit(1)).alias("n_distinct"))
     out = basic.join(spread, "column_name", "left")  # one row per column
     return out.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 

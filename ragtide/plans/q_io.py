@@ -64,7 +64,7 @@ def scan_documents(spark, d):
 
 
 @register("load_eval_set", "WITH " + SQL_ANSWERS + """
-SELECT b.item_id AS qid, md5(b.text) AS question_md5,
+SELECT md5(b.text) AS question_md5,
        coalesce((SELECT string_agg(tok, '|' ORDER BY r) FROM kr WHERE kr.qid = b.item_id AND r <= 3), '')
          AS expected_keywords
 FROM benchmark b""")
@@ -75,9 +75,8 @@ def load_eval_set(spark, d):
     arrays = qs.groupBy(F.floor(F.col("qid") / 100).alias("_s")).agg(
         F.to_json(F.collect_list(F.struct("qid", "question", "expected_keywords"))).alias("value"))
     arrays.select("value").write.text(f"{root}/eval")
-    schema = T.StructType([T.StructField("qid", T.LongType()), *S.EVAL_SET_SCHEMA.fields])
-    back = spark.read.option("multiLine", True).schema(schema).json(f"{root}/eval")
-    return back.select("qid", F.md5("question").alias("question_md5"),
+    back = S.load_eval_set(spark, f"{root}/eval")
+    return back.select( F.md5("question").alias("question_md5"),
                        F.array_join("expected_keywords", "|").alias("expected_keywords"))
 
 
@@ -120,14 +119,17 @@ def index_chunks(spark, d):
 
 
 @register("interaction_log", "WITH " + SQL_REC + """
-SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S_%f') AS log_key, round(faithfulness, 6) AS faithfulness FROM rec""")
+SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S_%f') AS log_key, round(faithfulness, 6) AS faithfulness,
+       CASE WHEN kind = 'error' THEN '' ELSE array_to_string(list_transform(range(0, 12),
+            lambda i: 'chunk-' || CAST((event_id * 12 + i) % 1000003 AS VARCHAR)), ',') END AS hit_ids
+FROM rec JOIN (SELECT event_id, event_type AS kind FROM events) USING (event_id)""")
 def interaction_log(spark, d):
-    """K4: every interaction appended as a JSON record (partitioned by day) and read back."""
+    """K4: every interaction appended as a JSON record (partitioned by day), the ids of its hits in it, and read back."""
     root = I.scratch_path(spark, "logs")
     K.write_interaction_log(interaction_records(table(spark, d, "events")), f"{root}/logs")
     schema = T.StructType([*S.INTERACTION_SCHEMA.fields, T.StructField("log_key", T.StringType())])
     back = spark.read.schema(schema).json(f"{root}/logs")
-    return back.select("event_id", "log_key", F.round("faithfulness", 6).alias("faithfulness"))
+    return back.select("event_id", "log_key", F.round("faithfulness", 6).alias("faithfulness"), F.array_join("hit_ids", ",").alias("hit_ids"))
 
 
 @register("session_archive", "WITH " + SQL_PAIRS + """

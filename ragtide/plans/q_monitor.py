@@ -101,6 +101,7 @@ def _sql_colsum(c: str) -> str:
        round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean,
        round(stddev_samp({c}), 6) AS std, round(quantile_disc({c}, 0.25), 6) AS p25,
        round(quantile_disc({c}, 0.5), 6) AS p50, round(quantile_disc({c}, 0.75), 6) AS p75,
+       (SELECT round(v, 6) FROM (SELECT {c} AS v, count(*) AS k FROM flagged WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY k DESC, v LIMIT 1) AS mode,
        count(DISTINCT {c}) AS n_distinct FROM flagged"""
 
 
@@ -110,7 +111,7 @@ def column_summary(spark, d):
     """M4: summary statistics of faithfulness and overall over all interactions."""
     s = M.column_summary(_rec(spark, d), ["faithfulness", "overall"])
     return s.select("column_name", "n", "n_missing",
-                    *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "p25", "p50", "p75")],
+                    *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "p25", "p50", "p75", "mode")],
                     "n_distinct")
 
 

@@ -26,7 +26,7 @@ def vector_questions(embeddings: DataFrame) -> DataFrame:
 def interaction_records(events: DataFrame) -> DataFrame:
     """Interaction log records from the event feed (one record per event).
 
-    error events are no-answer records; the judge is off (NULL marks) when
+    error events are no-answer records without hits, others name twelve chunks; the judge is off (NULL marks) when
     event_id % 11 = 0; marks are the event value scaled to 0-10.
     """
     judge_off = (F.col("event_id") % 11) == 0
@@ -42,6 +42,8 @@ def interaction_records(events: DataFrame) -> DataFrame:
         F.when(is_err, F.lit("No relevant documents found."))
         .otherwise(F.concat(F.lit("answer "), F.col("event_id").cast("string"))).alias("answer"),
         F.when(is_err, F.lit(0)).otherwise(F.lit(12)).cast("bigint").alias("n_sources"),
+        F.when(is_err, F.array().cast("array<string>")).otherwise(F.transform(
+            F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("chunk-"), ((F.col("event_id") * 12 + i) % 1000003).cast("string")))).alias("hit_ids"),
         mark(F.col("value") / 10.0).alias("faithfulness"),
         mark(F.col("value") / 9.0).alias("relevance"),
         mark(F.col("value") / 11.0).alias("completeness"),

@@ -64,23 +64,6 @@ def scan_documents(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataF
     )
 
 
-def read_raw_documents(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
-    """S1 + fingerprint: raw_docs(path, fingerprint, modification_time, length, content)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            "path",
-            F.sha2("content", 256).alias("fingerprint"),
-            F.col("modificationTime").alias("modification_time"),
-            "length",
-            "content",
-        )
-    )
-
-
 def load_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one row per file, with source and file name."""
     return spark.read.text(path, wholetext=True).select(
@@ -97,6 +80,7 @@ INTERACTION_SCHEMA = T.StructType(
         T.StructField("question", T.StringType()),
         T.StructField("answer", T.StringType()),
         T.StructField("n_sources", T.LongType()),
+        T.StructField("hit_ids", T.ArrayType(T.StringType())),
         T.StructField("faithfulness", T.DoubleType()),
         T.StructField("relevance", T.DoubleType()),
         T.StructField("completeness", T.DoubleType()),
