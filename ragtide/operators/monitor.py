@@ -196,6 +196,41 @@ def drift_js(reference: DataFrame, current: DataFrame, col: str = "overall") ->
     return s.agg((0.5 * F.sum(tr) + 0.5 * F.sum(tc)).alias("js_divergence"))
 
 
+# ------------------------------------------------------------------ mergeable sketches per day (M5, M9)
+
+SKETCH_K = 200  # values that a KLL sketch keeps exactly; beyond them a rank is off by about 1.7 % of the rows at most
+SKETCH_RANK_ERROR = 0.017
+
+
+def daily_sketches(records: DataFrame, col: str = "overall", ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """(day, n, sketch): a quantile sketch of a column for every day, some KB whatever the day's traffic.
+
+    Sketches are built by partial aggregation and can be merged, so a frozen reference is a few of them and drift doesn't read the log again."""
+    known = records.where(F.col(col).isNotNull()).select(F.to_date(ts).alias("day"), F.col(col).cast("double").alias("value"))
+    return known.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+
+
+def merged_sketch(days: DataFrame) -> DataFrame:
+    """(n, sketch) of all rows of ``daily_sketches`` together; n is 0 and the sketch null without rows."""
+    return days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.when(F.count(F.lit(1)) > 0, F.kll_merge_agg_double("sketch")).alias("sketch"))
+
+
+def drift_ks_sketch(reference: DataFrame, current: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """(n_reference, n_current, ks_statistic) from two merged sketches: exact while both hold at most k values, within twice
+    the rank error and one grid step otherwise; null if one side is empty.
+
+    The largest gap is looked for at the quantiles of both sketches on a grid of ranks finer than one value in k."""
+    steps = 4 * k
+    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    both = with_scalars(reference.select(F.col("n").alias("n_reference"), F.col("sketch").alias("_r")), current.select(F.col("n").alias("n_current"), F.col("sketch").alias("_c")))
+    at = F.array_distinct(F.concat(F.kll_sketch_get_quantile_double("_r", grid), F.kll_sketch_get_quantile_double("_c", grid)))
+    points = both.select(at).first()[0] or []  # the ranks' function takes literals; 8 k + 2 numbers at most
+    at = F.array(*[F.lit(v) for v in points]) if points else F.array().cast("array<double>")
+    ranks = both.withColumn("_gaps", F.zip_with(
+        F.kll_sketch_get_rank_double("_r", at), F.kll_sketch_get_rank_double("_c", at), lambda a, b: F.abs(a - b)))
+    return ranks.select("n_reference", "n_current", F.array_max("_gaps").alias("ks_statistic"))
+
+
 # ------------------------------------------------------------------ daily windows (M7, M8)
 
 def daily_quality(records: DataFrame, ts: str = "ts", duration: str = "1 day") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ragtide.functions.relational import with_scalars
 from ragtide.operators import ingest as I
 from ragtide.operators import monitor as M
 from ragtide.plans.registry import register
@@ -148,6 +149,20 @@ def drift_ks(spark, d):
                     F.round("p_value", 6).alias("p_value"), "drift")
 
 
+@register("drift_ks_sketch", "WITH " + SQL_REC + SQL_KS + """
+SELECT n1 AS n_reference, n2 AS n_current, TRUE AS within_error FROM p""")
+def drift_ks_sketch(spark, d):
+    """M5, M9: KS drift from stored sketches per day, merged on both sides of the split, against the exact statistic."""
+    path = I.scratch_path(spark, "sketches")
+    M.daily_sketches(_rec(spark, d)).write.parquet(path)
+    days, edge = spark.read.parquet(path), F.lit(SPLIT).cast("timestamp").cast("date")
+    sides = [M.merged_sketch(days.where(c)) for c in (F.col("day") < edge, F.col("day") >= edge)]
+    exact = M.drift_ks(*_split(spark, d)).select(F.col("ks_statistic").alias("exact"))
+    out = with_scalars(M.drift_ks_sketch(*sides), exact)
+    bound = 2 * M.SKETCH_RANK_ERROR + 1 / M.SKETCH_K
+    return out.select("n_reference", "n_current", (F.abs(F.col("ks_statistic") - F.col("exact")) <= bound).alias("within_error"))
+
+
 SQL_SHARES = """,
 bins AS (SELECT range AS bin FROM range(10)),
 rb AS (SELECT CAST(greatest(0, least(floor(overall), 9)) AS BIGINT) AS bin, count(*) AS r FROM refw WHERE overall IS NOT NULL GROUP BY 1),

@@ -94,3 +94,22 @@ def test_exact_quartiles_over_many_partitions(spark):
 def test_messages_round_half_even(spark):
     summary = spark.createDataFrame([(2.25, 0.1, 4.25), (7.0, 0.185, 7.0)], "avg_faithfulness double, no_answer_rate double, ref_avg_faithfulness double")
     assert sorted(r["message"] for r in M.alerts(summary).collect()) == ["Faithfulness en baisse: 4.2 -> 2.2", "Taux de 'no answer' élevé: 18%"]
+
+
+def test_sketches_per_day(spark):
+    """Merged day sketches: exact while small, within the stated error beyond, whatever the order of merging."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(9)
+    day = lambda i: dt.datetime(2024, 1, 1 + i % 6, 12)
+    frame = lambda rows: spark.createDataFrame(rows, "ts timestamp, overall double").repartition(3)
+    for n, tolerance in ((60, 1e-9), (20_000, 2 * M.SKETCH_RANK_ERROR + 1 / M.SKETCH_K)):
+        ref = frame([(day(i), rng.choice([None, float(rng.randrange(11)), rng.gauss(5, 2)])) for i in range(n)])
+        cur = frame([(day(i), rng.gauss(5.8, 2)) for i in range(n)])
+        got = M.drift_ks_sketch(M.merged_sketch(M.daily_sketches(ref)), M.merged_sketch(M.daily_sketches(cur))).first()
+        want = M.drift_ks(ref, cur).first()
+        assert (got.n_reference, got.n_current) == (want.n_reference, want.n_current)
+        assert abs(got.ks_statistic - want.ks_statistic) <= tolerance
+    none = M.merged_sketch(M.daily_sketches(ref.limit(0)))
+    assert none.first().n == 0 and M.drift_ks_sketch(none, M.merged_sketch(M.daily_sketches(cur))).first().ks_statistic is None
