@@ -210,3 +210,27 @@ def previews(df: DataFrame, text: str = "text", key: str | None = None) -> DataF
         F.concat(F.substring(t, 1, 300), F.lit("...")).alias("answer_preview"),
         F.substring(t, 1, 60).alias("preview_60"),
     )
+
+
+# ------------------------------------------------------------------ page furniture by repetition
+
+def furniture(elements: DataFrame, sites: DataFrame, *, doc: str = "doc", site: str = "site", share: float = 0.5, min_pages: int = 5) -> DataFrame:
+    """``elements`` with blocks that most pages of a site repeat as Header or Footer, whatever their tag.
+
+    ``sites`` says which site each page belongs to.  A block's text (letters only, in lower case) that stands on at least ``share`` of
+    a site's pages, and on ``min_pages``, is furniture: Header where it mostly stands in the upper half of the page, Footer
+    else.  Pages are counted per site and text, so a site of any size is partial aggregation; elements without a site stay.
+    """
+    text = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
+    placed = elements.join(sites.select(doc, site), doc, "left").withColumn("_key", F.when(text != "", F.xxhash64(text)))
+    last = elements.groupBy(doc).agg(F.max("pos").alias("_last"))
+    pages = sites.groupBy(site).agg(F.countDistinct(doc).alias("_pages"))
+    seen = placed.where(F.col(site).isNotNull() & F.col("_key").isNotNull()).join(last, doc)
+    # once per page and text, so that a text repeated within one page counts once
+    once = seen.groupBy(site, "_key", doc).agg(F.min(F.col("pos") / F.greatest("_last", F.lit(1))).alias("_place"))
+    found = once.groupBy(site, "_key").agg(F.count(F.lit(1)).alias("_n"), F.avg("_place").alias("_at")).join(pages, site)
+    repeated = found.where((F.col("_n") >= min_pages) & (F.col("_n") >= share * F.col("_pages"))).select(
+        site, "_key", F.when(F.col("_at") < 0.5, "Header").otherwise("Footer").alias("_furniture"))
+    out = placed.join(repeated, [site, "_key"], "left")
+    category = F.coalesce("_furniture", "category").alias("category")
+    return out.select(*[category if c == "category" else F.col(c) for c in elements.columns])

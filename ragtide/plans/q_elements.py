@@ -173,3 +173,25 @@ FROM documents""")
 def previews(spark, d):
     """Fixed-length previews (code points) of every document."""
     return E.previews(table(spark, d, "documents"), key="doc_id")
+
+
+@register("page_furniture", "WITH " + SQL_ELEMENTS + r""",
+site AS (SELECT page_id AS doc, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS site FROM pages),
+keyed AS (
+  SELECT e.doc, e.pos, e.category, s.site, trim(regexp_replace(lower(e.text), '[^\p{L}]+', ' ', 'g')) AS k,
+         max(e.pos) OVER (PARTITION BY e.doc) AS last
+  FROM elements e JOIN site s USING (doc)
+), once AS (
+  SELECT site, k, doc, min(pos / greatest(last, 1)) AS place FROM keyed WHERE k <> '' AND site <> '' GROUP BY ALL
+), np AS (SELECT site, count(DISTINCT doc) AS pages FROM site GROUP BY site),
+rep AS (
+  SELECT site, k, CASE WHEN avg(place) < 0.5 THEN 'Header' ELSE 'Footer' END AS furniture
+  FROM once JOIN np USING (site) GROUP BY site, k, pages HAVING count(*) >= 5 AND count(*) >= 0.5 * pages
+)
+SELECT keyed.doc, keyed.pos, coalesce(rep.furniture, keyed.category) AS category
+FROM keyed LEFT JOIN rep ON rep.site = keyed.site AND rep.k = keyed.k""")
+def page_furniture(spark, d):
+    """Blocks that most pages of a host repeat become Header or Footer, whatever their tag."""
+    host = F.lower(F.regexp_extract("url", r"://([^/:?#]+)", 1))
+    sites = table(spark, d, "pages").select(F.col("page_id").alias("doc"), F.nullif(host, F.lit("")).alias("site"))
+    return E.furniture(_html_elements(spark, d), sites).select("doc", "pos", "category")

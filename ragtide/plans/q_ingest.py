@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ragtide.functions.relational import with_scalars
 from ragtide.operators import chunk as C
+from ragtide.operators import content_chunks as CC
 from ragtide.operators import elements as EL
 from ragtide.operators import encode as E
 from ragtide.operators import ingest as I
@@ -157,3 +159,45 @@ def ingest_pages(spark, d):
     parts = own.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "new"))).alias("parts"), F.min("ok").alias("vectors_sound"))
     letters = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["new"]), ""), r"\s+", "")
     return parts.select("doc", letters.alias("letters"), "vectors_sound")
+
+
+@register("chunk_reuse", """
+SELECT count(*) AS n_documents, count(*) FILTER (WHERE doc_id % 10 = 0) AS n_edited, TRUE AS equal_to_rebuild,
+       TRUE AS only_new_encoded, TRUE AS mostly_reused
+FROM documents""")
+def chunk_reuse(spark, d):
+    """Every tenth document gets a sentence in its middle; content-defined chunks are cut again, and only those
+    that no document had before are encoded.  The index must equal a rebuild from nothing, and the chunks encoded must be
+    few (under a quarter of the edited documents' chunks, and one a document for those of few chunks)."""
+    root = I.scratch_path(spark, "reuse")
+    docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edit = F.concat(F.expr("left(text, cast(length(text) / 2 as int))"), F.lit(" A sentence that was not there. "), F.substring("text", half + 1, F.lit(1 << 30)))
+    edited = docs.withColumn("text", F.when(F.col("doc") % 10 == 0, edit).otherwise(F.col("text")))
+
+    def encoded(chunks):
+        return E.encode(chunks, "text", "embedding").select("chunk_id", "embedding")
+
+    before, after = CC.chunk_by_content(docs).checkpoint(), CC.chunk_by_content(edited).checkpoint()
+    encoded(before.select("chunk_id", "text").dropDuplicates(["chunk_id"])).write.parquet(f"{root}/vectors/version=0")
+    stored = spark.read.parquet(f"{root}/vectors").select("chunk_id", "embedding")
+    fresh = CC.unseen_chunks(after, stored).checkpoint()
+    encoded(fresh).write.parquet(f"{root}/vectors/version=1")
+    index = CC.with_vectors(after, spark.read.parquet(f"{root}/vectors").select("chunk_id", "embedding"))
+    rebuilt = CC.with_vectors(after, encoded(after.select("chunk_id", "text").dropDuplicates(["chunk_id"])))
+
+    def digest(df):
+        return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc", "chunk_no", "text", "embedding")).alias("x"))
+
+    a, b = digest(index).select(F.col("n").alias("na"), F.col("x").alias("xa")), digest(rebuilt).select(F.col("n").alias("nb"), F.col("x").alias("xb"))
+    touched = after.where(F.col("doc") % 10 == 0)
+    counts = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("doc") % 10 == 0).alias("n_edited"))
+    sizes = touched.agg(F.count(F.lit(1)).alias("_touched"))
+    new = fresh.join(touched.select("chunk_id").distinct().withColumn("_in", F.lit(1)), "chunk_id", "left").agg(
+        F.count(F.lit(1)).alias("_new"), F.count("_in").alias("_new_in"))
+    out = counts
+    for one in (a, b, sizes, new):
+        out = with_scalars(out, one)
+    return out.select("n_documents", "n_edited", ((F.col("na") == F.col("nb")) & F.col("xa").eqNullSafe(F.col("xb"))).alias("equal_to_rebuild"),
+                      (F.col("_new") == F.col("_new_in")).alias("only_new_encoded"),
+                      (F.col("_new") <= F.col("_touched") / 4 + 3 * F.col("n_edited")).alias("mostly_reused"))

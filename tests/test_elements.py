@@ -52,3 +52,18 @@ def test_tagged_round_trip(spark):
     assert [r["text"] for r in els] == ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
     assert [r["category"] for r in els][:5] == ["Title", "NarrativeText", "ListItem", "Table", "Footer"]
     assert els[6]["page"] is None and els[0]["page"] == 1
+
+
+def test_furniture_is_what_a_site_repeats(spark):
+    rows = []
+    for page in range(12):
+        site = "big" if page < 8 else "small"
+        rows += [(page, 0, "NarrativeText", "Skip to CONTENT!"), (page, 1, "Title", f"Story {chr(97 + page)}"), (page, 2, "NarrativeText", "shared once" if page == 1 else f"text {chr(97 + page)}"),
+                 (page, 3, "NarrativeText", f"All rights reserved {page}"), (page, 4, "Uncategorized", "1 2 3")]
+    el = spark.createDataFrame([(d, p, c, t, None, None) for d, p, c, t in rows], "doc int, pos int, category string, text string, page int, html string")
+    sites = spark.createDataFrame([(p, "big" if p < 8 else "small" if p < 11 else None) for p in range(12)], "doc int, site string")
+    got = {(r.doc, r.pos): r.category for r in E.furniture(el, sites).collect()}
+    assert len(got) == len(rows)
+    for d, p, c, _ in rows:
+        want = {0: "Header", 3: "Footer"}.get(p, c) if d < 8 else c  # the small site has fewer than five pages
+        assert got[d, p] == want, (d, p)
