@@ -46,8 +46,8 @@ def sparse_vectors(df: DataFrame, ids: list[str], text: str = "text", dim: int =
     return e.groupBy(*ids, "bucket").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _hashing_udf(dim: int):
-    """Dense count vector per text in one Arrow batch pass.
+def _hashed_counts(texts: pd.Series, dim: int) -> np.ndarray:
+    """Token counts (texts x dim) of one Arrow batch; null has no tokens.
 
     Tokens are found with the same pattern on the lower-cased text; every distinct
     token of a batch is hashed once (md5, first 8 hex digits, mod ``dim``), then one
@@ -57,23 +57,40 @@ def _hashing_udf(dim: int):
     import re
 
     tok = re.compile(TOKEN_PATTERN)
+    per_row = [tok.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+    codes: dict[str, int] = {}
+    ids = np.fromiter((codes.setdefault(w, len(codes)) for row in per_row for w in row), dtype=np.int64)
+    ub = np.fromiter((int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim for w in codes),
+                     dtype=np.int64, count=len(codes))
+    rows = np.repeat(np.arange(len(per_row), dtype=np.int64), [len(r) for r in per_row])
+    flat = np.bincount(rows * dim + ub[ids], minlength=len(per_row) * dim) if len(ids) else \
+        np.zeros(len(per_row) * dim, dtype=np.int64)
+    return flat.reshape(len(per_row), dim)
+
+
+def _hashing_udf(dim: int):
+    """Dense count vector per text in one Arrow batch pass."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _dense(texts: pd.Series) -> pd.Series:
-        per_row = [tok.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
-        codes: dict[str, int] = {}
-        ids = np.fromiter((codes.setdefault(w, len(codes)) for row in per_row for w in row), dtype=np.int64)
-        ub = np.fromiter((int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim for w in codes),
-                         dtype=np.int64, count=len(codes))
-        rows = np.repeat(np.arange(len(per_row), dtype=np.int64), [len(r) for r in per_row])
-        flat = np.bincount(rows * dim + ub[ids], minlength=len(per_row) * dim) if len(ids) else \
-            np.zeros(len(per_row) * dim, dtype=np.int64)
-        m = flat.reshape(len(per_row), dim).astype(np.float64)
-        return pd.Series(list(m))
+        return pd.Series(list(_hashed_counts(texts, dim).astype(np.float64)))
 
     return _dense
 
 
+def sparse_arrays(text: str = "text", dim: int = DIM) -> Column:
+    """E1 sparse form within the row: struct of ``buckets`` (ascending) and ``weights`` (their token counts)."""
+
+    @F.pandas_udf("buckets array<smallint>, weights array<int>")
+    def _sparse(texts: pd.Series) -> pd.DataFrame:
+        m = _hashed_counts(texts, dim)
+        rows, cols = np.nonzero(m)
+        cut = np.searchsorted(rows, np.arange(1, len(m)))
+        return pd.DataFrame({"buckets": np.split(cols.astype(np.int16), cut), "weights": np.split(m[rows, cols].astype(np.int32), cut)})
+
+    return _sparse(F.col(text))
+
+
 def count_vectors(df: DataFrame, text: str = "text", out: str = "vec", dim: int = DIM) -> DataFrame:
     """E1/E2 dense form: adds ``out`` = ARRAY<DOUBLE> of token counts per bucket (not normalised).
 
