@@ -9,6 +9,8 @@ mergeable quantile sketch of ``percentile_approx`` (bounded memory per group).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,7 +170,7 @@ def drift_ks(reference: DataFrame, current: DataFrame, col: str = "overall") ->
 
 def _bin_shares(reference: DataFrame, current: DataFrame, col: str) -> DataFrame:
     """Shares per bin of width 1 on [0, 10], the first and the last open-ended, all bins present."""
-    b = F.greatest(F.lit(0), F.least(F.floor(F.col(col)), F.lit(BINS - 1))).cast("bigint")
+    b = unit_bin(F.col(col))
     r = _bin_counts(reference, col, b).withColumnRenamed("n", "r")
     c = _bin_counts(current, col, b).withColumnRenamed("n", "c")
     spark = reference.sparkSession
@@ -196,6 +198,32 @@ def drift_js(reference: DataFrame, current: DataFrame, col: str = "overall") ->
     return s.agg((0.5 * F.sum(tr) + 0.5 * F.sum(tc)).alias("js_divergence"))
 
 
+def unit_bin(col) -> Column:
+    """The unit bin of a mark on [0, 10], null for null; the first and the last bin are open-ended."""
+    mark = F.col(col) if isinstance(col, str) else col
+    return F.when(mark.isNotNull(), F.greatest(F.lit(0), F.least(F.floor(mark), F.lit(BINS - 1))).cast("bigint"))
+
+
+def reference_shares(reference: DataFrame, cols: list[str]) -> dict[str, list[float]]:
+    """Share of every unit bin per column: BINS numbers a column, whatever the reference's size; all null counts as zero."""
+    counts = [F.count_if(unit_bin(c) == i).alias(f"{j}_{i}") for j, c in enumerate(cols) for i in range(BINS)]
+    row = reference.agg(*counts).first()
+    n = [[row[f"{j}_{i}"] for i in range(BINS)] for j in range(len(cols))]
+    return {c: [x / max(1, sum(n[j])) for x in n[j]] for j, c in enumerate(cols)}
+
+
+def psi_js(reference: list[float], counts: list[int]) -> tuple[float, float]:
+    """Population stability index and Jensen-Shannon divergence of one window's bin counts, as ``drift_psi`` and ``drift_js`` define them."""
+    psi = js = 0.0
+    total = max(1, sum(counts))
+    for r, n in zip(reference, counts):
+        c = n / total
+        low_r, low_c, mid = max(r, SHARE_FLOOR), max(c, SHARE_FLOOR), (r + c) / 2
+        psi += (low_c - low_r) * math.log(low_c / low_r)
+        js += sum(x * math.log2(x / mid) / 2 for x in (r, c) if x > 0)
+    return psi, js
+
+
 # ------------------------------------------------------------------ mergeable sketches per day (M5, M9)
 
 SKETCH_K = 200  # values that a KLL sketch keeps exactly; beyond them a rank is off by about 1.7 % of the rows at most
