@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragtide.llm.common import column, materialize, received, record, row_key, shielded, shipped, slices
+from ragtide.llm.common import column, materialize, received, record, row_key, shielded, shipped, slices, stored
 from ragtide.llm.components import components
 
 CELL_BITS = 24
@@ -377,7 +377,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
     """(node, root) of all sets that link with another one."""
-    live = materialize(shared_lists(prefixes(docs, words, percent, classes)))
+    live = stored(shared_lists(prefixes(docs, words, percent, classes)))
     bits = materialize(wanted_sets(docs, live.select("s"), words, bits=True))
     fits = alike_in_size(F.col("n"), F.col("after_n"), percent)
     walked = live.where(fits).select(F.least("s", "after_s").alias("a"), F.greatest("s", "after_s").alias("b")).distinct()

@@ -8,6 +8,7 @@ import pytest
 
 from conftest_llm import odd_rows
 from ragtide.llm import setjoin
+from ragtide.llm.common import stored
 from ragtide.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,3 +117,12 @@ def test_linked_sets_share_their_prefixes():
                 assert len(np.intersect1d(x, y)) >= setjoin.prefix_needed(len(a), len(b), percent)
                 links += 1
     assert links > 1000
+
+
+def test_stored_tables_are_files(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 2, None)], "x long, y long, z string")
+    got = stored(df)
+    assert got.schema == df.schema and sorted(got.collect(), key=str) == sorted(df.collect(), key=str)
+    assert "parquet" in got._jdf.queryExecution().executedPlan().toString().lower()
+    none = stored(df.where("x = 0"))
+    assert none.schema == df.schema and none.count() == 0
