@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,7 @@ LIST_SETS = 4000  # sets of an index list that one task pairs
 SHARE = 20  # one shared prefix shingle more for so many shingles of a set
 FLUSH = 1 << 22  # shingles that a task counts before it sends its pieces; a part of it for rows of lists and pairs
 CHUNK = 1 << 16  # counters of one piece of it
+SIGNED = 4  # words of a set's bitmap that go with its rows into the lists' tasks
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                          0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -297,6 +298,42 @@ def may_link(x: bytes, n1: int, y: bytes, n2: int, percent: int) -> bool:
     return (n1 + n2 - apart) // 2 >= needed(n1, n2, percent)
 
 
+def folded(x: bytes, words: int) -> np.ndarray:
+    """The bitmap in at most so many words of 64 bits."""
+    a = np.frombuffer(x, np.uint64)
+    while len(a) > words:
+        a = a[: len(a) // 2] ^ a[len(a) // 2:]
+    return a
+
+
+def apart(names: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For bitmaps of at most SIGNED words: in how many bits number i differs from each of the numbers j."""
+    size = np.array([len(x) // 8 for x in names])
+    at_most = {w: np.zeros((len(names), w), np.uint64) for w in np.unique(size).tolist()}
+    for w, rows in at_most.items():
+        for i in np.flatnonzero(size >= w).tolist():
+            rows[i] = folded(names[i], w)
+
+    def bits(i: int, j: np.ndarray) -> np.ndarray:
+        out, w = np.zeros(len(j), np.int64), np.minimum(size[i], size[j])
+        for k in np.unique(w).tolist():
+            out[w == k] = np.bitwise_count(at_most[k][j[w == k]] ^ at_most[k][i]).sum(axis=1)
+        return out
+
+    return bits
+
+
+def signatures(bits: DataFrame) -> DataFrame:
+    """(s, sig): the bitmaps folded to SIGNED words."""
+    schema = pa.schema([("s", pa.int64()), ("sig", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record(schema, batch.column(0), [folded(x, SIGNED).tobytes() for x in column(batch, "h")])
+
+    return bits.select("s", "h").mapInArrow(run, "s long, sig binary")
+
+
 def narrowed(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs that the bitmaps don't rule out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -389,7 +426,9 @@ def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray)
     lists = Window.partitionBy("token")
     open_ = named.withColumn("low", F.min("root").over(lists)).withColumn("high", F.max("root").over(lists)).withColumn(
         "size", F.count("*").over(lists)).where("low <> high")
-    left = often(short_list_pairs(open_.where(F.col("size") <= LIST_SETS), percent).unionAll(
+    # only rows of lists that are still open carry a bitmap
+    short = open_.where(F.col("size") <= LIST_SETS).join(signatures(bits), "s", "left")
+    left = often(short_list_pairs(short, percent).unionAll(
         long_list_pairs(open_.where(F.col("size") > LIST_SETS), percent)))
     left = narrowed(left, bits, percent)
     return components(near.union(verified(materialize(left), docs, words, percent)))
@@ -398,15 +437,17 @@ def linked_sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray)
 def short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, need, k) of sets of different groups in lists of bounded length.  Lists that begin with the same group
     meet in one task, which takes one set after the other, counts what it shares with the others, and sends a pair
-    only if the lists that its sets are in elsewhere can still make up what linked sets share."""
+    only if the lists that its sets are in elsewhere can still make up what linked sets share, and if the sets' folded
+    bitmaps don't rule it out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64()), ("k", pa.int64())])
 
-    def pairs(token, s, n, root, r) -> Iterator[tuple]:
+    def pairs(token, s, n, root, r, sig) -> Iterator[tuple]:
         names, first, at, here = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
         n, root, elsewhere = n[first], root[first], r[first] - here
         cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
         own_list = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
         by_set = np.argsort(at, kind="stable")
+        bits = apart(sig[first].tolist())
         upto = np.cumsum(here)
         for i in range(len(names)):
             lists = own_list[by_set[upto[i] - here[i]: upto[i]]]
@@ -416,6 +457,8 @@ def short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
             j, k = j[ok], k[ok]
             need = prefix_needed(n[i], n[j], percent)
             ok = k + np.minimum(elsewhere[i], elsewhere[j]) >= need
+            j, k, need = j[ok], k[ok], need[ok]
+            ok = (n[i] + n[j] - bits(i, j)) // 2 >= needed(n[i], n[j], percent)
             if ok.any():
                 j, k, need = j[ok], k[ok], need[ok]
                 yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j]), need, k
@@ -436,7 +479,7 @@ def short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in range(6)]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
             low, token = cols[0], cols[1]
             # beyond FLUSH // 4 rows the lists at hand go first, and the rest of their group counts as elsewhere
             cut = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
@@ -451,7 +494,7 @@ def short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from sent(held)
 
-    near = rows.select("low", "token", "s", "n", "root", "r").repartition("low").sortWithinPartitions("low", "token")
+    near = rows.select("low", "token", "s", "n", "root", "r", "sig").repartition("low").sortWithinPartitions("low", "token")
     return near.mapInArrow(run, "a long, b long, need long, k long")
 
 

@@ -126,3 +126,41 @@ def test_stored_tables_are_files(spark):
     assert "parquet" in got._jdf.queryExecution().executedPlan().toString().lower()
     none = stored(df.where("x = 0"))
     assert none.schema == df.schema and none.count() == 0
+
+
+def test_lists_tasks_send_no_pair_that_bitmaps_rule_out(spark):
+    rng = np.random.default_rng(5)
+    sets = {}
+    for i, n in enumerate([20, 40, 70, 150, 150, 150, 300]):
+        sets[i + 1] = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+    sets[8] = np.append(sets[4][:-3], np.uint64(7))  # links with 4
+    folded = {i: setjoin.folded(setjoin.parity_bits(h), setjoin.SIGNED).tobytes() for i, h in sets.items()}
+    names = list(sets)
+    bits = setjoin.apart([folded[i] for i in names])
+    for x, i in enumerate(names):
+        for y, d in enumerate(bits(x, np.arange(len(names))).tolist()):
+            assert d <= len(np.setxor1d(sets[i], sets[names[y]]))
+    rows = [(i, token, i, len(sets[i]), i, 20, folded[i]) for token in range(20) for i in (4, 5, 6, 8)]
+    rows = [(4, *r[1:]) for r in rows]
+    lists = spark.createDataFrame(rows, "low long, token long, s long, n long, root long, r long, sig binary")
+    got = {(r.a, r.b) for r in setjoin.short_list_pairs(lists, 85).collect()}
+    assert got == {(4, 8)}
+
+
+def test_components_of_few_links_run_in_few_tasks(spark):
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
+        tracker, seen = spark.sparkContext.statusTracker(), 0
+        spark.sparkContext.setJobGroup("few-links", "")
+        got = {r.node: r.root for r in components(links).collect()}
+        for job in tracker.getJobIdsForGroup("few-links"):
+            for stage in tracker.getJobInfo(job).stageIds:
+                info = tracker.getStageInfo(stage)
+                seen += info.numCompletedTasks if info else 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(41)}
+    assert seen <= 300  # 779 when every shuffle of a round had all its partitions
