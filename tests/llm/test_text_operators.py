@@ -144,3 +144,22 @@ def test_contamination(spark, odd, none):
     assert clean.columns == odd.columns and clean.count() == sum(not r[-1] for r in want)
     assert decontaminate.contamination_report(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination_report(none, bench).count() == 0
+
+
+def test_short_texts_are_numbered_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [(i, bytes(rng.integers(97, 100, int(n)).astype(np.uint8))) for i, n in enumerate(rng.integers(0, 400, 300))]
+    texts += [(300, None), (None, b"x" * 90), (301, b"y" * 49), (302, b"y" * 50), (303, texts[7][1] * 300), (7, b"")]
+    calls = []
+    plain = substring_dedup.anchors
+    monkeypatch.setattr(substring_dedup, "anchors", lambda *a: calls.append(1) or plain(*a))
+    got = list(substring_dedup.anchored(iter(texts), 50))
+    assert len(calls) <= 4  # one for each text before
+    assert [(doc, raw) for doc, raw, _ in got] == texts
+    for doc, raw, parts in got:
+        want = [(offset, plain(data, 50)) for offset, data in substring_dedup.segments(raw or b"", 50)] if doc is not None else []
+        assert len(parts) == len(want)
+        for (offset, _, groups), (at, own) in zip(parts, want):
+            assert offset == at
+            for x, y in zip(groups, own):
+                np.testing.assert_array_equal(x, y)
